@@ -80,19 +80,19 @@ def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _cumulative(df: DataFrame, keys: Sequence[str], column: str, limit: int | None) -> DataFrame:
+def _cumulative(df: DataFrame, keys: Sequence[str], column: str, fits: bool | None) -> DataFrame:
     counts = value_counts(df, keys, column)
-    cum = running(counts, keys, [F.col(column)], sums={"_cum": F.col("_n")}, limit=limit)
+    cum = running(counts, keys, [F.col(column)], sums={"_cum": F.col("_n")}, fits=fits)
     totals = cum.groupBy(*keys).agg(F.max("_cum").alias("_total"))
     return null_safe_join(cum, totals, keys)
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], limit: int | None = None
+    df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], fits: bool | None = None
 ) -> DataFrame:
     """Exact interpolated quantiles as columns ``q0..``: cumulative counts over the
     distinct values locate both neighbours of p*(n-1) without gathering a group."""
-    cum = _cumulative(df, keys, column, limit)
+    cum = _cumulative(df, keys, column, fits)
 
     def at(index: Column) -> Column:
         return F.min(F.when(F.col("_cum") > index, F.col(column)))
@@ -111,10 +111,10 @@ def quantiles(
 
 
 def nearest_ranks(
-    df: DataFrame, keys: Sequence[str], column: str, probs: dict[str, float], limit: int | None = None
+    df: DataFrame, keys: Sequence[str], column: str, probs: dict[str, float], fits: bool | None = None
 ) -> DataFrame:
     """Element at index min(floor(p*n), n-1) of each sorted group."""
-    cum = _cumulative(df, keys, column, limit)
+    cum = _cumulative(df, keys, column, fits)
     aggs = []
     for out, p in probs.items():
         idx = F.least(F.floor(F.lit(float(p)) * F.col("_total")), F.col("_total") - 1)
@@ -129,11 +129,20 @@ def modes(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFram
 
 
 def median_absolute_deviation(
-    df: DataFrame, keys: Sequence[str], column: str, out: str, limit: int | None = None
+    df: DataFrame, keys: Sequence[str], column: str, out: str, fits: bool | None = None
 ) -> DataFrame:
-    med = quantiles(df, keys, column, [0.5], limit).withColumnRenamed("q0", "_med")
+    """Median of |x - median|: the group median is joined back, then a second pass."""
+    if fits is None:
+        fits = group_fits(df, keys)
+    med = _medians(df, keys, column, fits).withColumnRenamed("q0", "_med")
     dev = null_safe_join(df.select(*keys, column), med, keys).withColumn("_dev", F.abs(F.col(column) - F.col("_med")))
-    return quantiles(dev, keys, "_dev", [0.5], limit).withColumnRenamed("q0", out)
+    return _medians(dev, keys, "_dev", fits).withColumnRenamed("q0", out)
+
+
+def _medians(df: DataFrame, keys: Sequence[str], column: str, fits: bool) -> DataFrame:
+    if fits:
+        return df.groupBy(*keys).agg(F.median(column).alias("q0"))
+    return quantiles(df, keys, column, [0.5], fits)
 
 
 def group_aggregate(
@@ -158,37 +167,49 @@ def group_aggregate(
         *[as_number(df, c, coerce_zero).alias(f"_v_{c}") for c in sorted(wanted)],
         *[F.col(c).alias(f"_d_{c}") for c in sorted({a.column for a in specs if a.function == "distinct_count"})],
     )
-    small = any(a.function in (*_QUANTILE, "mode") for a in specs) and group_fits(base, ks, limit)
+    ordered = {a.function for a in specs} & {*_QUANTILE, *_NEAREST, "mode", "mad"}
+    fits = bool(ordered) and group_fits(base, ks, limit)
     exprs: list[Column] = []
     frames: list[DataFrame] = []
     final: dict[str, Column] = {}
+    probs: dict[str, list[float]] = {}  # all quantiles of a column share one pass
+    nearest: dict[str, dict[str, float]] = {}
+
+    def q(column: str, p: float) -> Column:
+        ps = probs.setdefault(column, [])
+        if p not in ps:
+            ps.append(p)
+        return F.col(f"_q_{column}")[ps.index(p)]
+
     for a in specs:
         name = f"_v_{a.column}"
         x = F.col(name)
+        final[a.out] = F.col(a.out)
         if a.function == "distinct_count":
             exprs.append(F.count_distinct(f"_d_{a.column}").alias(a.out))
         elif a.function in _SIMPLE:
             exprs.append(_SIMPLE[a.function](x, a.param).alias(a.out))
         elif a.function in _QUANTILE:
-            probs = _QUANTILE[a.function](a.param)
-            if small:
-                qs = F.percentile(x, F.array(*[F.lit(p) for p in probs]))
-                exprs.append((qs[1] - qs[0] if len(probs) == 2 else qs[0]).alias(a.out))
-            else:
-                q = quantiles(base, ks, name, probs, limit)
-                frames.append(q.select(*ks, (F.col("q1") - F.col("q0") if len(probs) == 2 else F.col("q0")).alias(a.out)))
+            qs = [q(a.column, p) for p in _QUANTILE[a.function](a.param)]
+            final[a.out] = qs[1] - qs[0] if len(qs) == 2 else qs[0]
         elif a.function == "mode":
-            if small:
+            if fits:
                 exprs.append(F.mode(x, True).alias(a.out))
             else:
                 frames.append(modes(base, ks, name, a.out))
         elif a.function == "mad":
-            frames.append(median_absolute_deviation(base, ks, name, a.out, limit))
+            frames.append(median_absolute_deviation(base, ks, name, a.out, fits))
         elif a.function in _NEAREST:
-            frames.append(nearest_ranks(base, ks, name, {a.out: _NEAREST[a.function](a.param)}, limit))
+            nearest.setdefault(name, {})[a.out] = _NEAREST[a.function](a.param)
         else:
             raise ValueError(f"unknown aggregate {a.function}")
-        final[a.out] = F.col(a.out)
+    for column, ps in probs.items():
+        if fits:
+            exprs.append(F.percentile(f"_v_{column}", F.array(*map(F.lit, ps))).alias(f"_q_{column}"))
+        else:
+            frame = quantiles(base, ks, f"_v_{column}", ps, fits)
+            frames.append(frame.select(*ks, F.array(*[f"q{i}" for i in range(len(ps))]).alias(f"_q_{column}")))
+    frames += [nearest_ranks(base, ks, name, outs, fits) for name, outs in nearest.items()]
     head = base.groupBy(*ks).agg(*(exprs or [F.lit(1).alias("_one")]))
     joined = reduce(lambda l, r: null_safe_join(l, r, ks, "left"), frames, head)
     return joined.select(*keys, *[c.alias(n) for n, c in final.items()])

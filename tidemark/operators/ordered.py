@@ -68,11 +68,15 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     limit: int | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
-    """Add 1-based ``position``, inclusive running ``sums`` and last-non-null ``lasts``."""
+    """Add 1-based ``position``, inclusive running ``sums`` and last-non-null ``lasts``.
+
+    ``fits`` passes on the answer of an earlier ``group_fits`` on the same keys.
+    """
     sums, lasts = sums or {}, lasts or {}
     frame = (W.unboundedPreceding, W.currentRow)
-    if group_fits(df, keys, limit):
+    if group_fits(df, keys, limit) if fits is None else fits:
         w = W.partitionBy(*keys).orderBy(*order)
         new = {position: F.row_number().over(w).cast("long")} if position else {}
         new |= {o: F.sum(c).over(w.rowsBetween(*frame)) for o, c in sums.items()}
@@ -126,6 +130,7 @@ def framed(
     before: int = 0,
     after: int = 0,
     limit: int | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Window expressions whose frame reaches at most ``before``/``after`` rows.
 
@@ -133,10 +138,10 @@ def framed(
     columns.  A hot group is cut into blocks of consecutive rows; the rows near
     a block edge are copied to the neighbour so every frame is complete.
     """
-    if group_fits(df, keys, limit):
+    if group_fits(df, keys, limit) if fits is None else fits:
         return df.withColumns(build(W.partitionBy(*keys).orderBy(*order)))
     block_rows = max(limit or conf_int(df.sparkSession, MAX_GROUP_ROWS), before, after, 1)
-    numbered = running(df, keys, order, position=_POS, limit=limit)
+    numbered = running(df, keys, order, position=_POS, fits=False)
     own = F.floor((F.col(_POS) - 1) / block_rows)
     offset = F.col(_POS) - 1 - F.col(_OWN) * block_rows
     copies = F.array_compact(
@@ -156,6 +161,31 @@ def framed(
     )
 
 
+def range_framed(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    reach: int,
+    build: Callable[[WindowSpec], dict[str, Column]],
+    *,
+    fits: bool | None = None,
+) -> DataFrame:
+    """Window expressions over rows whose integer ``value`` lies within ``reach``
+    below the current one.  A hot group is cut into blocks of width ``reach``;
+    a row is copied to the block after its own, which completes every frame."""
+    if group_fits(df, keys) if fits is None else fits:
+        return df.withColumns(build(W.partitionBy(*keys).orderBy(value).rangeBetween(-reach, 0)))
+    own = F.floor(F.col(value) / reach)
+    w = W.partitionBy(*keys, _BLOCK).orderBy(value).rangeBetween(-reach, 0)
+    return (
+        df.withColumn(_OWN, own)
+        .withColumn(_BLOCK, F.explode(F.array(F.col(_OWN), F.col(_OWN) + 1)))
+        .withColumns(build(w))
+        .where(F.col(_BLOCK) == F.col(_OWN))
+        .drop(_OWN, _BLOCK)
+    )
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     """First ``k`` rows per group.  Spark trims each map task to k rows per key
     (WindowGroupLimit) before the shuffle, so a hot key ships k rows per task."""
