@@ -118,8 +118,8 @@ def find_cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
     Nodes without an incoming or outgoing edge are trimmed first; a path only
     grows through nodes above its start, so each cycle appears once.
     """
-    live = edges.select("src", "dst").distinct()
-    for _ in range(max_length):
+    live = materialize(edges.select("src", "dst").distinct(), "edges")
+    for _ in range(2):
         live = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         live = materialize(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "core")
     paths = live.where("dst >= src").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src").alias("nodes"))
