@@ -94,14 +94,22 @@ def mask_value(v: Column, pii_type: str) -> Column:
     return PARTIAL.get(pii_type, mask_tail)(v)
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once: a lambda variable is evaluated a single time however
+    often ``body`` refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _replace_each(text: Column, pattern: str, change) -> Column:
     """Replace every match by ``change(match)``: the text between matches (split)
     and the changed matches (extract) are zipped back together."""
-    gaps = F.split(text, pattern, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
-    return F.when(F.size(found) == 0, text).otherwise(
-        F.array_join(F.flatten(F.zip_with(gaps, found, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    )
+
+    def zipped(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), change)
+        pieces = F.zip_with(F.split(t, pattern, -1), found, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+        return F.when(t.rlike(pattern), F.array_join(pieces, "")).otherwise(t)
+
+    return _let(text, zipped)
 
 
 def mask_pii(text: Column, strategy: str = "redact") -> Column:
