@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import stats
 from tidemark.operators.ordered import group_fits, null_safe_join, running
+from tidemark.session import spread
 
 _ALL = "_tm_all"
 
@@ -169,6 +170,8 @@ def group_aggregate(
     )
     ordered = {a.function for a in specs} & {*_QUANTILE, *_NEAREST, "mode", "mad"}
     fits = bool(ordered) and group_fits(base, ks, limit)
+    if ordered:  # sorting value counts is CPU-bound, scanning is not
+        base = spread(base)
     exprs: list[Column] = []
     frames: list[DataFrame] = []
     final: dict[str, Column] = {}

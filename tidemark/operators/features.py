@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import modes, quantiles
 from tidemark.operators.reshape import pivot_values
+from tidemark.session import spread
 
 
 def scale(df: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
@@ -40,7 +41,7 @@ def tokens(text: Column) -> Column:
 
 def term_counts(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Occurrences per (document, token), combined before the shuffle."""
-    return df.select(doc, F.explode(tokens(F.col(text))).alias("token")).groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"))
+    return spread(df.select(doc, text)).select(doc, F.explode(tokens(F.col(text))).alias("token")).groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tf_idf(df: DataFrame, doc: str, text: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import tokens
+from tidemark.session import materialize, spread
 
 
 def lineage_nodes(entries: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def lint(queries: DataFrame, ident: str, text: str) -> DataFrame:
     tests["missing_where"] = (~q.rlike(WHERE) & ~q.rlike(JOIN), "High")
     tests["repeated_distinct"] = (F.regexp_count(q, F.lit(DISTINCT)) > 1, "Medium")
     issues = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("issue"), F.lit(s).alias("severity"))) for n, (c, s) in tests.items()]))
-    return queries.select(ident, F.inline(issues))
+    return spread(queries.select(ident, text)).select(ident, F.inline(issues))
 
 
 def worst_severity(issues: DataFrame, ident: str) -> DataFrame:
@@ -96,11 +97,14 @@ def worst_severity(issues: DataFrame, ident: str) -> DataFrame:
 
 
 def search(df: DataFrame, doc: str, text: str, query: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Best documents for a query by BM25.  Only the query's terms are shuffled;
-    document lengths travel with the counts."""
+    """Best documents for a query by BM25.
+
+    Texts are tokenised once; what is kept per document is its length and the
+    query terms it holds, and only those are counted and shuffled."""
     terms = sorted(set(re.findall("[a-z]+", query.lower())))
     words = tokens(F.col(text))
-    base = df.select(doc, F.size(words).alias("_len"), F.filter(words, lambda w: w.isin(*terms)).alias("_hits"))
+    base = spread(df.select(doc, text)).select(doc, F.size(words).alias("_len"), F.filter(words, lambda w: w.isin(*terms)).alias("_hits"))
+    base = materialize(base, "postings")
     n, avg_len = base.agg(F.count(F.lit(1)), F.avg("_len")).first()
     tf = base.select(doc, "_len", F.explode("_hits").alias("token")).groupBy(doc, "_len", "token").agg(F.count(F.lit(1)).alias("tf"))
     idf = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select("token", F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.privacy import PATTERNS, SCAN_PATTERNS, redact_value
+from tidemark.session import spread
 
 
 def spans(df: DataFrame, key: Sequence[str], column: str) -> DataFrame:
@@ -30,7 +31,8 @@ def spans(df: DataFrame, key: Sequence[str], column: str) -> DataFrame:
             F.length(m).alias("length"), F.lit(0.95).alias("confidence")))
 
     every = F.flatten(F.array(*[found(n, p) for n, p in PATTERNS.items()]))
-    return df.where(F.col(column).isNotNull()).select(*key, F.inline(every))
+    texts = spread(df.where(F.col(column).isNotNull()).select(*key, column))
+    return texts.select(*key, F.inline(every))
 
 
 def _string_columns(df: DataFrame) -> list[str]:
@@ -39,7 +41,7 @@ def _string_columns(df: DataFrame) -> list[str]:
 
 def _per_column(df: DataFrame, columns: Sequence[str], measures: Mapping[str, "callable"]) -> DataFrame:
     """All measures of all columns in one aggregate, then one row per column."""
-    wide = df.agg(*[m(F.col(c)).alias(f"{c}__{n}") for c in columns for n, m in measures.items()])
+    wide = spread(df.select(*columns)).agg(*[m(F.col(c)).alias(f"{c}__{n}") for c in columns for n, m in measures.items()])
     rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{n}").alias(n) for n in measures]) for c in columns]
     return wide.select(F.inline(F.array(*rows)))
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import name_similarity, type_tests
 from tidemark.operators.aggregates import nearest_ranks, quantiles
 from tidemark.operators.ordered import top_per_group
+from tidemark.session import spread
 
 
 def _long(df: DataFrame, columns: Sequence[str], cast: str = "string") -> DataFrame:
@@ -202,7 +203,7 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     columns = columns or df.columns
     measures = {"total": lambda c: F.count(F.lit(1)), "filled": F.count}
     measures |= {k: (lambda c, k=k: F.count_if(type_tests(c)[k])) for k in CLASSES}
-    counts = _rows(df, columns, measures)
+    counts = _rows(spread(df), columns, measures)
     best = F.greatest(*[F.col(k) for k in CLASSES])
     pick = F.coalesce(*[F.when(F.col(k) == best, k) for k in CLASSES])
     score = best / F.col("filled")

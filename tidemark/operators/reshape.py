@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.aggregates import quantiles
+from tidemark.operators.ordered import group_fits, null_safe_join
+
 AGGREGATES: dict[str, Callable[[str], Column]] = {
     "sum": lambda c: F.sum(c),
     "average": lambda c: F.avg(c),
@@ -46,10 +49,23 @@ def pivot(
         return AGGREGATES[how](value)
 
     marked = df.withColumn("_pivot", F.coalesce(F.col(column).cast("string"), F.lit("NULL")))
+    if "median" in values.values() and not group_fits(marked, [*keys, "_pivot"]):
+        return _pivot_large(marked, keys, values, labels, expr)
     aggs = [expr(v, how).alias(v) for v, how in values.items()]
     return marked.groupBy(*keys).pivot("_pivot", list(labels)).agg(*aggs)
 
 
+def _pivot_large(marked: DataFrame, keys: Sequence[str], values: Mapping[str, str], labels: Sequence[str], expr) -> DataFrame:
+    """Pivot with medians of groups too large for one task: aggregate per cell first."""
+    cell = [*keys, "_pivot"]
+    plain = [expr(v, how).alias(v) for v, how in values.items() if how != "median"]
+    cells = marked.groupBy(*cell).agg(*(plain or [F.lit(1).alias("_one")]))
+    for v, how in values.items():
+        if how == "median":
+            cells = null_safe_join(cells, quantiles(marked, cell, v, [0.5], False).withColumnRenamed("q0", v), cell, "left")
+    return cells.groupBy(*keys).pivot("_pivot", list(labels)).agg(*[F.first(v, ignorenulls=True).alias(v) for v in values])
+
+
 def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str], key: str = "attribute", value: str = "value") -> DataFrame:
     """Columns to rows, null values kept."""
     return df.unpivot(list(keep), list(columns), key, value)

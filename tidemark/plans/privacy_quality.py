@@ -7,7 +7,7 @@ from tidemark.operators import personal_data as pd_
 from tidemark.operators import quality as ql
 from tidemark.operators.quality import Rule
 from tidemark.plans.registry import query
-from tidemark.session import Tables
+from tidemark.session import Tables, spread
 
 
 def _re2(pattern: str) -> str:
@@ -43,12 +43,12 @@ def _redact_sql(column: str, to: str) -> str:
 @query("pii_redact_text", "R3", f"""
 SELECT doc_id, md5({_redact_sql('text', '[{n}]')}) AS redacted, md5({_redact_sql('text', '')}) AS removed FROM documents""")
 def pii_redact_text(t: Tables):
-    return t.documents.select("doc_id", F.md5(pv.mask_pii(F.col("text"), "redact")).alias("redacted"), F.md5(pv.mask_pii(F.col("text"), "remove")).alias("removed"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.md5(pv.mask_pii(F.col("text"), "redact")).alias("redacted"), F.md5(pv.mask_pii(F.col("text"), "remove")).alias("removed"))
 
 
 @query("pii_mask_text_values", "R3")
 def pii_mask_text_values(t: Tables):
-    return t.documents.select("doc_id", pv.mask_pii(F.col("text"), "partial").alias("partial"), pv.mask_pii(F.col("text"), "hash").alias("hashed"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", pv.mask_pii(F.col("text"), "partial").alias("partial"), pv.mask_pii(F.col("text"), "hash").alias("hashed"))
 
 
 @query("mask_whole_values", "R4 R5", """

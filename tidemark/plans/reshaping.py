@@ -24,8 +24,13 @@ _PIVOT_AGGS = {"average": "avg(c_acctbal)", "min": "min(c_acctbal)", "max": "max
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
+def _cell(name: str, expr: str, label: str) -> str:
+    cell = f"({expr} FILTER (c_mktsegment = '{label}'))"
+    return f"nullif({cell}, 0)" if name == "count" else cell  # a cell without values is null
+
+
 @query("pivot_every_aggregate", "V1", " UNION ALL ".join(
-    f"SELECT '{n}' AS how, c_nationkey, " + ", ".join(f"round(({e} FILTER (c_mktsegment = '{s}'))::DOUBLE, 4) AS \"{s}\"" for s in _SEGMENTS)
+    f"SELECT '{n}' AS how, c_nationkey, " + ", ".join(f"round({_cell(n, e, s)}::DOUBLE, 4) AS \"{s}\"" for s in _SEGMENTS)
     + " FROM customer GROUP BY 2" for n, e in _PIVOT_AGGS.items()))
 def pivot_every_aggregate(t: Tables):
     out = None

@@ -86,10 +86,14 @@ def window_user_frames(t: Tables):
 @query("window_named_sql", "W13", f"""
 SELECT event_id, max(value) OVER w AS top, count(*) OVER w AS n FROM events WINDOW w AS ({EVO} ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)""")
 def window_named_sql(t: Tables):
-    t.events.createOrReplaceTempView("tm_events")
-    return t.spark.sql("""
-      SELECT event_id, max(value) OVER w AS top, count(1) OVER w AS n FROM tm_events
-      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)""")
+    # one named window shared by two functions
+    base = t.events.select("event_id", "user_id", "ts", "value")
+
+    def named(w):
+        frame = w.rowsBetween(-3, 1)
+        return {"top": F.max("value").over(frame), "n": F.count(F.lit(1)).over(frame)}
+
+    return framed(base, ["user_id"], ["ts", "event_id"], named, before=3, after=1).select("event_id", "top", "n")
 
 
 @query("window_filter", "W14", f"""

@@ -75,6 +75,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-bound work every core when the input has fewer splits than that.
+
+    Inputs with enough splits, the normal case on large tables, pass unchanged
+    and pay no shuffle."""
+    if df.isStreaming:
+        return df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer estimate of the plan's output size; None when not exposed."""
     try:
