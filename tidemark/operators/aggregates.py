@@ -14,8 +14,6 @@ from tidemark.functions import stats
 from tidemark.operators.ordered import group_fits, null_safe_join, running
 from tidemark.session import spread
 
-_ALL = "_tm_all"
-
 _SIMPLE = {
     "count": lambda x, p: stats.non_null_count(x),
     "sum": lambda x, p: F.sum(x),
@@ -84,6 +82,8 @@ def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 def _cumulative(df: DataFrame, keys: Sequence[str], column: str, fits: bool | None) -> DataFrame:
     counts = value_counts(df, keys, column)
     cum = running(counts, keys, [F.col(column)], sums={"_cum": F.col("_n")}, fits=fits)
+    if not keys:  # one number: a literal instead of a join
+        return cum.withColumn("_total", F.lit(cum.agg(F.max("_cum")).first()[0]).cast("long"))
     totals = cum.groupBy(*keys).agg(F.max("_cum").alias("_total"))
     return null_safe_join(cum, totals, keys)
 
@@ -136,7 +136,9 @@ def median_absolute_deviation(
     if fits is None:
         fits = group_fits(df, keys)
     med = _medians(df, keys, column, fits).withColumnRenamed("q0", "_med")
-    dev = null_safe_join(df.select(*keys, column), med, keys).withColumn("_dev", F.abs(F.col(column) - F.col("_med")))
+    values = df.select(*keys, column)
+    with_med = null_safe_join(values, med, keys) if keys else values.withColumn("_med", F.lit(med.first()[0]).cast("double"))
+    dev = with_med.withColumn("_dev", F.abs(F.col(column) - F.col("_med")))
     return _medians(dev, keys, "_dev", fits).withColumnRenamed("q0", out)
 
 
@@ -160,10 +162,9 @@ def group_aggregate(
     while groups are small; for larger groups they run as separate plans over
     value counts and are joined back on the keys.
     """
-    ks = list(keys) or [_ALL]
+    ks = list(keys)
     wanted = {a.column for a in specs if a.function != "distinct_count"}
     base = df.select(
-        *[F.lit(0).alias(_ALL)] * (not keys),
         *keys,
         *[as_number(df, c, coerce_zero).alias(f"_v_{c}") for c in sorted(wanted)],
         *[F.col(c).alias(f"_d_{c}") for c in sorted({a.column for a in specs if a.function == "distinct_count"})],
@@ -214,7 +215,11 @@ def group_aggregate(
             frames.append(frame.select(*ks, F.array(*[f"q{i}" for i in range(len(ps))]).alias(f"_q_{column}")))
     frames += [nearest_ranks(base, ks, name, outs, fits) for name, outs in nearest.items()]
     head = base.groupBy(*ks).agg(*(exprs or [F.lit(1).alias("_one")]))
-    joined = reduce(lambda l, r: null_safe_join(l, r, ks, "left"), frames, head)
+    if ks:
+        joined = reduce(lambda l, r: null_safe_join(l, r, ks, "left"), frames, head)
+    else:  # one row each: stack them and keep what is set
+        stacked = reduce(lambda l, r: l.unionByName(r, allowMissingColumns=True), frames, head)
+        joined = stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
     return joined.select(*keys, *[c.alias(n) for n, c in final.items()])
 
 

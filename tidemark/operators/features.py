@@ -70,8 +70,8 @@ def interactions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def bins(df: DataFrame, column: str, count: int = 10) -> DataFrame:
     """Quantile bins 0..count-1; equal cuts collapse."""
-    one = df.select(F.lit(0).alias("_all"), F.col(column).cast("double").alias("_x"))
-    cuts = quantiles(one, ["_all"], "_x", [i / count for i in range(1, count)]).drop("_all").first()
+    one = df.select(F.col(column).cast("double").alias("_x"))
+    cuts = quantiles(one, [], "_x", [i / count for i in range(1, count)]).first()
     edges = sorted({c for c in (cuts or ()) if c is not None})
     index = sum((F.when(F.col(column) > e, 1).otherwise(0) for e in edges), F.lit(0))
     return df.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), index))
@@ -81,13 +81,13 @@ def impute(df: DataFrame, columns: Sequence[str], how: str = "mean") -> DataFram
     """Fill nulls by the column's mean, median or mode (lowest on ties)."""
     new = {}
     for c in columns:
-        one = df.select(F.lit(0).alias("_all"), F.col(c).alias("_x"))
+        one = df.select(F.col(c).alias("_x"))
         if how == "mean":
             row = one.agg(F.avg("_x")).first()[0]
         elif how == "median":
-            row = (quantiles(one, ["_all"], "_x", [0.5]).select("q0").first() or [None])[0]
+            row = (quantiles(one, [], "_x", [0.5]).select("q0").first() or [None])[0]
         elif how == "mode":
-            row = (modes(one, ["_all"], "_x", "m").select("m").first() or [None])[0]
+            row = (modes(one, [], "_x", "m").select("m").first() or [None])[0]
         else:
             raise ValueError(f"unknown imputation {how}")
         new[c] = F.coalesce(F.col(c), F.lit(row))

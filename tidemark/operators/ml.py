@@ -197,10 +197,13 @@ def recommend(model: Model, users: DataFrame, n: int) -> DataFrame:
 def similar_items(df: DataFrame, ident: str, vector: str, targets: Sequence, n: int) -> DataFrame:
     """Top-N items by cosine for each of a few target ids, the target itself excluded.
 
-    The targets are named by the caller, so the joined side has at most
-    ``len(targets)`` rows."""
-    t = df.where(F.col(ident).isin(*targets)).select(F.col(ident).alias("target"), F.col(vector).alias("_tv"), F.lit(1).alias("_one"))
-    pairs = df.withColumn("_one", F.lit(1)).join(F.broadcast(t), "_one").where(F.col(ident) != F.col("target"))
+    The caller names the targets, so their vectors are few and enter the plan as
+    literals: one map-only scan scores every item."""
+    found = df.where(F.col(ident).isin(*targets)).select(ident, vector).collect()  # at most len(targets) rows
+    if not found:
+        raise ValueError("no such target")
+    wanted = F.array(*[F.struct(F.lit(r[0]).alias("target"), F.array(*[F.lit(float(x)) for x in r[1]]).alias("_tv")) for r in found])
+    pairs = df.select("*", F.inline(wanted)).where(F.col(ident) != F.col("target"))
     scored = pairs.select("target", ident, cosine_similarity(F.col("_tv"), F.col(vector)).alias("similarity"))
     return top_per_group(scored, ["target"], [F.desc("similarity"), F.col(ident)], n)
 

@@ -143,10 +143,9 @@ def time_bucket(t: Tables):
 @query("cosine_to_first", "X11", """
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS cosine FROM embeddings""")
 def cosine_to_first(t: Tables):
-    # one target row: max_by over a single-row result, safe to broadcast
-    target = t.embeddings.agg(F.min_by("embedding", "vec_id").alias("target"))
-    d = t.embeddings.withColumn("_one", F.lit(1)).join(F.broadcast(target.withColumn("_one", F.lit(1))), "_one")
-    return d.select("vec_id", F.round(sc.cosine_similarity(F.col("embedding"), F.col("target")), 6).alias("cosine"))
+    # one target vector, as a literal
+    target = F.array(*[F.lit(float(x)) for x in t.embeddings.agg(F.min_by("embedding", "vec_id")).first()[0]])
+    return t.embeddings.select("vec_id", F.round(sc.cosine_similarity(F.col("embedding"), target), 6).alias("cosine"))
 
 
 @query("text_statistics", "X12", "SELECT lang, min(length(text)) AS lo, max(length(text)) AS hi, round(avg(length(text)), 4) AS mean FROM documents GROUP BY 1")
