@@ -9,8 +9,8 @@ from tidemark.session import Tables
 
 
 @query("lookup_orders", "J1", """
-SELECT c_custkey, 0 AS page, count(o_orderkey) AS n_orders, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS order_ids
-FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+SELECT c_custkey, 0::BIGINT AS page, count(o_orderkey) AS n_orders, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS order_ids
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""", wide=True)
 def lookup_orders(t: Tables):
     d = jn.lookup(t.customer.select("c_custkey"), t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), "c_custkey", "o_custkey",
                   "orders", order_by=["o_orderkey"])

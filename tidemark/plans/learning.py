@@ -144,7 +144,7 @@ def recommend_items(t: Tables):
 
 @query("similar_items", "M15 X11", """
 SELECT t.vec_id AS target, e.vec_id, round(list_cosine_similarity(t.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM embeddings t JOIN embeddings e ON t.vec_id <> e.vec_id WHERE t.vec_id IN (3, 17)
-QUALIFY row_number() OVER (PARTITION BY t.vec_id ORDER BY list_cosine_similarity(t.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) <= 10""")
+QUALIFY row_number() OVER (PARTITION BY t.vec_id ORDER BY list_cosine_similarity(t.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) <= 10""", wide=True)
 def similar_items(t: Tables):
     return ml.similar_items(t.embeddings, "vec_id", "embedding", [3, 17], 10).withColumn("similarity", F.round("similarity", 6))
 
@@ -179,7 +179,7 @@ def polynomial_features(t: Tables):
     return ft.polynomial(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]).drop("p_size", "p_retailprice")
 
 
-@query("quantile_bins", "M21", "WITH q AS (SELECT quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM orders) SELECT o_orderkey, len(list_filter(c, lambda x: o_totalprice > x)) AS o_totalprice_bin FROM orders, q")
+@query("quantile_bins", "M21", "WITH q AS (SELECT quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM orders) SELECT o_orderkey, len(list_filter(c, lambda x: o_totalprice > x)) AS o_totalprice_bin FROM orders, q", wide=True)
 def quantile_bins(t: Tables):
     return ft.bins(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice").drop("o_totalprice")
 

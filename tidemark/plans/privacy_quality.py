@@ -174,7 +174,7 @@ def profile_numeric(t: Tables):
 
 
 @query("profile_text", "Q4", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", min(length({c})) AS min_len, max(length({c})) AS max_len, round(avg(length({c})), 4) AS avg_len FROM documents" for c in ("text", "lang", "source")))
+    f"SELECT '{c}' AS \"column\", min(length({c})) AS min_len, max(length({c})) AS max_len, round(avg(length({c})), 4) AS avg_len FROM documents" for c in ("text", "lang", "source")), wide=True)
 def profile_text(t: Tables):
     return ql.text_profile(t.documents, ["text", "lang", "source"]).withColumn("avg_len", F.round("avg_len", 4))
 
@@ -256,7 +256,7 @@ _INF_COLS = ["event_id", "event_type", "value"]
 @query("inferred_statistics", "I3", """
 SELECT 'event_id' AS "column", 'Integer' AS inferred, count(DISTINCT event_id) AS "unique", min(event_id)::DOUBLE AS lo, max(event_id)::DOUBLE AS hi, round(avg(event_id), 4) AS mean, median(event_id)::DOUBLE AS median, NULL::INTEGER AS min_len, NULL::INTEGER AS max_len FROM events
 UNION ALL SELECT 'value', 'Decimal', count(DISTINCT value), min(value), max(value), round(avg(value), 4), median(value), NULL, NULL FROM events
-UNION ALL SELECT 'event_type', 'String', count(DISTINCT event_type), NULL, NULL, NULL, NULL, min(length(event_type)), max(length(event_type)) FROM events""")
+UNION ALL SELECT 'event_type', 'String', count(DISTINCT event_type), NULL, NULL, NULL, NULL, min(length(event_type)), max(length(event_type)) FROM events""", wide=True)
 def inferred_statistics(t: Tables):
     raw = _mixed(t).select(*_INF_COLS)
     return ql.inferred_statistics(raw, ql.infer_schema(raw)).withColumn("mean", F.round("mean", 4))

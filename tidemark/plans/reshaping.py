@@ -78,7 +78,7 @@ def transpose(t: Tables):
 
 
 @query("unwind_words", "V7", """
-SELECT item_id, pos, word FROM (SELECT item_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM benchmark)""")
+SELECT item_id, pos, word FROM (SELECT item_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM benchmark)""", wide=True)
 def unwind_words(t: Tables):
     return t.benchmark.select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
 
@@ -101,7 +101,7 @@ def document_stages(t: Tables):
 
 @query("name_similarity", "X4", """
 SELECT s_suppkey, n_nationkey, levenshtein(lower(s_name), lower(n_name)) AS d,
- round(1 - levenshtein(lower(s_name), lower(n_name))::DOUBLE / greatest(length(s_name), length(n_name)), 6) AS similarity FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+ round(1 - levenshtein(lower(s_name), lower(n_name))::DOUBLE / greatest(length(s_name), length(n_name)), 6) AS similarity FROM supplier JOIN nation ON s_nationkey = n_nationkey""", wide=True)
 def name_similarity(t: Tables):
     d = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return d.select("s_suppkey", "n_nationkey", F.levenshtein(F.lower("s_name"), F.lower("n_name")).alias("d"),
@@ -130,7 +130,7 @@ def json_edit(t: Tables):
 
 
 @query("calendar_parts", "X9 M19", """
-SELECT event_id, hour(ts) AS hour, dayofweek(ts) AS day_of_week, month(ts) AS month, quarter(ts) AS quarter, day(ts) AS day, dayofweek(ts) IN (0, 6) AS is_weekend FROM events""")
+SELECT event_id, hour(ts) AS hour, dayofweek(ts) AS day_of_week, month(ts) AS month, quarter(ts) AS quarter, day(ts) AS day, dayofweek(ts) IN (0, 6) AS is_weekend FROM events""", wide=True)
 def calendar_parts(t: Tables):
     return t.events.select("event_id", *[c.alias(n) for n, c in sc.date_parts(F.col("ts")).items()])
 
@@ -148,7 +148,7 @@ def cosine_to_first(t: Tables):
     return t.embeddings.select("vec_id", F.round(sc.cosine_similarity(F.col("embedding"), target), 6).alias("cosine"))
 
 
-@query("text_statistics", "X12", "SELECT lang, min(length(text)) AS lo, max(length(text)) AS hi, round(avg(length(text)), 4) AS mean FROM documents GROUP BY 1")
+@query("text_statistics", "X12", "SELECT lang, min(length(text)) AS lo, max(length(text)) AS hi, round(avg(length(text)), 4) AS mean FROM documents GROUP BY 1", wide=True)
 def text_statistics(t: Tables):
     n = F.length("text")
     return t.documents.groupBy("lang").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.round(F.avg(n), 4).alias("mean"))
@@ -157,7 +157,7 @@ def text_statistics(t: Tables):
 @query("string_functions", "X13", """
 SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_name) AS low, substr(c_name, 10, 5) AS sub, lpad(c_custkey::VARCHAR, 8, '0') AS pad, replace(c_name, '#', '-') AS rep,
  reverse(c_mktsegment) AS rev, trim('  ' || c_mktsegment || ' ') AS tr, strpos(c_name, '#') AS pos, split_part(c_name, '#', 2) AS part, length(c_name) AS len,
- regexp_extract(c_name, '([0-9]+)', 1) AS num, c_name LIKE '%7' AS ends7, md5(c_name) AS md FROM customer""")
+ regexp_extract(c_name, '([0-9]+)', 1) AS num, c_name LIKE '%7' AS ends7, md5(c_name) AS md FROM customer""", wide=True)
 def string_functions(t: Tables):
     return t.customer.selectExpr("c_custkey", "upper(c_mktsegment) up", "lower(c_name) low", "substr(c_name, 10, 5) sub", "lpad(cast(c_custkey as string), 8, '0') pad",
                                  "replace(c_name, '#', '-') rep", "reverse(c_mktsegment) rev", "trim(concat('  ', c_mktsegment, ' ')) tr", "instr(c_name, '#') pos",
@@ -167,7 +167,7 @@ def string_functions(t: Tables):
 @query("date_functions", "X13", """
 SELECT o_orderkey, year(o_orderdate) AS y, strftime(o_orderdate, '%Y/%m/%d') AS text, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS q_start,
  date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS days, strftime(o_orderdate + INTERVAL 45 DAY, '%Y-%m-%d') AS later, strftime(last_day(o_orderdate), '%Y-%m-%d') AS month_end,
- dayofyear(o_orderdate) AS doy, weekofyear(o_orderdate) AS week FROM orders""")
+ dayofyear(o_orderdate) AS doy, weekofyear(o_orderdate) AS week FROM orders""", wide=True)
 def date_functions(t: Tables):
     return t.orders.selectExpr("o_orderkey", "year(o_orderdate) y", "date_format(o_orderdate, 'yyyy/MM/dd') text", "date_format(date_trunc('quarter', o_orderdate), 'yyyy-MM-dd') q_start",
                                "datediff(o_orderdate, date'1995-01-01') days", "date_format(o_orderdate + interval 45 days, 'yyyy-MM-dd') later",
@@ -186,7 +186,7 @@ def math_functions(t: Tables):
 @query("collection_functions", "X13", """
 WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark)
 SELECT item_id, len(w) AS n, w[1] AS first_word, list_contains(w, 'the') AS has_the, len(list_distinct(w)) AS n_distinct, array_to_string(list_sort(w)[1:5], ' ') AS low5,
- len(list_filter(w, lambda x: length(x) > 6)) AS n_long, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars FROM w""")
+ len(list_filter(w, lambda x: length(x) > 6)) AS n_long, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars FROM w""", wide=True)
 def collection_functions(t: Tables):
     w = t.benchmark.select("item_id", F.split(F.lower("text"), " ").alias("w"))
     return w.selectExpr("item_id", "size(w) n", "w[0] first_word", "array_contains(w, 'the') has_the", "size(array_distinct(w)) n_distinct",
@@ -195,7 +195,7 @@ def collection_functions(t: Tables):
 
 
 @query("map_functions", "X13", """
-SELECT c_mktsegment, count(*) AS entries, string_agg(k || '=' || n, ',' ORDER BY k) AS entries_text FROM (SELECT c_mktsegment, c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1""")
+SELECT c_mktsegment, count(*) AS entries, string_agg(k || '=' || n, ',' ORDER BY k) AS entries_text FROM (SELECT c_mktsegment, c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1""", wide=True)
 def map_functions(t: Tables):
     # nation keys per segment: the map is bounded by the nation table
     per = t.customer.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))

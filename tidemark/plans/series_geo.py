@@ -41,7 +41,7 @@ def series_seasonality(t: Tables):
 @query("series_naive_forecast", "T4", """
 WITH r AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events),
 g AS (SELECT user_id, epoch_us(max(ts)) AS hi, CASE WHEN count(*) = 1 THEN 86400000000 ELSE epoch_us(max(ts)) - epoch_us(min(ts)) END AS step_us, arg_max(value, ts) AS forecast FROM r WHERE k <= 2 GROUP BY 1)
-SELECT user_id, step, hi + step_us * step AS at_us, forecast FROM g, (SELECT unnest(range(1, 31)) AS step)""")
+SELECT user_id, step, hi + step_us * step AS at_us, forecast FROM g, (SELECT unnest(range(1, 31)) AS step)""", wide=True)
 def series_naive_forecast(t: Tables):
     d = ts.naive_forecast(_series(t), ["user_id"], "ts", "value", 30)
     return d.select("user_id", "step", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "forecast")

@@ -113,7 +113,7 @@ def sync_estimate(t: Tables):
 
 
 @query("copy_into", "S18", """
-SELECT 'first' AS load, 1 AS files, count(*) AS loaded, 0 AS rejected FROM supplier UNION ALL SELECT 'again', 0, 0, 0 UNION ALL SELECT 'table', NULL, count(*), NULL FROM supplier""")
+SELECT 'first' AS load, 1::BIGINT AS files, count(*) AS loaded, 0::BIGINT AS rejected FROM supplier UNION ALL SELECT 'again', 0, 0, 0 UNION ALL SELECT 'table', NULL, count(*), NULL FROM supplier""")
 def copy_into(t: Tables):
     src, table = scratch_path(t.spark, "copy-src"), scratch_path(t.spark, "copy-table")
     fs.export_table(t.supplier, src, "csv", single_file=True)
@@ -280,7 +280,7 @@ def snapshot_lifecycle(t: Tables):
 
 
 @query("snapshot_history", "C9 C10", f"""
-SELECT 4 AS version, 'optimize' AS operation, count(*) AS rows FROM {_NEW} UNION ALL SELECT 2, 'write', count(*) FROM {_NEW}""")
+SELECT 4::BIGINT AS version, 'optimize' AS operation, count(*) AS rows FROM {_NEW} UNION ALL SELECT 2, 'write', count(*) FROM {_NEW}""")
 def snapshot_history(t: Tables):
     s = _store(t)
     s.delete(1)  # the tombstone itself is commit 3
