@@ -153,6 +153,7 @@ def capacity_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     growth = F.when(F.col("_n") > 1, (F.col("usage") - F.col("_first")) / F.col("_n")).otherwise(0.0)
     d = g.select(*keys, "usage", (F.col("usage") + growth * days).alias("forecast"))
     pct = F.col("forecast") / capacity * 100
+    # fixed values: thresholds and wording of the advice
     advice = (F.when(pct > 80, "Scale up immediately").when(pct > 60, "Plan to scale up within 30 days")
               .when(pct < 20, "Consider scaling down to save costs").otherwise("Current capacity is adequate"))
     return d.select("*", pct.alias("utilization"), advice.alias("recommendation"))

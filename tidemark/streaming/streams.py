@@ -132,7 +132,11 @@ def route_late(path: str, ts: str, delay_seconds: int) -> Callable[[DataFrame, i
 
 
 def spike_stream(stream: DataFrame, key: str, ts: str, ident: str, value: str, confidence: float = 95, history: int = 50) -> DataFrame:
-    """Stateful spike flags: the state of a key is its last ``history`` values."""
+    """Stateful spike flags: the state of a key is its last ``history`` values.
+
+    A task sees the rows of a key in one micro-batch; ``max_files`` of
+    ``read_stream`` keeps that small.  For landed data use the batch ``spikes``,
+    which splits a hot key."""
     from math import erfc, sqrt
 
     def detect(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
