@@ -76,14 +76,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-bound work every core when the input has fewer splits than that.
+    """Give CPU-bound work every core when a scan has fewer splits than that.
 
     Inputs with enough splits, the normal case on large tables, pass unchanged
-    and pay no shuffle."""
+    and pay no shuffle.  So do plans that shuffle already: asking for their
+    partition count would run them."""
     if df.isStreaming:
         return df
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    return df if plan.toRdd().getNumPartitions() >= want else df.repartition(want)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
