@@ -120,7 +120,7 @@ def copy_into(t: Tables):
     opts = {"pathGlobFilter": "*.csv"}
     first = _copy(t, table, src, opts)
     again = _copy(t, table, src, opts)
-    loaded = fs.read_merged(t.spark, f"{table}/data").agg(F.count(F.lit(1)).alias("loaded"))
+    loaded = fs.read_loaded(t.spark, table).agg(F.count(F.lit(1)).alias("loaded"))
     rows = t.spark.createDataFrame([("first", *first.values()), ("again", *again.values())], "load string, files long, loaded long, rejected long")
     null = F.lit(None).cast("long")
     return rows.unionByName(loaded.select(F.lit("table").alias("load"), null.alias("files"), "loaded", null.alias("rejected")))

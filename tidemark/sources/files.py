@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -110,11 +111,12 @@ def copy_into(
 
     Files in the table's ledger are skipped.  Rows that do not parse are rejected;
     more than ``max_errors`` of them (0 = any) fail the load before anything is written.
+    The ledger entry is the commit: data of a load that died before it is not read.
     """
     ledger_path, data_path = f"{table}/_ledger", f"{table}/data"
     listing = file_listing(spark, source).select("path")
     if path_exists(spark, ledger_path):
-        listing = listing.join(spark.read.parquet(ledger_path), "path", "left_anti")
+        listing = listing.join(spark.read.parquet(ledger_path).select("path"), "path", "left_anti")
     files = [r.path for r in listing.collect()]  # names of new files only
     if not files:
         return {"files": 0, "loaded": 0, "rejected": 0}
@@ -127,13 +129,17 @@ def copy_into(
         F.count_if("bad").alias("bad"), F.count(F.lit(1)).alias("n"), *[F.count(c) for c in schema.fieldNames()]).first()
     if counts.bad > max_errors:
         raise ValueError(f"{counts.bad} rows do not parse, at most {max_errors} allowed")
-    rows.where("_corrupt_record is null").drop("_corrupt_record").write.mode("append").parquet(data_path)
-    spark.createDataFrame([(f,) for f in files], "path string").coalesce(1).write.mode("append").parquet(ledger_path)
+    load = uuid.uuid4().hex
+    rows.where("_corrupt_record is null").drop("_corrupt_record").write.parquet(f"{data_path}/load={load}")
+    spark.createDataFrame([(f, load) for f in files], "path string, load string").coalesce(1).write.mode("append").parquet(ledger_path)
     return {"files": len(files), "loaded": counts.n - counts.bad, "rejected": counts.bad}
 
 
-def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(path)
+def read_loaded(spark: SparkSession, table: str) -> DataFrame:
+    """Rows of all committed loads, schemas merged."""
+    data = spark.read.option("mergeSchema", True).parquet(f"{table}/data")
+    committed = spark.read.parquet(f"{table}/_ledger").select("load").distinct()
+    return data.withColumn("load", F.col("load").cast("string")).join(committed, "load", "left_semi").drop("load")
 
 
 def unload(spark: SparkSession, sql: str, path: str) -> str:
