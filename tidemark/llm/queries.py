@@ -13,17 +13,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrays, bpe, langid, licenses, minhash, packing, quality, token_counts
+from tidemark.llm import arrays, bpe, langid, licenses, minhash, packing, quality, suffix_tree, token_counts, topk, toxicity
 from tidemark.session import Tables, scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_OF_TEXT = 50256
 
 
+def op1_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    t = Tables(spark, root)
+    docs = t.documents.withColumn("held_out", arrays.split_column("doc_id", 3) == 1)
+    model = toxicity.learn(docs.where(~F.col("held_out")), t.labels.where(arrays.split_column("doc_id", 3) != 1))
+    return toxicity.score(docs, model, carry=["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, root: str) -> DataFrame:
     return bpe.digests(Tables(spark, root).documents, VOCABULARY)
 
 
+def op3_suffix_tree(spark: SparkSession, root: str) -> DataFrame:
+    docs = Tables(spark, root).documents.withColumn("held_out", arrays.split_column("doc_id", 7) == 2)
+    tree, words = suffix_tree.learn(docs.where(~F.col("held_out")))
+    return suffix_tree.score(docs, tree, words)
+
+
+def op4_pivot_top_k(spark: SparkSession, root: str) -> DataFrame:
+    return topk.top_k(Tables(spark, root).embeddings)
+
+
 def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality.judge(Tables(spark, root).documents)
 
@@ -74,6 +91,8 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
-_ALL = (op2_bpe_round_trip, op5_quality_rules, op6_pack_documents, op7_near_duplicates, op8_license_scan, op9_language_id, op10_token_counts)
+_ALL = (
+    op1_toxicity, op2_bpe_round_trip, op3_suffix_tree, op4_pivot_top_k, op5_quality_rules, op6_pack_documents, op7_near_duplicates, op8_license_scan, op9_language_id, op10_token_counts,
+)
 QUERIES = {f.__name__: _query(f) for f in _ALL}
 ORACLES: dict[str, str] = {}
