@@ -3,7 +3,7 @@
 The documents of a partition form one stream of ids, each document followed by
 the end id.  Windows of at most ``size`` ids cut the stream; a cut may stand at
 the end of a document (free), at the end of a sentence (``sentence_cost``) or,
-inside a sentence longer than a window, at a multiple of ``size / 8``
+inside a sentence of more than ``size / 32`` ids, at every ``size / 64`` ids
 (``hard_cost``).  The cuts minimise padding plus these truncation penalties:
 
     f(j) = cost(j) + min over i of f(i) + padding(c_j - c_i)
@@ -44,10 +44,11 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, size: in
     cost[doc_ends] = 0
     cost[0] = 0
     at = np.flatnonzero(cost >= 0)
-    wide = np.flatnonzero(np.diff(at) > size)
-    for i in wide:
-        extra = np.arange(at[i] + size // 8, at[i + 1], size // 8)
-        cost[extra] = hard_cost
+    step = max(1, size // 64)
+    gap = np.diff(at)
+    inside = np.where(gap > 2 * step, (gap - 1) // step, 0)
+    extra = np.repeat(at[:-1], inside) + step * (np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside) + 1)
+    cost[extra] = hard_cost
     at = np.flatnonzero(cost >= 0)
     return at, cost[at]
 
@@ -138,7 +139,7 @@ class _Stream:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, sentence_cost: int = 8, hard_cost: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, sentence_cost: int = 2, hard_cost: int = 16, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per piece of a document: key, start (its ids before the piece),
     length, ids_crc32, doc_tokens, sequence_id, offset (ids before it in the
     window).  Order within a partition is kept; no shuffle.

@@ -95,4 +95,64 @@ _ALL = (
     op1_toxicity, op2_bpe_round_trip, op3_suffix_tree, op4_pivot_top_k, op5_quality_rules, op6_pack_documents, op7_near_duplicates, op8_license_scan, op9_language_id, op10_token_counts,
 )
 QUERIES = {f.__name__: _query(f) for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+#: the others have no SQL form; tests compare them with brute force
+ORACLES = {
+    "op4_pivot_top_k": """
+with e as (
+  select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) q
+  from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.r ar, b.r br, a.vec_id query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) score
+  from e a join e b on a.r <> b.r and len(a.q) = len(b.q) where a.vec_id % 50 = 0
+), k as (select *, row_number() over (partition by ar order by score desc, vec_id, br) as rank from s)
+select query_id, cast(rank as int) rank, vec_id, score from k where rank <= 5
+""",
+    "op5_quality_rules": r"""
+with d as (select row_number() over () r, doc_id, lang, source, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
+g as (select r, unnest(range(1, len(ws) - 6)) i, ws from w where len(ws) >= 8),
+v as (select r, i, count(*) over (partition by r, array_to_string(ws[i:i + 7], ' ')) n from g),
+c as (select r, count(distinct i + k) n from v, (select unnest(range(0, 8)) k) where n > 1 group by r),
+m as (
+  select w.r, doc_id, lang, source, len(ws) n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(c.n, 0) n_repeat_words, len(ls) n_lines
+  from w left join c on w.r = c.r
+),
+f as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
+    case when n_words > 0 then word_chars * 100 // n_words else 0 end x1, case when n_words > 0 then n_symbols * 1000 // n_words else 0 end x2,
+    case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end x3, case when n_words > 0 then n_repeat_words * 1000 // n_words else 0 end x4
+  from m
+),
+x as (select lang, source, unnest([1, 2, 3, 4]) rate, unnest([x1, x2, x3, x4]) x from f where not base_failed),
+b as (select *, case when x < 64 then x else (length(bin(x)) - 6) * 32 + (x >> (length(bin(x)) - 6)) end bucket from x),
+l as (
+  select 0 lv, lang, source, rate, bucket, count(*) n from b group by all
+  union all select 1, lang, null, rate, bucket, count(*) from b group by all
+  union all select 2, null, null, rate, bucket, count(*) from b group by all
+),
+u as (select *, sum(n) over (partition by lv, lang, source, rate order by bucket) upto, sum(n) over (partition by lv, lang, source, rate) total from l),
+q as (
+  select lv, lang, source, rate, min(case when upto >= ceil(total * 0.25) then bucket end) b1, min(case when upto >= ceil(total * 0.75) then bucket end) b3, max(total) total
+  from u group by all
+),
+h as (
+  select *, case when b1 < 64 then b1 else (b1 - 32 * (b1 // 32 - 1)) << cast(b1 // 32 - 1 as int) end q1, case when b3 < 64 then b3 else (b3 - 32 * (b3 // 32 - 1)) << cast(b3 // 32 - 1 as int) end q3
+  from q
+),
+z as (
+  select lv, lang, source, max(total) total, max(case when rate = 1 then q1 - 6 * greatest(q3 - q1, 60) end) low1, max(case when rate = 1 then q3 + 6 * greatest(q3 - q1, 60) end) high1,
+    max(case when rate = 2 then q3 + 6 * greatest(q3 - q1, 25) end) high2, max(case when rate = 3 then q3 + 6 * greatest(q3 - q1, 100) end) high3, max(case when rate = 4 then q3 + 6 * greatest(q3 - q1, 40) end) high4
+  from h group by all
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and x1 >= k.low1 and x1 <= k.high1 and x2 <= k.high2 and x3 <= k.high3 and x4 <= k.high4 kept
+from f
+left join z o on o.lv = 0 and o.lang is not distinct from f.lang and o.source is not distinct from f.source
+left join z a on a.lv = 1 and a.lang is not distinct from f.lang
+left join z k on k.lv = case when o.total >= 200 then 0 when a.total >= 200 then 1 else 2 end
+  and (k.lv = 2 or k.lang is not distinct from f.lang) and (k.lv > 0 or k.source is not distinct from f.source)
+""",
+}

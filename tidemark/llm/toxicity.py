@@ -11,8 +11,9 @@ the squared change of the score is added to the loss:
 Features are the presence of words (A-Z in lower case, split at ASCII
 punctuation) and of their first four and six bytes.  The classifier is fitted on
 about ``SAMPLE_ROWS`` labelled rows of each class at most, chosen by a hash of
-the id: Spark counts all their features and a likelihood-ratio test picks
-``FEATURES`` of them, so the fit's size is fixed.
+the id: Spark counts all their features, and at most ``FEATURES`` that pass a
+likelihood-ratio test are used, so the fit's size is bounded.  Classes count alike
+in the fit: a score is the probability of the toxic class at equal shares.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from tidemark.session import materialize
 
 SAMPLE_ROWS = 10_000
 FEATURES = 4_096
-LEAST_ROWS = 3
+LEAST_ROWS, LEAST_GAIN = 3, 8.0
 PREFIXES = (4, 6)
 
 #: terms of one kind may stand for each other
@@ -119,7 +120,7 @@ def choose_features(counts: DataFrame, n_pos: int, n_neg: int, most: int) -> np.
     share = n_pos / max(1, n_pos + n_neg)
     part = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
     gain = part(F.col("pos"), both * share) + part(F.col("neg"), both * (1 - share))
-    best = counts.where(both >= LEAST_ROWS).withColumn("gain", F.round(gain, 9)).orderBy(F.desc("gain"), "f").limit(most)
+    best = counts.where(both >= LEAST_ROWS).withColumn("gain", F.round(gain, 9)).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "f").limit(most)
     chosen = best.select("f").toArrow()["f"].to_numpy().view(np.uint64)
     terms = [word_features(t) for kind in IDENTITY_TERMS for t in kind]
     return np.unique(np.concatenate([chosen, *terms]))
@@ -190,13 +191,12 @@ def swapped_pairs(table: list[dict], hashes: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate([empty, *row]).astype(np.int64), np.concatenate([empty, *column]).astype(np.int64), np.concatenate([np.zeros(0), *sign]), n
 
 
-def fit(table: list[dict], hashes: np.ndarray, prior: float, fairness: float = 5.0, l2: float = 1e-3, rounds: int = 400) -> Model:
-    """Weights by accelerated gradient descent on the sampled rows; the intercept
-    is moved from the sample's class shares to those of all labelled rows."""
+def fit(table: list[dict], hashes: np.ndarray, fairness: float = 5.0, l2: float = 1e-4, rounds: int = 400) -> Model:
+    """Weights by accelerated gradient descent on the sampled rows."""
     y = np.array([r["toxic"] for r in table], np.float64)
     n, m = y.size, hashes.size
     if n == 0 or y.min() == y.max():
-        return Model(hashes[:0], np.zeros(0), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))) if n else 0.0)
+        return Model(hashes[:0], np.zeros(0), float(np.clip(y.mean() * 2 - 1, -1, 1)) * 5 if n else 0.0)
     row, col = _csr([np.array(r["at"], np.int64) for r in table])
     s_row, s_col, s_sign, swaps = swapped_pairs(table, hashes)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both classes count alike
@@ -232,12 +232,12 @@ def fit(table: list[dict], hashes: np.ndarray, prior: float, fairness: float = 5
         g, g_b = gradient(w_at, b_at)
         w_old, b_old = w, b
         w, b = w_at - step * g, b_at - step * g_b
-    shift = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-    return Model(hashes, w, float(b + shift))
+    return Model(hashes, w, float(b))
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE_ROWS, most: int = FEATURES, fairness: float = 5.0) -> Model:
-    """Fit from the rows of ``docs`` that ``labels`` marks 0 or 1.
+    """Fit from the rows of ``docs`` that ``labels`` marks 0 or 1; with one class
+    only, every text gets the same score.
 
     A key labelled twice counts as toxic if any of its labels is; null labels are
     left out.  Only the sampled keys, a bounded number, go to every task."""
@@ -250,7 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     got = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     hashes = choose_features(feature_counts(rows, "_text", "_label"), got.get(1, 0), got.get(0, 0), most)
     table = training_rows(rows, "_text", "_label", hashes).to_pylist()
-    return fit(table, hashes, n_pos / max(1, n_pos + n_neg), fairness)
+    return fit(table, hashes, fairness)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] = ("doc_id",)) -> DataFrame:
