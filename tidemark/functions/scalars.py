@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 
 def name_similarity(a: Column, b: Column) -> Column:
     """1 - levenshtein / longer length, ignoring case; two empty names are equal."""
@@ -20,27 +22,29 @@ def json_get(c: Column, path: str) -> Column:
     return F.get_json_object(c, "$." + path)
 
 
-def json_flatten(df: DataFrame, key: Sequence[str], column: str, max_depth: int = 8) -> DataFrame:
+def json_flatten(df: DataFrame, key: Sequence[str], column: str, max_depth: int | None = None) -> DataFrame:
     """Leaves of a JSON text as (path, value): ``a.b`` for members, ``a[0]`` for items.
 
-    One variant_explode per level; leaves are kept as they appear.  ``open`` marks
-    a container below ``max_depth``, given back whole.
+    One variant_explode per level, until no container is left; each level is
+    stored, so a text is parsed once.  With ``max_depth``, containers below it are
+    given back whole and marked ``open``.
     """
     level = df.select(*key, F.lit("").alias("path"), F.try_parse_json(column).alias("_v")).where("_v is not null")
     kind = F.regexp_extract(F.schema_of_variant("_v"), r"^(OBJECT|ARRAY)", 1)
-    out = None
-    for depth in range(max_depth + 1):
-        leaf = level.where(kind == "").select(*key, "path", F.variant_get("_v", "$", "string").alias("value"), F.lit(False).alias("open"))
+    level, out, depth = materialize(level.withColumn("_k", kind), "json"), None, 0
+    while True:
+        leaf = level.where("_k = ''").select(*key, "path", F.variant_get("_v", "$", "string").alias("value"), F.lit(False).alias("open"))
         out = leaf if out is None else out.unionByName(leaf)
-        deeper = level.where(kind != "")
+        deeper = level.where("_k <> ''")
+        if deeper.isEmpty():
+            return out
         if depth == max_depth:
             return out.unionByName(deeper.select(*key, "path", F.to_json("_v").alias("value"), F.lit(True).alias("open")))
-        deeper.createOrReplaceTempView("_tm_json_level")
-        level = df.sparkSession.sql(f"""
-            SELECT {', '.join(key)}, CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']')
-              WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END AS path, e.value AS _v
-            FROM _tm_json_level, LATERAL variant_explode(_v) AS e""")
-    return out
+        depth += 1
+        path = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
+        own = [F.col(f"_key.{c}") for c in key]
+        parts = deeper.select(F.struct(*key).alias("_key"), "path", "_v").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+        level = materialize(parts.select(*own, path.alias("path"), F.col("value").alias("_v")).withColumn("_k", kind), "json")
 
 
 def json_edit(c: Column, edits: Sequence[tuple]) -> Column:
@@ -98,8 +102,8 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0", "t", "f", "y", "n"]
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 GUID = r"^[{(]?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}[)}]?$"
-INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
-DECIMAL = r"^\s*[+-]?([0-9]{1,28}|[0-9]{1,3}(,[0-9]{3})+)?(\.[0-9]*)?\s*$"
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+DECIMAL = r"^\s*[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)?(\.[0-9]*)?\s*$"
 DATETIME = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?\s*$"
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"
 
@@ -108,7 +112,7 @@ def type_tests(v: Column) -> dict[str, Column]:
     """Does a text parse as each class?  Order is the tie order of inference."""
     return {
         "Boolean": F.lower(v).isin(*BOOLEAN_WORDS),
-        "Integer": v.rlike(INTEGER),
+        "Integer": v.rlike(INTEGER) & F.trim(v).try_cast("bigint").isNotNull(),
         "Decimal": v.rlike(DECIMAL) & v.rlike("[0-9]"),
         "DateTime": v.rlike(DATETIME) & F.try_to_timestamp(v).isNotNull(),
         "Guid": v.rlike(GUID),

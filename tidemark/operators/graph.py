@@ -6,12 +6,17 @@ flat and a lost executor repeats one round only.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import conf_int, materialize
+
+# Edges that one task may finish by itself; beyond it, rounds of joins.
+SMALL_GRAPH = ("spark.tidemark.smallGraphEdges", 100_000)
 
 
 def _frame(edges: DataFrame, node: str, **cols: Column) -> DataFrame:
@@ -21,7 +26,7 @@ def _frame(edges: DataFrame, node: str, **cols: Column) -> DataFrame:
 
 
 def distance_to(edges: DataFrame, end: str, max_depth: int) -> DataFrame:
-    """Nodes that reach ``end`` within ``max_depth`` edges, with the distance."""
+    """Nodes that reach ``end`` within ``max_depth`` edges, with the distance.  ``edges`` are read once a round: store them first."""
     seen = frontier = _frame(edges, end, dist=F.lit(0))
     for d in range(1, max_depth + 1):
         step = edges.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
@@ -38,7 +43,7 @@ def find_paths(edges: DataFrame, start: str, end: str, max_depth: int = 5, limit
     Backward distances prune every partial path that cannot arrive in time, and
     the search stops at the first depth that fills ``limit``.
     """
-    edges = edges.select("edge_id", "src", "dst")
+    edges = materialize(edges.select("edge_id", "src", "dst"), "edges")
     near = distance_to(edges, end, max_depth - 1).select(F.col("node").alias("dst"), "dist")
     steps = materialize(edges.join(near, "dst"), "steps")
     paths = _frame(edges, start, nodes=F.array(F.lit(start).cast(edges.schema["src"].dataType)),
@@ -65,7 +70,7 @@ def find_paths(edges: DataFrame, start: str, end: str, max_depth: int = 5, limit
 def neighbors(edges: DataFrame, start: str, depth: int = 1, limit: int = 1000) -> DataFrame:
     """Distinct nodes within ``depth`` undirected hops of ``start``, lowest ids first."""
     ends = edges.select("src", "dst")
-    both = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = materialize(ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "edges")
     seen = frontier = _frame(edges, start)
     for _ in range(depth):
         step = both.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
@@ -95,43 +100,173 @@ def detach_delete(vertices: DataFrame, edges: DataFrame, doomed: DataFrame) -> t
     return vertices.join(ids, "id", "left_anti"), kept
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 1000) -> DataFrame:
+def _fits_one_task(edges: DataFrame) -> bool:
+    return edges.limit(conf_int(edges.sparkSession, SMALL_GRAPH) + 1).count() <= conf_int(edges.sparkSession, SMALL_GRAPH)
+
+
+def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest-path level of every node (``src`` depends on ``dst``); level 0 has no
     dependency.  A node is at level >= k when some dependency is at level >= k-1,
-    so each round keeps only the edges into the previous set."""
-    live = edges.select("src", "dst").where("src <> dst")
-    ids = nodes.select(F.col("id").alias("node"))
-    levels = [ids.select("node", F.lit(0).alias("level"))]
-    for k in range(1, max_levels + 1):
+    so each round keeps only the edges into the previous set.  Once the edges left
+    fit in one task, they are finished there; a round that removes no edge means a
+    cycle, which is an error.  There is no limit on levels."""
+    kind = edges.schema["src"].dataType.simpleString()
+    live = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "live")
+    levels = [nodes.select(F.col("id").alias("node"), F.lit(0).alias("level"))]
+    k, left = 0, live.count()
+    while left:
+        if left <= conf_int(edges.sparkSession, SMALL_GRAPH):
+            levels.append(live.groupBy(F.lit(0).alias("one")).applyInPandas(lambda g: _levels(g, k), f"node {kind}, level int"))
+            break
+        k += 1
         at_least = materialize(live.select(F.col("src").alias("node")).distinct(), "level")
-        if at_least.isEmpty():
-            every = reduce(DataFrame.unionByName, levels)
-            return every.groupBy("node").agg(F.max("level").alias("level"))
         levels.append(at_least.withColumn("level", F.lit(k)))
         live = materialize(live.join(at_least.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "live")
-    raise ValueError("cycle in the dependency graph")
+        before, left = left, live.count()
+        if left == before:
+            raise ValueError("cycle in the dependency graph")
+    return reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.max("level").alias("level"))
 
 
-def find_cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """Simple cycles of up to ``max_length`` edges, written from their lowest node.
+def _levels(edges: pd.DataFrame, base: int) -> pd.DataFrame:
+    """Levels above ``base`` of the nodes of a small graph, dependencies first."""
+    users, waiting = defaultdict(list), defaultdict(int)
+    for src, dst in zip(edges["src"], edges["dst"], strict=True):
+        users[dst].append(src)
+        waiting[src] += 1
+    level = dict.fromkeys([*edges["src"], *edges["dst"]], 0)
+    ready = [n for n in level if not waiting[n]]
+    done = 0
+    while ready:
+        n = ready.pop()
+        done += 1
+        for user in users[n]:
+            level[user] = max(level[user], level[n] + 1)
+            waiting[user] -= 1
+            if not waiting[user]:
+                ready.append(user)
+    if done < len(level):
+        raise ValueError("cycle in the dependency graph")
+    return pd.DataFrame({"node": list(level), "level": [base + x for x in level.values()]})
 
-    Nodes without an incoming or outgoing edge are trimmed first; a path only
-    grows through nodes above its start, so each cycle appears once.
-    """
-    live = materialize(edges.select("src", "dst").distinct(), "edges")
-    for _ in range(2):
-        live = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        live = materialize(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "core")
-    paths = live.where("dst >= src").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src").alias("nodes"))
-    found = []
-    for length in range(1, max_length + 1):
-        found.append(paths.where("node = start").select("nodes", F.lit(length).alias("length")))
-        if length == max_length:
+
+def _trim(edges: DataFrame) -> DataFrame:
+    """Edges whose ends have both an incoming and an outgoing edge, to a fixpoint."""
+    left = edges.count()
+    while left:
+        kept = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = materialize(kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "core")
+        before, left = left, edges.count()
+        if left == before:
             break
-        open_paths = paths.where("node <> start").withColumn("nodes", F.array_append("nodes", F.col("node")))
-        grown = open_paths.join(live, F.col("node") == F.col("src")).where(
-            (F.col("dst") == F.col("start")) | ((F.col("dst") > F.col("start")) & ~F.array_contains("nodes", F.col("dst"))))
-        paths = materialize(grown.select("start", F.col("dst").alias("node"), "nodes"), "cycle-paths")
-        if paths.isEmpty():
+    return edges
+
+
+def _spread_label(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Smallest label that reaches each node along ``edges`` (node, label)."""
+    while True:
+        moved = edges.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.col("label").alias("_m"))
+        new = labels.join(moved.groupBy("node").agg(F.min("_m").alias("_m")), "node", "left")
+        new = materialize(new.select("node", F.least("label", F.coalesce("_m", "label")).alias("label"), (F.col("_m") < F.col("label")).alias("changed")), "labels")
+        labels = new.select("node", "label")
+        if new.where("changed").isEmpty():
+            return labels
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node that lies on a cycle; a component is named by
+    its lowest node.
+
+    Nodes that cannot be on a cycle are trimmed.  Each round then gives every node
+    the smallest node that reaches it; within such a colour, what reaches the
+    colour's own node back is one component.  A remainder that fits in one task is
+    finished there."""
+    kind = edges.schema["src"].dataType.simpleString()
+    pairs = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    found = [pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
+    live = _trim(pairs.where("src <> dst"))
+    while not live.isEmpty():
+        if _fits_one_task(live):
+            found.append(live.groupBy(F.lit(0).alias("one")).applyInPandas(_components, f"node {kind}, component {kind}"))
             break
-    return reduce(DataFrame.unionByName, found)
+        nodes = live.select(F.col("src").alias("node")).distinct()
+        colour = _spread_label(nodes.withColumn("label", F.col("node")), live)
+        tail, head = (colour.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")) for end in ("src", "dst"))
+        same = materialize(live.join(tail, "src").join(head, "dst").where("_src = _dst").select("src", "dst", F.col("_src").alias("label")), "colours")
+        reached = materialize(same.select(F.col("label").alias("node"), "label").distinct(), "back")
+        frontier = reached
+        while not frontier.isEmpty():
+            step = same.join(frontier.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
+            frontier = materialize(step.join(reached, ["node", "label"], "left_anti"), "back")
+            reached = materialize(reached.unionByName(frontier), "back")
+        found.append(reached.select("node", F.col("label").alias("component")))
+        for end in ("src", "dst"):
+            live = live.join(reached.select(F.col("node").alias(end)), end, "left_anti")
+        live = _trim(materialize(live.select("src", "dst"), "core"))
+    # a node with a loop may also be in a larger component, and a lone colour root in none
+    named = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("component").alias("component"))
+    tail, head = (named.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst"))
+    inside = pairs.join(tail, "src").join(head, "dst").where("_src = _dst")
+    return materialize(named.join(inside.select(F.col("src").alias("node")).distinct(), "node", "left_semi"), "components")
+
+
+def _components(edges: pd.DataFrame) -> pd.DataFrame:
+    """Components of a small graph: order by finishing time, then search backwards."""
+    after, before = defaultdict(list), defaultdict(list)
+    for src, dst in zip(edges["src"], edges["dst"], strict=True):
+        after[src].append(dst)
+        before[dst].append(src)
+    finished, seen = [], set()
+    for start in [*after, *before]:
+        stack = [] if start in seen else [(start, iter(after[start]))]
+        seen.add(start)
+        while stack:
+            node, rest = stack[-1]
+            nxt = next((x for x in rest if x not in seen), None)
+            if nxt is None:
+                finished.append(node)
+                stack.pop()
+            else:
+                seen.add(nxt)
+                stack.append((nxt, iter(after[nxt])))
+    out, taken = [], set()
+    for root in reversed(finished):
+        group, stack = [], [] if root in taken else [root]
+        taken.add(root)
+        while stack:
+            node = stack.pop()
+            group.append(node)
+            for x in before[node]:
+                if x not in taken:
+                    taken.add(x)
+                    stack.append(x)
+        if len(group) > 1:
+            low = min(group)
+            out += [(node, low) for node in group]
+    return pd.DataFrame(out, columns=["node", "component"])
+
+
+def find_cycles(edges: DataFrame) -> DataFrame:
+    """One row per group of nodes on common cycles: component (its lowest node),
+    nodes, edges, and a shortest cycle through the lowest node, of any length.
+
+    All simple cycles would be exponentially many; every one of them lies within
+    one component, and every component has one."""
+    named = strongly_connected(edges)
+    tail, head = (named.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst"))
+    inside = edges.select("src", "dst").distinct().join(tail, "src").join(head, "dst").where("_src = _dst")
+    inside = materialize(inside.select("src", "dst", F.col("_src").alias("component")), "inside")
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).join(inside.groupBy("component").agg(F.count(F.lit(1)).alias("edges")), "component")
+    # breadth first from the lowest node of each component, one path per node
+    seen = materialize(named.where("node = component").select("component", "node", F.array("node").alias("path")), "walk")
+    frontier, closed = seen, []
+    while not frontier.isEmpty():
+        grown = frontier.withColumnRenamed("node", "src").join(inside, ["component", "src"])
+        closed.append(grown.where("dst = component").select("component", "path"))
+        step = grown.where("dst <> component").groupBy("component", F.col("dst").alias("node")).agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
+        frontier = materialize(step.join(seen.select("component", "node"), ["component", "node"], "left_anti"), "walk")
+        seen = materialize(seen.unionByName(frontier), "walk")
+    if not closed:
+        return sizes.withColumn("cycle", F.array().cast(f"array<{edges.schema['src'].dataType.simpleString()}>"))
+    shortest = reduce(DataFrame.unionByName, closed).groupBy("component").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("cycle"))
+    return sizes.join(shortest, "component")

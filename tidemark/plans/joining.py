@@ -125,10 +125,12 @@ WITH RECURSIVE m(month_start, last) AS (SELECT date_trunc('month', min(o_orderda
  UNION ALL SELECT (month_start + INTERVAL 1 MONTH)::DATE, last FROM m WHERE month_start < last)
 SELECT strftime(month_start, '%Y-%m') AS month, count(o_orderkey) AS n FROM m LEFT JOIN orders ON date_trunc('month', o_orderdate)::DATE = month_start GROUP BY 1""")
 def recursive_calendar(t: Tables):
+    # the recursion may go as deep as the dates need
     t.orders.createOrReplaceTempView("tm_orders")
-    return t.spark.sql("""
+    months = t.orders.agg(F.months_between(F.trunc(F.max("o_orderdate"), "MM"), F.trunc(F.min("o_orderdate"), "MM"))).first()[0]
+    return t.spark.sql(f"""
       WITH RECURSIVE bounds AS (SELECT cast(trunc(min(o_orderdate), 'MM') AS date) AS lo, cast(trunc(max(o_orderdate), 'MM') AS date) AS hi FROM tm_orders),
-      m(month_start, last) AS (
+      m(month_start, last) MAX RECURSION LEVEL {int(months or 0) + 2} AS (
         SELECT lo, hi FROM bounds UNION ALL SELECT cast(add_months(month_start, 1) AS date), last FROM m WHERE month_start < last),
       counts AS (SELECT cast(trunc(o_orderdate, 'MM') AS date) AS month_start, count(1) AS n FROM tm_orders GROUP BY 1)
       SELECT date_format(m.month_start, 'yyyy-MM') AS month, coalesce(n, 0) AS n FROM m LEFT JOIN counts ON m.month_start = counts.month_start""")
@@ -222,28 +224,25 @@ def graph_detach_delete(t: Tables):
 
 @query("dependency_levels", "J18 L3", """
 SELECT 'R' || r_regionkey AS node, 0 AS level FROM region UNION ALL SELECT 'N' || n_nationkey, 1 FROM nation
-UNION ALL SELECT 'C' || c_custkey, 2 FROM customer UNION ALL SELECT 'S' || s_suppkey, 0 FROM supplier
+UNION ALL SELECT 'C' || c_custkey, 2 FROM customer UNION ALL SELECT 'S' || s_suppkey, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) THEN 4 ELSE 0 END FROM supplier
 UNION ALL SELECT 'O' || o_orderkey, 3 FROM orders""")
 def dependency_levels(t: Tables):
-    # each order depends on its customer, the customer on its nation, and so on
-    refs = _edges(t).where("edge_id NOT LIKE 'OS%'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    # a supplier depends on the orders it ships, an order on its customer, that on its nation, and so on
+    refs = _edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return gr.dependency_levels(_vertices(t), refs)
 
 
-_NEXT = """
-e AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderpriority = '1-URGENT')"""
-
-
-@query("graph_cycles", "J19", f"""
-WITH RECURSIVE {_NEXT}, p(start, node, nodes, length) AS (SELECT src, dst, [src], 1 FROM e WHERE dst >= src
- UNION ALL SELECT p.start, e.dst, list_append(nodes, p.node), length + 1 FROM p JOIN e ON e.src = p.node WHERE p.node <> p.start AND length < 4
- AND (e.dst = p.start OR (e.dst > p.start AND NOT list_contains(nodes, e.dst) AND e.dst <> p.node)))
-SELECT length, array_to_string(nodes, '>') AS cycle FROM p WHERE node = start""")
+@query("graph_cycles", "J19", """
+WITH RECURSIVE e AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1),
+r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b),
+c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
+SELECT s.component, count(DISTINCT s.node) AS nodes, (SELECT count(*) FROM e JOIN c p ON p.node = e.src JOIN c q ON q.node = e.dst WHERE p.component = s.component AND q.component = s.component) AS edges
+FROM c s GROUP BY s.component""")
 def graph_cycles(t: Tables):
-    # the customer of each urgent order points at the customer of the order after it
-    a = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1).alias("o_orderkey"))
+    # the customer of each order points at the customer of the order after it
+    a = t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1).alias("o_orderkey"))
     edges = a.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("dst")), "o_orderkey").select("src", "dst")
-    return gr.find_cycles(edges, 4).select("length", F.array_join(F.col("nodes").cast("array<string>"), ">").alias("cycle"))
+    return gr.find_cycles(edges).select("component", "nodes", "edges")
 
 
 _FK = [("customer", "c_custkey"), ("customer", "c_nationkey"), ("nation", "n_nationkey"), ("nation", "n_regionkey"), ("region", "r_regionkey"),

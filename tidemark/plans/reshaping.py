@@ -116,10 +116,12 @@ def json_path_value(t: Tables):
 
 @query("json_flatten", "X7", """
 SELECT event_id, 'k' AS path, props->>'$.k' AS value, false AS open FROM events
-UNION ALL SELECT event_id, 'tags[0]', event_type, false FROM events UNION ALL SELECT event_id, 'tags[1].user', user_id::VARCHAR, false FROM events""")
+UNION ALL SELECT event_id, 'tags[0]', event_type, false FROM events UNION ALL SELECT event_id, 'tags[1].user', user_id::VARCHAR, false FROM events
+UNION ALL SELECT event_id, 'deep' || repeat('[0]', 11), event_id::VARCHAR, false FROM events WHERE event_id % 10 = 3""")
 def json_flatten(t: Tables):
-    nested = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "tags": ["'), "event_type", F.lit('", {"user": '), "user_id", F.lit("}]}"))
-    return sc.json_flatten(t.events.select("event_id", nested.alias("j")), ["event_id"], "j", max_depth=3)
+    nested = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "tags": ["'), "event_type", F.lit('", {"user": '), "user_id", F.lit("}]"),
+                      F.when(F.col("event_id") % 10 == 3, F.concat(F.lit(', "deep": ' + "[" * 11), "event_id", F.lit("]" * 11))).otherwise(""), F.lit("}"))
+    return sc.json_flatten(t.events.select("event_id", nested.alias("j")), ["event_id"], "j")
 
 
 @query("json_edit", "X8", """
