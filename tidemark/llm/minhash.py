@@ -17,10 +17,14 @@
   in a sample with their weighted Jaccard similarity as probability.
 * Texts that agree in all samples of a band are candidates, verified by their
   exact weighted Jaccard similarity.  In a band bucket each text is first
-  compared with the bucket's first text only; texts so joined need no further
-  comparison among each other, since classes are connected components.  What is
-  left, pairs of one bucket in different components, is then compared in full,
-  so a group of n copies costs n comparisons and no link is lost.
+  compared only with the bucket's head, the text with most bucket neighbours (the
+  original of a family of edited copies has most); texts so joined need no further
+  comparison among each other, since classes are connected components.
+* What is left are pairs of one bucket in different components.  The weight that
+  a text shares with no other text left bounds its overlap with all of them:
+  similarity s needs an overlap of s / (1 + s) of both weights together.  Texts
+  and pairs that cannot reach it are dropped, the rest is compared in full.  So a
+  family of n edited copies costs about n comparisons, and no link is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays
@@ -41,7 +45,6 @@ BANDS, ROWS = 8, 3
 COMMON = 200_000
 SPAN = 0.5
 _BUCKET_BITS = 18
-_SAMPLE_WORDS = 200_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,56 +153,90 @@ def samples(h: np.ndarray, weight: np.ndarray, ptr: np.ndarray, count: int) -> n
     return out
 
 
-def signatures(docs: DataFrame, text: str, weights: Weights) -> DataFrame:
-    """rid, band, key of the texts with a word; rid numbers the rows of ``docs``."""
+def signed(docs: DataFrame, text: str, carry: str, weights: Weights) -> DataFrame:
+    """rid, carry, hash pair of the word sequence, weight and band keys of each
+    row; all null but the first two without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for batch in batches:
             for rows, data, offsets in arrays.text_slices(batch, text):
+                n = rows.num_rows
+                words = arrays.Words(data, offsets, arrays.SPACED)
+                none = words.counts() == 0
+                place = np.arange(words.hash.size) - np.repeat(words.ptr[:-1], words.counts())
+                power, _ = arrays._powers(place.size + 1)
+                sums = [np.r_[np.uint64(0), np.cumsum(arrays.mix(words.hash + np.uint64(k)) * power[place])][words.ptr] for k in (0, 1)]
+                same = [pa.array(arrays.mix(s[1:] - s[:-1]).view(np.int64), mask=none) for s in sums]
                 of, h, count = shingles(data, offsets)
-                present = np.unique(of)
-                if not present.size:
-                    continue
-                ptr = np.r_[np.searchsorted(of, present), of.size]
-                drawn = samples(h, weights.of(h, count), ptr, BANDS * ROWS)
-                key = np.zeros((present.size, BANDS), np.uint64)
-                for k in range(ROWS):
-                    key = arrays.mix(key * np.uint64(0xE7037ED1A0B428DB) + drawn[:, k::ROWS])
-                rid = rows.column("rid").to_numpy()[present]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid, BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), present.size)), pa.array(key.ravel().view(np.int64))], ["rid", "band", "key"])
+                weight = weights.of(h, count)
+                keys = np.zeros((n, BANDS), np.uint64)
+                if h.size:
+                    drawn = samples(h, weight, np.r_[np.searchsorted(of, np.flatnonzero(~none)), of.size], BANDS * ROWS)
+                    key = np.zeros((len(drawn), BANDS), np.uint64)
+                    for k in range(ROWS):
+                        key = arrays.mix(key * np.uint64(0xE7037ED1A0B428DB) + drawn[:, k::ROWS])
+                    keys[~none] = key
+                lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(arrays.row_ids(at, n)), rows.column(carry), *same, pa.array(np.bincount(of, weight, n)), lists], ["rid", carry, "h1", "h2", "weight", "keys"])
+                at += n
+
+    return docs.select(carry, text).mapInArrow(run, f"rid long, `{carry}` {docs.schema[carry].dataType.simpleString()}, h1 long, h2 long, weight double, keys array<long>")
+
 
-    return docs.select("rid", text).mapInArrow(run, "rid long, band byte, key long")
+_FILTER_BITS = 24
 
 
-def _numbered(docs: DataFrame, text: str, carry: str) -> DataFrame:
-    """rid, hash pair of the word sequence (null without words) and ``carry``."""
+def _spot(rid: np.ndarray) -> np.ndarray:
+    return (arrays.mix(rid.view(np.uint64) + np.uint64(1)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+
+
+def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """rid and text of the rows whose rid is in ``wanted`` (one column, distinct).
+
+    A bitmap of fixed size keeps most other texts out of the shuffle; with more
+    rids than it can tell apart it only saves less."""
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << _FILTER_BITS, bool)
+        for batch in batches:
+            bits[_spot(batch.column("rid").to_numpy())] = True
+        packed = np.packbits(bits, bitorder="little").view(np.int64)
+        used = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed[used])], ["word", "bits"])
+
+    words = wanted.select("rid").mapInArrow(spots, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
         at = 0
         for batch in batches:
-            for rows, data, offsets in arrays.text_slices(batch, text):
-                words = arrays.Words(data, offsets, arrays.SPACED)
-                n = words.counts()
-                place = np.arange(words.hash.size) - np.repeat(words.ptr[:-1], n)
-                power, _ = arrays._powers(place.size + 1)
-                sums = [np.r_[np.uint64(0), np.cumsum(arrays.mix(words.hash + np.uint64(k)) * power[place])][words.ptr] for k in (0, 1)]
-                h = [pa.array(arrays.mix(s[1:] - s[:-1]).view(np.int64), mask=n == 0) for s in sums]
-                yield pa.RecordBatch.from_arrays([pa.array(arrays.row_ids(at, rows.num_rows)), *h, rows.column(carry)], ["rid", "h1", "h2", carry])
-                at += rows.num_rows
+            rid = arrays.row_ids(at, batch.num_rows)
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(rid), batch.column(text)], ["rid", "text"]).filter(pa.array(bits[_spot(rid)]))
 
-    return docs.select(carry, text).mapInArrow(run, f"rid long, h1 long, h2 long, `{carry}` {docs.schema[carry].dataType.simpleString()}")
+    return docs.select(text).mapInArrow(run, "rid long, text string").join(wanted.hint("merge"), "rid", "left_semi")
 
 
-def _with_ids(docs: DataFrame, text: str) -> DataFrame:
-    """rid and text of each row, numbered as in ``_numbered``."""
+def lone_weights(texts: DataFrame, weights: Weights) -> DataFrame:
+    """rid, lone: weight of the shingles that no other of these texts has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(arrays.row_ids(at, batch.num_rows)), batch.column(text)], ["rid", text])
-            at += batch.num_rows
+            for rows, data, offsets in arrays.text_slices(batch, "text"):
+                of, h, count = shingles(data, offsets)
+                w, rid = weights.of(h, count), rows.column("rid").to_numpy()[of]
+                order = np.argsort(h, kind="stable")
+                h, w, rid = h[order], w[order], rid[order]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: h.size])
+                n = np.diff(np.r_[first, h.size])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(rid[first]), pa.array(w[first]), pa.array(n, pa.int64())], ["h", "rid", "w", "n"])
 
-    return docs.select(text).mapInArrow(run, f"rid long, `{text}` string")
+    found = texts.select("rid", "text").mapInArrow(run, "h long, rid long, w double, n long")
+    alone = found.groupBy("h").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"), F.sum("w").alias("w")).where("n = 1")
+    return alone.groupBy("rid").agg(F.sum("w").alias("lone"))
 
 
 def similarities(pairs: DataFrame, weights: Weights) -> DataFrame:
@@ -247,11 +284,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough, stored."""
-    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    own = materialize(texts.join(wanted.select(F.col("a").alias("rid")), "rid", "left_semi"), "texts")
-    left = pairs.join(own.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(own.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialize(similarities(both, weights).where(F.col("similarity") >= similarity), "links")
+    left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    return materialize(similarities(both, weights).where(F.col("similarity") >= similarity), "links").select("a", "b")
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -262,45 +297,57 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     and texts without words are classes of their own; an empty table gives no
     row.  rid numbers rows by partition and place, so ``docs`` must be a plain
     scan; equal scans give equal numbers."""
-    spark: SparkSession = docs.sparkSession
     narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
-    rows = materialize(_numbered(narrow, "text", "_key"), "rows")
     weights = weigh(narrow, "text")
-    worded = rows.where("h1 is not null")
-    first = materialize(worded.groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")), "distinct")
-    texts = _with_ids(narrow, "text")
-    repeated = rows.join(first.select("h1", "h2", F.col("rid").alias("first")), ["h1", "h2"]).where("rid <> first").select("rid")
-    single = texts.join(repeated, "rid", "left_anti")
-    bands = materialize(signatures(single, "text", weights), "bands")
-    heads = bands.groupBy("band", "key").agg(F.min("rid").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialize(bands.join(heads, ["band", "key"]), "members")
-    pairs = materialize(members.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, texts, weights, similarity).select("a", "b")
+    rows = materialize(signed(narrow, "text", "_key", weights), "rows")
+    first = materialize(rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("rid").alias("rid")), "distinct")
+    single = first.select("rid").join(rows.select("rid", "weight", "keys"), "rid")
+    bands = materialize(single.select("rid", "weight", F.posexplode("keys").alias("band", "key")), "bands")
+    full = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(bands.join(full, ["band", "key"]), "members")
+    degree = members.groupBy("rid").agg(F.sum("n").alias("degree"))
+    ranked = materialize(members.join(degree, "rid"), "ranked")
+    heads = ranked.groupBy("band", "key").agg(F.max_by("rid", F.struct("degree", -F.col("rid"))).alias("head"))
+    headed = ranked.join(materialize(heads, "heads"), ["band", "key"]).where("rid <> head")
+    pairs = materialize(headed.select(F.least("head", "rid").alias("a"), F.greatest("head", "rid").alias("b")).distinct(), "pairs")
+    texts = materialize(texts_of(narrow, "text", materialize(members.select("rid").distinct(), "wanted")), "texts")
+    links = _verified(pairs, texts, weights, similarity)
     label = materialize(components(links), "roots")
-    # pairs of one bucket that are not yet in one component
-    rooted = members.join(label, members["rid"] == label["v"], "left").select("band", "key", "rid", F.coalesce("root", "rid").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-    open_ = materialize(rooted.join(mixed, ["band", "key"], "left_semi"), "open")
-    left, right = (open_.select("band", "key", F.col("rid").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
-    more = left.join(right, ["band", "key"]).where("a < b and root_a <> root_b").select("a", "b").distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _left_open(members, label, texts, weights, similarity).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(more, "pairs")
     if not more.isEmpty():
-        links = materialize(links.unionByName(_verified(more, texts, weights, similarity).select("a", "b")), "links")
+        links = materialize(links.unionByName(_verified(more, texts, weights, similarity)), "links")
         label = materialize(components(links), "roots")
-    # a class is that of its first text
+    # a class is named by its first row
     of_first = first.join(label, first["rid"] == label["v"], "left").select("h1", "h2", F.coalesce("root", "rid").alias("class"))
-    out = rows.join(of_first, ["h1", "h2"], "left").withColumn("class", F.coalesce("class", "rid"))
-    out = out.select("rid", "_key", F.col("class").alias("class_rid"), (F.col("rid") == F.col("class")).alias("kept"))
-    del spark
-    return out.withColumnRenamed("_key", key)
+    out = rows.select("rid", "_key", "h1", "h2").join(materialize(of_first, "named"), ["h1", "h2"], "left").withColumn("class", F.coalesce("class", "rid"))
+    return out.select("rid", F.col("_key").alias(key), F.col("class").alias("class_rid"), (F.col("rid") == F.col("class")).alias("kept"))
+
+
+def _left_open(members: DataFrame, label: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that may be similar."""
+    rooted = members.join(label, members["rid"] == label["v"], "left").select("band", "key", "rid", "weight", F.coalesce("root", "rid").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    mixed = materialize(rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("weight").alias("least")).where("lo < hi"), "mixed")
+    open_ = materialize(rooted.join(mixed.select("band", "key", "least"), ["band", "key"]), "open")
+    wanted = materialize(open_.select("rid").distinct(), "wanted")
+    lone = materialize(lone_weights(texts.join(wanted.hint("merge"), "rid", "left_semi"), weights), "lone")
+    # shared weight, and the share of both weights that an overlap must reach
+    share = F.lit(similarity / (1 + similarity) - 1e-9)
+    shared = open_.join(lone, "rid", "left").withColumn("shared", F.col("weight") - F.coalesce("lone", F.lit(0.0)) + 1e-6)
+    able = shared.where(F.col("shared") >= share * (F.col("weight") + F.col("least")))
+    able = materialize(able.select("band", "key", "rid", "root", "weight", "shared"), "able")
+    left, right = (able.select("band", "key", *(F.col(c).alias(f"{c}_{x}") for c in ("rid", "root", "weight", "shared"))) for x in ("a", "b"))
+    both = left.join(right, ["band", "key"]).where("rid_a < rid_b and root_a <> root_b")
+    reach = F.least("shared_a", "shared_b") >= share * (F.col("weight_a") + F.col("weight_b"))
+    return both.where(reach).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """key, class_id (key of the class's first row), class_size, kept per row."""
     found = materialize(classes(docs, text, key, similarity), "classes")
     sizes = found.groupBy("class_rid").agg(F.count("*").alias("class_size"), F.min(F.when(F.col("kept"), F.col(key))).alias("class_id"))
-    return found.join(sizes, "class_rid").select(key, "class_id", "class_size", "kept")
+    return found.join(materialize(sizes, "sizes"), "class_rid").select(key, "class_id", "class_size", "kept")
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
