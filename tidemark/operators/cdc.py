@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import full_null_safe_join, null_safe_join
+
 
 def detect_since(df: DataFrame, column: str, since=None) -> DataFrame:
     """Rows after the high-water mark of a timestamp, version or change-id column."""
@@ -24,13 +28,13 @@ def latest_changes(changes: DataFrame, keys: Sequence[str], change_id: str) -> D
 
 
 def diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full compare: op I / U / D with the new values (old ones for deletes)."""
+    """Full compare: op I / U / D with the new values (old ones for deletes); null keys are equal."""
     values = [c for c in new.columns if c not in keys]
-    o = old.select(*keys, F.struct(*values).alias("_o"))
-    n = new.select(*keys, F.struct(*values).alias("_n"))
+    o = old.select(*keys, F.struct(*values, F.lit(True).alias("_in")).alias("_o"))
+    n = new.select(*keys, F.struct(*values, F.lit(True).alias("_in")).alias("_n"))
     op = F.when(F.col("_o").isNull(), "I").when(F.col("_n").isNull(), "D").when(~F.col("_o").eqNullSafe(F.col("_n")), "U")
-    d = o.join(n, list(keys), "full").withColumn("op", op).where("op is not null")
-    return d.select("op", *keys, F.coalesce("_n", "_o").alias("_v")).select("op", *keys, "_v.*")
+    d = full_null_safe_join(o, n, keys).withColumn("op", op).where("op is not null")
+    return d.select("op", *keys, F.coalesce("_n", "_o").alias("_v")).select("op", *keys, *[f"_v.{c}" for c in values])
 
 
 def merge(
@@ -41,14 +45,17 @@ def merge(
 
     With ``action``, source rows marked ``DELETE`` remove their match (and are
     ignored when unmatched).  ``when`` limits updates to matches it holds for; it
-    may refer to ``t.<column>`` and ``s.<column>``.  ``source`` has one row per key.
+    may refer to ``t.<column>`` and ``s.<column>``.  Null keys are equal.  Several
+    source rows for one key are an error, found in the shuffle that the join needs.
     """
     values = [c for c in target.columns if c not in keys]
     update = list(values if update is None else update)
     t = target.select(*keys, F.struct(F.lit(True).alias("_in"), *values).alias("t"))
     extra = [action] if action else []
-    s = source.select(*keys, F.struct(F.lit(True).alias("_in"), *values, *extra).alias("s"))
-    both = t.join(s, list(keys), "full")
+    s = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.lit(True).alias("_in"), *values, *extra)).alias("s"))
+    kind = s.schema["s"].dataType
+    s = s.select(*keys, F.when(F.col("_n") == 1, F.col("s")).otherwise(F.raise_error(F.lit("merge: several source rows for one key")).cast(kind)).alias("s"))
+    both = full_null_safe_join(t, s, keys)
     matched = F.col("t").isNotNull() & F.col("s").isNotNull()
     if action:
         gone = F.coalesce(F.col(f"s.{action}") == "DELETE", F.lit(False))
@@ -65,14 +72,16 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], *,
     """Target after the last change per key, and counts by outcome.
 
     Inserting an existing key replaces it; deleting or updating a missing key
-    counts as failed and changes nothing."""
+    counts as failed and changes nothing.  Null keys are equal; the target has one
+    row per key."""
     last = latest_changes(changes, keys, change_id)
-    known = target.select(*keys, F.lit(True).alias("_known"))
-    judged = last.join(known, list(keys), "left").withColumn(
+    known = target.select(*keys).distinct().withColumn("_known", F.lit(True))
+    judged = null_safe_join(last, known, keys, "left").withColumn(
         "outcome", F.when((F.col(op) != "I") & F.col("_known").isNull(), "failed").otherwise("applied"))
     counts = judged.groupBy(op, "outcome").agg(F.count(F.lit(1)).alias("n"))
     good = judged.where("outcome = 'applied'")
-    kept = target.join(good.select(*keys), list(keys), "left_anti")
+    gone = good.select(*[F.col(k).alias(f"_g_{k}") for k in keys])
+    kept = target.join(gone, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]), "left_anti")
     return kept.unionByName(good.where(F.col(op) != "D").select(*target.columns)), counts
 
 

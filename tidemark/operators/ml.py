@@ -36,8 +36,8 @@ def classifiers(iterations: int = 100) -> dict[str, Estimator]:
         "logistic": C.LogisticRegression(maxIter=iterations, regParam=0.01),
         "max_entropy": C.LogisticRegression(maxIter=iterations, regParam=0.01, family="multinomial"),
         "max_entropy_l1": C.LogisticRegression(maxIter=iterations, regParam=0.01, elasticNetParam=0.5, family="multinomial"),
-        "forest": C.RandomForestClassifier(numTrees=min(iterations, 100), seed=SEED),
-        "one_vs_rest_gbt": C.OneVsRest(classifier=base),
+        "forest": C.RandomForestClassifier(numTrees=iterations, seed=SEED),
+        "one_vs_rest_gbt": C.OneVsRest(classifier=base, parallelism=4),
     }
 
 
@@ -46,7 +46,7 @@ def regressors(iterations: int = 100) -> dict[str, Estimator]:
     return {
         "gbt": base,
         "fast_gbt": base.copy({base.stepSize: 0.2}),
-        "forest": R.RandomForestRegressor(numTrees=min(iterations, 100), seed=SEED),
+        "forest": R.RandomForestRegressor(numTrees=iterations, seed=SEED),
         "linear": R.LinearRegression(maxIter=iterations, regParam=0.01),
     }
 
@@ -108,11 +108,13 @@ def score_multiclass(model: Model, df: DataFrame, label: str = "label") -> DataF
 
 def compare(train_df: DataFrame, test_df: DataFrame | None, trainers: Mapping[str, Estimator], kind: str, label: str = "label", budget_seconds: float | None = None) -> tuple[DataFrame, dict[str, Model]]:
     """Fit each trainer and report its metrics, best first.  Without a test set the
-    training set is scored.  ``budget_seconds`` stops starting new fits."""
-    started, frames, models = time.time(), [], {}
+    training set is scored.  ``budget_seconds`` stops starting new fits; trainers not
+    tried are listed without metrics."""
+    started, frames, models, skipped = time.time(), [], {}, []
     for name, est in trainers.items():
         if budget_seconds is not None and models and time.time() - started > budget_seconds:
-            break
+            skipped.append(name)
+            continue
         models[name] = train(train_df, est, label)
         data = test_df if test_df is not None else train_df
         if kind == "binary":
@@ -123,7 +125,9 @@ def compare(train_df: DataFrame, test_df: DataFrame | None, trainers: Mapping[st
             m = regression_metrics(models[name].transform(data), label)
         frames.append(m.select(F.lit(name).alias("trainer"), "*"))
     best = {"binary": "accuracy", "multiclass": "micro_accuracy", "regression": "r2"}[kind]
-    return reduce(DataFrame.unionByName, frames).orderBy(F.desc(best), "trainer"), models
+    frames += [train_df.sparkSession.range(1).select(F.lit(n).alias("trainer")) for n in skipped]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return out.orderBy(F.desc_nulls_last(best), "trainer"), models
 
 
 def ensemble(df: DataFrame, models: Mapping[str, Model]) -> DataFrame:
@@ -170,8 +174,10 @@ def choose_k(df: DataFrame, low: int = 2, high: int = 10, features: str = "featu
     for k in range(low, high + 1):
         model, out = kmeans(df, k, features)
         means.append((k, cluster_quality(model, out, features).first().overall_distance))
-    drops = {k: a - b for (_, a), (k, b) in zip(means, means[1:]) if low + 1 <= k <= high - 1}
-    best = max(drops, key=lambda k: (drops[k], -k))
+    every = {k: a - b for (_, a), (k, b) in zip(means, means[1:])}
+    # the last k has no drop after it; a short range has no other
+    drops = {k: d for k, d in every.items() if k < high} or every
+    best = max(drops, key=lambda k: (drops[k], -k), default=low)
     return df.sparkSession.createDataFrame([(k, d, drops.get(k), k == best) for k, d in means], "k int, avg_distance double, drop double, chosen boolean")
 
 

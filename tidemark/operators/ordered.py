@@ -59,6 +59,15 @@ def null_safe_join(
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def full_null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer equi-join where null equals null; keys from the side that has them."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, cond, "full").withColumns({k: F.coalesce(k, f"_r_{k}") for k in keys}).drop(*[f"_r_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

@@ -109,11 +109,17 @@ def rows_for(df: DataFrame, user, roles: Sequence[str], *, owner: str, departmen
 
 def encrypt_column(df: DataFrame, column: str, keys: DataFrame, key_id: str, out: str) -> DataFrame:
     """AES-CBC with a random IV, Base64.  Keys come from a key table (key_id, secret),
-    so no secret appears in a plan."""
-    secret = F.aes_encrypt(F.col(column).cast("string"), F.col("secret"), F.lit("CBC"))
+    so no secret appears in a plan.  A value whose key is unknown stops the job:
+    it must not get lost as a null."""
+    secret = F.aes_encrypt(F.col(column).cast("string"), _known_secret(column, key_id), F.lit("CBC"))
     return df.join(keys, key_id, "left").withColumn(out, F.base64(secret)).drop("secret")
 
 
 def decrypt_column(df: DataFrame, column: str, keys: DataFrame, key_id: str, out: str) -> DataFrame:
-    plain = F.aes_decrypt(F.unbase64(column), F.col("secret"), F.lit("CBC")).cast("string")
+    plain = F.aes_decrypt(F.unbase64(column), _known_secret(column, key_id), F.lit("CBC")).cast("string")
     return df.join(keys, key_id, "left").withColumn(out, plain).drop("secret")
+
+
+def _known_secret(column: str, key_id: str) -> Column:
+    unknown = F.col("secret").isNull() & F.col(column).isNotNull()
+    return F.when(unknown, F.raise_error(F.concat(F.lit("no encryption key "), F.coalesce(F.col(key_id).cast("string"), F.lit("null")))).cast("string")).otherwise(F.col("secret"))

@@ -229,12 +229,24 @@ def inferred_statistics(df: DataFrame, inferred: DataFrame) -> DataFrame:
                       *[F.when(text, F.col(c)).alias(c) for c in ("min_len", "max_len")])
 
 
-TARGET_TYPES = {"Boolean": "boolean", "Integer": "bigint", "Decimal": "double", "DateTime": "timestamp_ntz"}
+TARGET_TYPES = {"Boolean": "boolean", "Integer": "bigint", "Decimal": "decimal", "DateTime": "timestamp_ntz"}
 
 
-def apply_schema(df: DataFrame, inferred: Mapping[str, str]) -> DataFrame:
-    """Typed columns; values that do not parse go to the ``_rejected`` map."""
-    casts = {c: F.col(c).try_cast(TARGET_TYPES[k]) for c, k in inferred.items() if k in TARGET_TYPES}
+def apply_schema(df: DataFrame, inferred: Mapping[str, str], scale: int = 12) -> DataFrame:
+    """Typed columns; values that do not parse go to the ``_rejected`` map.
+
+    Decimals have 38 digits, ``scale`` of them behind the point, and may have
+    grouping commas, as inference accepts them.  A number that these digits cannot
+    hold exactly is rejected, not rounded."""
+
+    def typed(c: str, kind: str) -> Column:
+        if kind != "Decimal":
+            return F.col(c).try_cast(TARGET_TYPES[kind])
+        plain = F.replace(F.trim(c), F.lit(","), F.lit(""))
+        whole = F.length(F.regexp_extract(plain, r"\.([0-9]*?)0*$", 1)) <= scale
+        return F.when(whole, plain.try_cast(f"decimal(38,{scale})"))
+
+    casts = {c: typed(c, k) for c, k in inferred.items() if k in TARGET_TYPES}
     bad = F.map_from_entries(F.array_compact(F.array(*[
         F.when(F.col(c).isNotNull() & x.isNull(), F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))) for c, x in casts.items()])))
     return df.select(*[casts[c].alias(c) if c in casts else F.col(c) for c in df.columns], bad.alias("_rejected"))

@@ -7,18 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import full_null_safe_join
+
 
 def compare_tables(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``only_first`` / ``only_second`` / ``different`` rows by key; equal rows are left out."""
+    """``only_first`` / ``only_second`` / ``different`` rows by key, null equal to
+    null; equal rows are left out."""
     values = [c for c in a.columns if c not in keys]
-    left = a.select(*keys, F.struct(*values).alias("_a"))
-    right = b.select(*keys, F.struct(*values).alias("_b"))
+    left = a.select(*keys, F.struct(F.lit(True).alias("_in"), *values).alias("_a"))
+    right = b.select(*keys, F.struct(F.lit(True).alias("_in"), *values).alias("_b"))
     status = (
         F.when(F.col("_b").isNull(), "only_first")
         .when(F.col("_a").isNull(), "only_second")
         .when(~F.col("_a").eqNullSafe(F.col("_b")), "different")
     )
-    return left.join(right, list(keys), "full").select(*keys, status.alias("status")).where("status is not null")
+    return full_null_safe_join(left, right, keys).select(*keys, status.alias("status")).where("status is not null")
 
 
 def members_of(df: DataFrame, column: str, members: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from tidemark.operators import ml
 from tidemark.plans.registry import query
 from tidemark.session import Tables, materialize, scratch_path
 
-ROUNDS = 10  # boosting rounds in the registered queries
+ROUNDS = 100  # boosting rounds, trees and iterations in the registered queries
 
 
 def _documents(t: Tables):
@@ -115,13 +115,13 @@ def kmeans_clusters(t: Tables):
 
 @query("kmeans_choose_k", "M11")
 def kmeans_choose_k(t: Tables):
-    return ml.choose_k(_vectors(t), 2, 6)
+    return ml.choose_k(_vectors(t), 2, 10)
 
 
-@query("cluster_profile", "M12", "SELECT label, count(*) AS size, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 6) AS avg_d{i}" for i in range(8)) + " FROM embeddings GROUP BY 1")
+@query("cluster_profile", "M12", "SELECT label, count(*) AS size, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 6) AS avg_d{i}" for i in range(64)) + " FROM embeddings GROUP BY 1")
 def cluster_profile(t: Tables):
-    d = ml.cluster_profile(t.embeddings, "label", {f"d{i}": F.col("embedding")[i].cast("double") for i in range(8)})
-    return d.select("label", "size", *[F.round(f"avg_d{i}", 6).alias(f"avg_d{i}") for i in range(8)])
+    d = ml.cluster_profile(t.embeddings, "label", {f"d{i}": F.col("embedding")[i].cast("double") for i in range(64)})
+    return d.select("label", "size", *[F.round(f"avg_d{i}", 6).alias(f"avg_d{i}") for i in range(64)])
 
 
 def _ratings(t: Tables):
@@ -132,14 +132,14 @@ def _ratings(t: Tables):
 @query("factorization_metrics", "M13")
 def factorization_metrics(t: Tables):
     data = _ratings(t)
-    model = ml.factorize(data, "user", "item", "rating", iterations=5)
+    model = ml.factorize(data, "user", "item", "rating")
     return ml.regression_metrics(model.transform(data), "rating")
 
 
 @query("recommend_items", "M14 O4")
 def recommend_items(t: Tables):
     data = _ratings(t)
-    return ml.recommend(ml.factorize(data, "user", "item", "rating", iterations=5), data.select("user").distinct(), 5)
+    return ml.recommend(ml.factorize(data, "user", "item", "rating"), data.select("user").distinct(), 5)
 
 
 @query("similar_items", "M15 X11", """

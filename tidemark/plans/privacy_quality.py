@@ -159,8 +159,9 @@ def profile_columns(t: Tables):
 
 
 @query("profile_type_classes", "Q2", """
-SELECT * FROM (VALUES ('o_orderkey', 'Numeric'), ('o_custkey', 'Numeric'), ('o_orderstatus', 'String'), ('o_totalprice', 'Numeric'), ('o_orderdate', 'Date'), ('o_orderpriority', 'String'))
- v("column", class) WHERE (SELECT count(*) FROM orders) > 0""")
+WITH v AS (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM orders) ON * INTO NAME col VALUE v),
+c AS (SELECT col, count(v) AS n, count(try_cast(v AS DOUBLE)) AS x, count(try_cast(v AS TIMESTAMP)) FILTER (try_cast(v AS DOUBLE) IS NULL) AS d FROM v GROUP BY 1)
+SELECT col AS "column", CASE WHEN x > 0.8 * n THEN 'Numeric' WHEN d > 0.8 * n THEN 'Date' ELSE 'String' END AS class FROM c""")
 def profile_type_classes(t: Tables):
     return ql.type_classes(t.orders.select(*[F.col(c).cast("string").alias(c) for c in t.orders.columns]))
 
@@ -244,8 +245,15 @@ def _mixed(t: Tables):
 
 
 @query("infer_schema", "I1 I2", """
-SELECT * FROM (VALUES ('event_id', 'Integer', false), ('event_type', 'String', false), ('value', 'Decimal', false), ('at', 'DateTime', false), ('props', 'Json', false), ('flag', 'Boolean', false), ('mail', 'Email', true))
- v("column", inferred, nullable), (SELECT count(*) FILTER (value <= 50) AS m FROM events), LATERAL (SELECT CASE WHEN v."column" = 'mail' THEN m ELSE 0 END AS nulls, 1.0::DOUBLE AS confidence) x""".replace("SELECT *", "SELECT v.\"column\", v.inferred, v.nullable, x.nulls, x.confidence"))
+WITH m AS (SELECT event_id::VARCHAR AS event_id, event_type, value::VARCHAR AS value, ts::VARCHAR AS "at", props, CASE WHEN user_id % 2 = 0 THEN 'yes' ELSE 'N' END AS flag, CASE WHEN value > 50 THEN event_type || '@x.org' END AS mail FROM events),
+v AS (SELECT col, v FROM m UNPIVOT INCLUDE NULLS (v FOR col IN (event_id, event_type, value, "at", props, flag, mail))),
+c AS (SELECT col, count(*) AS total, count(v) AS filled, count(*) FILTER (lower(v) IN ('true', 'false', 'yes', 'no', '1', '0', 't', 'f', 'y', 'n')) AS b, count(*) FILTER (regexp_full_match(v, '\s*[+-]?[0-9]+\s*') AND try_cast(trim(v) AS BIGINT) IS NOT NULL) AS i,
+ count(*) FILTER (regexp_full_match(v, '\s*[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)?(\.[0-9]*)?\s*') AND regexp_matches(v, '[0-9]')) AS d, count(*) FILTER (regexp_matches(v, '^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') AND try_cast(v AS TIMESTAMP) IS NOT NULL) AS t,
+ count(*) FILTER (regexp_full_match(v, '[{(]?[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}[)}]?')) AS g, count(*) FILTER (regexp_full_match(v, '[^@\s]+@[^@\s]+\.[^@\s]+')) AS e, count(*) FILTER (regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*:\S+$')) AS u,
+ count(*) FILTER ((v[1] = '{' AND v[-1] = '}') OR (v[1] = '[' AND v[-1] = ']')) AS j FROM v GROUP BY 1),
+s AS (SELECT *, greatest(b, i, d, t, g, e, u, j) AS best FROM c)
+SELECT col AS "column", CASE WHEN filled = 0 OR best < filled * 0.5 THEN 'String' ELSE CASE best WHEN b THEN 'Boolean' WHEN i THEN 'Integer' WHEN d THEN 'Decimal' WHEN t THEN 'DateTime' WHEN g THEN 'Guid' WHEN e THEN 'Email' WHEN u THEN 'Url' ELSE 'Json' END END AS inferred,
+ filled < total AS nullable, total - filled AS nulls, CASE WHEN filled = 0 THEN 0.0 WHEN best < filled * 0.5 THEN 1.0 ELSE best / filled::DOUBLE END::DOUBLE AS confidence FROM s""")
 def infer_schema(t: Tables):
     return ql.infer_schema(_mixed(t))
 
@@ -267,7 +275,7 @@ SELECT event_id, value, (epoch(ts) * 0 + day(ts))::INTEGER AS day, CASE WHEN eve
 def apply_schema(t: Tables):
     raw = _raw(t.events.select("event_id", "value", F.col("ts").alias("at"), F.when(F.col("event_type") == "view", "view").otherwise(F.col("event_id").cast("string")).alias("maybe")))
     typed = ql.apply_schema(raw, {"event_id": "Integer", "value": "Decimal", "at": "DateTime", "maybe": "Integer"})
-    return typed.select("event_id", "value", F.dayofmonth("at").alias("day"), "maybe", F.col("_rejected")["maybe"].alias("rejected"))
+    return typed.select("event_id", F.col("value").cast("double").alias("value"), F.dayofmonth("at").alias("day"), "maybe", F.col("_rejected")["maybe"].alias("rejected"))
 
 
 @query("map_schemas", "I5 X4", """
@@ -293,8 +301,12 @@ def schema_history(t: Tables):
 
 
 @query("schema_drift", "I7", """
-SELECT * FROM (VALUES ('o_orderdate', 'removed', 'timestamp_ntz', NULL), ('o_shipmode', 'added', NULL, 'string'), ('o_custkey', 'modified', 'bigint', 'string'), ('o_orderpriority', 'modified', 'string', 'string'))
- v(name, change, old_type, new_type) WHERE (SELECT max(length(o_orderpriority)) FROM orders) > 8""")
+WITH lo AS (UNPIVOT (SELECT max(length(o_orderstatus)) AS o_orderstatus, max(length(o_orderpriority)) AS o_orderpriority FROM orders) ON * INTO NAME name VALUE len),
+ln AS (UNPIVOT (SELECT max(length(o_orderstatus)) AS o_orderstatus, max(length(left(o_orderpriority, 8))) AS o_orderpriority, max(length(o_custkey::VARCHAR)) AS o_custkey, 3::BIGINT AS o_shipmode FROM orders) ON * INTO NAME name VALUE len),
+o AS (SELECT column_name AS name, CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS ty FROM (DESCRIBE SELECT * FROM orders)),
+n AS (SELECT column_name AS name, CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS ty FROM (DESCRIBE SELECT * EXCLUDE (o_orderdate) REPLACE (o_custkey::VARCHAR AS o_custkey, left(o_orderpriority, 8) AS o_orderpriority), 'AIR' AS o_shipmode FROM orders))
+SELECT * FROM (SELECT name, CASE WHEN o.ty IS NULL THEN 'added' WHEN n.ty IS NULL THEN 'removed' WHEN o.ty <> n.ty OR lo.len IS DISTINCT FROM ln.len THEN 'modified' END AS change, o.ty AS old_type, n.ty AS new_type
+ FROM o FULL JOIN n USING (name) LEFT JOIN lo USING (name) LEFT JOIN ln USING (name)) WHERE change IS NOT NULL""")
 def schema_drift(t: Tables):
     new = t.orders.drop("o_orderdate").withColumns({"o_shipmode": F.lit("AIR"), "o_custkey": F.col("o_custkey").cast("string"), "o_orderpriority": F.left("o_orderpriority", F.lit(8))})
     nullable = t.spark.createDataFrame([], new.schema)  # keeps every field nullable on both sides

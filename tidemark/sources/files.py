@@ -82,14 +82,16 @@ def export_table(
     df: DataFrame, path: str, fmt: str = "parquet", *, compression: str = "snappy",
     partition_by: Sequence[str] = (), single_file: bool = False, mode: str = "overwrite",
 ) -> str:
-    """Parquet, CSV with header, JSON lines or ORC; unknown Parquet codecs fall back to snappy.
+    """Parquet, CSV with header, JSON lines or ORC; an unknown Parquet codec is an error.
 
     ``single_file`` funnels the output through one task: for samples, not tables."""
     out = (df.coalesce(1) if single_file else df).write.mode(mode)
     if partition_by:
         out = out.partitionBy(*partition_by)
     if fmt == "parquet":
-        out.option("compression", compression if compression in CODECS else "snappy").parquet(path)
+        if compression not in CODECS:
+            raise ValueError(f"unknown codec {compression}, not one of {sorted(CODECS)}")
+        out.option("compression", compression).parquet(path)
     elif fmt == "csv":
         out.option("header", True).csv(path)
     else:
@@ -129,7 +131,7 @@ def copy_into(
         F.count_if("bad").alias("bad"), F.count(F.lit(1)).alias("n"), *[F.count(c) for c in schema.fieldNames()]).first()
     if counts.bad > max_errors:
         raise ValueError(f"{counts.bad} rows do not parse, at most {max_errors} allowed")
-    load = uuid.uuid4().hex
+    load = "l" + uuid.uuid4().hex  # never read as a number
     rows.where("_corrupt_record is null").drop("_corrupt_record").write.parquet(f"{data_path}/load={load}")
     spark.createDataFrame([(f, load) for f in files], "path string, load string").coalesce(1).write.mode("append").parquet(ledger_path)
     return {"files": len(files), "loaded": counts.n - counts.bad, "rejected": counts.bad}
