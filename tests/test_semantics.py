@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import privacy
 from tidemark.functions import scalars as sc
 from tidemark.operators import aggregates as ag
-from tidemark.operators import cdc, filters, geo, graph, joins, personal_data, quality, reshape
+from tidemark.operators import cdc, filters, geo, graph, joins, ml, personal_data, quality, reshape, setops
 from tidemark.operators import sampling as sm
 from tidemark.operators.aggregates import Agg
 from tidemark.operators.ordered import framed, group_fits, running
@@ -333,16 +333,63 @@ def test_merge_modes(spark):
 def test_snapshot_commits_are_exclusive(spark, monkeypatch):
     table = SnapshotTable(spark, scratch_path(spark, "exclusive"))
     assert table.write(spark.range(3)) == 1 and table.write(spark.range(5)) == 2
+    # a writer that saw an old log gets the next free number
     monkeypatch.setattr(table, "_next", lambda: 2)
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        table.write(spark.range(9))
-    assert table.read().count() == 5 and table.read(1).count() == 3
+    assert table.write(spark.range(9)) == 3
     monkeypatch.undo()
-    table.delete(1)
+    assert table.read(2).count() == 5 and table.read(1).count() == 3
+    assert not table._create(f"{table.root}/manifest/{1:020d}.json", "other") and table.read(1).count() == 3
+    table.delete(1, 3)
     gone = table.vacuum(0, now=dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=1))
-    assert len(gone) == 1 and table.read().count() == 5
+    assert len(gone) == 2 and table.read().count() == 5
     with pytest.raises(ValueError):
         table.read(1)
+    # data that a clone points at outlives the source's version
+    copy = table.clone_to(scratch_path(spark, "clone"))
+    table.write(spark.range(2))
+    table.prune(1)
+    table.vacuum(0, now=dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=1))
+    assert copy.read().count() == 5 and table.read().count() == 2
+
+
+def test_null_keys_and_repeated_source_keys(spark):
+    t = spark.createDataFrame([(1, 10), (None, 5)], "k int, v int")
+    assert sorted(map(tuple, cdc.merge(t, spark.createDataFrame([(None, 6), (2, 20)], "k int, v int"), ["k"]).collect()), key=str) == [(1, 10), (2, 20), (None, 6)]
+    for twice in ([(1, 20), (1, 30)], [(None, 1), (None, 2)]):
+        with pytest.raises(Exception, match="several source rows for one key"):
+            cdc.merge(t, spark.createDataFrame(twice, "k int, v int"), ["k"]).collect()
+    same = spark.createDataFrame([(1, 11), (None, 5)], "k int, v int")
+    assert [tuple(r) for r in cdc.diff(t, same, ["k"]).collect()] == [("U", 1, 11)]
+    assert [tuple(r) for r in setops.compare_tables(t, same, ["k"]).collect()] == [(1, "different")]
+    changes = spark.createDataFrame([("U", None, 7, 1)], "op string, k int, v int, change_id int")
+    after, counts = cdc.apply_changes(t, changes, ["k"])
+    assert sorted(map(tuple, after.collect()), key=str) == [(1, 10), (None, 7)] and [tuple(r) for r in counts.collect()] == [("U", "applied", 1)]
+
+
+def test_exact_decimals_and_unknown_keys(spark):
+    df = spark.createDataFrame([("1,234.5", "9223372036854775807"), ("12345678901234567890.25", "9223372036854775808"), ("0.12345678901234", "7")], "d string, i string")
+    got = quality.apply_schema(df, {"d": "Decimal", "i": "Integer"}).collect()
+    assert [str(r.d) for r in got] == ["1234.500000000000", "12345678901234567890.250000000000", "None"]
+    assert [r.i for r in got] == [2**63 - 1, None, 7] and [sorted(r._rejected) for r in got] == [[], ["i"], ["d"]]
+    tests = df.select(*[sc.type_tests(F.col("i"))[k].alias(k) for k in ("Integer", "Decimal")]).collect()
+    assert [tuple(r) for r in tests] == [(True, True), (False, True), (True, True)]
+    keys = spark.createDataFrame([(1, "0123456789abcdef")], "kid int, secret string")
+    secret = spark.createDataFrame([(1, "a"), (2, "b")], "kid int, v string")
+    with pytest.raises(Exception, match="no encryption key 2"):
+        personal_data.encrypt_column(secret, "v", keys, "kid", "c").collect()
+
+
+def test_codec_advice_counts_bytes(spark):
+    df = spark.createDataFrame([("é" * 50,)], "v string")
+    assert fs.codec_advice(df).first().entropy == pytest.approx(1 / 8) and fs.codec_advice(df).first()["size"] == 100
+    with pytest.raises(ValueError, match="unknown codec"):
+        fs.export_table(df, scratch_path(spark, "codec"), compression="brotli")
+
+
+def test_choose_k_of_a_short_range(spark):
+    points = spark.createDataFrame([([float(i % 3), float(i % 2)],) for i in range(30)], "v array<double>")
+    for low, high in ((2, 2), (2, 3)):
+        assert sum(r.chosen for r in ml.choose_k(ml.vectors(points, "v"), low, high).collect()) == 1
 
 
 def test_copy_into_rejects_and_ledger(spark, tmp_path):

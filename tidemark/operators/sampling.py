@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 from tidemark.operators.ordered import null_safe_join, top_per_group
 from tidemark.operators.windows import order_columns
+from tidemark.session import materialize
+
+STRATA_TO_BROADCAST = 100_000
 
 _HASH, _PREFIX = "_tm_hash", "_tm_prefix"
 
@@ -37,9 +40,12 @@ def random_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> Da
     counts = hashed.groupBy(_PREFIX).agg(F.count(F.lit(1)).alias("c"))  # <= 65,536 rows
     upto = counts.withColumn("upto", F.sum("c").over(W.orderBy(_PREFIX)))
     edge = upto.where(F.col("upto") >= n).agg(F.min(_PREFIX)).first()[0]
-    if edge is not None:
-        hashed = hashed.where(F.col(_PREFIX) <= edge)
-    return hashed.orderBy(_HASH, *key).limit(n).drop(_HASH, _PREFIX)
+    if edge is None:
+        return hashed.drop(_HASH, _PREFIX)
+    # everything below the edge, and of the edge, about a 65,536th of the rows, the rest
+    below = upto.where(F.col(_PREFIX) < edge).agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
+    rest = hashed.where(F.col(_PREFIX) == edge).orderBy(_HASH, *key).limit(n - below)
+    return hashed.where(F.col(_PREFIX) < edge).unionByName(rest).drop(_HASH, _PREFIX)
 
 
 def stratified_rows(df: DataFrame, n: int, stratum: str, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -54,11 +60,14 @@ def stratified_rows(df: DataFrame, n: int, stratum: str, key: Sequence[str], see
         null_safe_join(upto, quota, [stratum])
         .where(F.col("upto") >= F.col("_quota"))
         .groupBy(stratum)
-        .agg(F.min(_PREFIX).alias("_edge"), F.first("_quota").alias("_quota"))
+        .agg(F.min(_PREFIX).alias("_edge"), (F.first("_quota") - F.min_by(F.col("upto") - F.col("c"), _PREFIX)).alias("_rest"))
     )
-    near = null_safe_join(hashed, edges, [stratum]).where(F.col(_PREFIX) <= F.col("_edge"))
-    ranked = near.withColumn("_rn", F.row_number().over(W.partitionBy(stratum).orderBy(_HASH, *key)))
-    return ranked.where(F.col("_rn") <= F.col("_quota")).select(*df.columns)
+    edges = materialize(edges, "edges")
+    # few strata go to every task, so the table is not shuffled by stratum
+    near = null_safe_join(hashed, edges, [stratum], hint="broadcast" if edges.count() <= STRATA_TO_BROADCAST else None)
+    ranked = near.where(F.col(_PREFIX) == F.col("_edge")).withColumn("_rn", F.row_number().over(W.partitionBy(stratum).orderBy(_HASH, *key)))
+    taken = ranked.where(F.col("_rn") <= F.col("_rest")).select(*df.columns)
+    return near.where(F.col(_PREFIX) < F.col("_edge")).select(*df.columns).unionByName(taken)
 
 
 def detect_date_column(df: DataFrame) -> str | None:

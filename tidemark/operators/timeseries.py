@@ -92,18 +92,27 @@ def last_value(df: DataFrame, series: Sequence[str], ts: str, value: str, now, h
 
 def gap_fill(df: DataFrame, series: Sequence[str], ts: str, value: str, every_seconds: int) -> DataFrame:
     """Regular grid from first to last bucket per series: bucket mean, carried value
-    (``locf``) and linear interpolation between filled buckets."""
+    (``locf``) and linear interpolation between filled buckets.  Each filled bucket
+    makes the buckets up to the next filled one."""
     b = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / every_seconds) * every_seconds
     means = df.groupBy(*series, b.alias("bucket")).agg(F.avg(value).alias("mean"))
-    grid = means.groupBy(*series).agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
-    grid = grid.select(*series, F.explode(F.sequence("_a", "_b", F.lit(every_seconds).cast("long"))).alias("bucket"))
-    full = grid.join(means, [*series, "bucket"], "left")
-    at = F.when(F.col("mean").isNotNull(), F.struct(F.col("bucket").alias("t"), F.col("mean").alias("v")))
-    full = running(full, series, ["bucket"], lasts={"_prev": at})
-    full = running(full, series, [F.desc("bucket")], lasts={"_next": at})
-    slope = (F.col("_next.v") - F.col("_prev.v")) / (F.col("_next.t") - F.col("_prev.t"))
-    linear = F.coalesce("mean", F.col("_prev.v") + slope * (F.col("bucket") - F.col("_prev.t")))
-    return full.select(*series, "bucket", "mean", F.col("_prev.v").alias("locf"), linear.alias("linear"))
+    filled = means.where("mean is not null")
+    ends = means.groupBy(*series).agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
+    known = framed(filled, series, ["bucket"], lambda w: {"_next": F.lead(F.struct("bucket", "mean")).over(w), "_prev": F.lag("bucket").over(w)}, before=1, after=1)
+    known = null_safe_join(known, ends, series, "left")
+    step = F.lit(every_seconds).cast("long")
+    # the first filled bucket also makes the empty ones before it, the last one those behind
+    start = F.when(F.col("_prev").isNull(), F.col("_a")).otherwise(F.col("bucket"))
+    stop = F.coalesce(F.col("_next.bucket") - step, "_b")
+    grid = known.withColumn("_t", F.explode(F.sequence(start, stop, step)))
+    slope = (F.col("_next.mean") - F.col("mean")) / (F.col("_next.bucket") - F.col("bucket"))
+    ahead = F.col("_t") - F.col("bucket")
+    out = grid.select(
+        *series, F.col("_t").alias("bucket"), F.when(ahead == 0, F.col("mean")).alias("mean"), F.when(ahead >= 0, F.col("mean")).alias("locf"),
+        F.when(ahead == 0, F.col("mean")).when(ahead > 0, F.col("mean") + slope * ahead).alias("linear"))
+    empty = null_safe_join(ends, filled.select(*series).distinct(), series, "left_anti")
+    bare = empty.select(*series, F.explode(F.sequence("_a", "_b", step)).alias("bucket"), *[F.lit(None).cast("double").alias(c) for c in ("mean", "locf", "linear")])
+    return out.unionByName(bare)
 
 
 def two_sided_p(z: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as ft
 from tidemark.operators import ml
+from tidemark.operators.ordered import running
 from tidemark.plans.registry import query
 from tidemark.session import Tables, materialize, scratch_path
 
@@ -125,8 +126,13 @@ def cluster_profile(t: Tables):
 
 
 def _ratings(t: Tables):
-    d = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").cast("int").alias("user"), F.col("l_partkey").cast("int").alias("item"))
-    return materialize(d.agg(F.avg("l_quantity").cast("float").alias("rating")), "ratings")
+    d = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("user_key"), F.col("l_partkey").alias("item_key"))
+    d = materialize(d.agg(F.avg("l_quantity").cast("float").alias("rating")), "ratings")
+    # the factorisation takes 32-bit ids: number both sides densely
+    for side in ("user", "item"):
+        numbers = running(d.select(f"{side}_key").distinct(), [], [f"{side}_key"], position=side)
+        d = d.join(numbers.withColumn(side, F.col(side).cast("int")), f"{side}_key")
+    return materialize(d, "ratings")
 
 
 @query("factorization_metrics", "M13")
@@ -139,7 +145,9 @@ def factorization_metrics(t: Tables):
 @query("recommend_items", "M14 O4")
 def recommend_items(t: Tables):
     data = _ratings(t)
-    return ml.recommend(ml.factorize(data, "user", "item", "rating"), data.select("user").distinct(), 5)
+    found = ml.recommend(ml.factorize(data, "user", "item", "rating"), data.select("user").distinct(), 5)
+    keys = [data.select(f"{side}_key", side).distinct() for side in ("user", "item")]
+    return found.join(keys[0], "user").join(keys[1], "item").select(F.col("user_key").alias("user"), F.col("item_key").alias("item"), "rating")
 
 
 @query("similar_items", "M15 X11", """

@@ -7,7 +7,7 @@ from tidemark.operators import personal_data as pd_
 from tidemark.operators import quality as ql
 from tidemark.operators.quality import Rule
 from tidemark.plans.registry import query
-from tidemark.session import Tables, spread
+from tidemark.session import TABLE_NAMES, Tables, spread
 
 
 def _re2(pattern: str) -> str:
@@ -143,12 +143,12 @@ def column_encryption(t: Tables):
     return dec.select("c_custkey", "c_name", (F.col("cipher") != F.col("plain")).alias("differs"))
 
 
-_ORD = ["o_orderkey", "o_custkey", "status", "o_totalprice", "o_orderpriority"]
-_ORD_SQL = "(SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS status, o_totalprice, o_orderpriority FROM orders)"
+_ORD = ["o_orderkey", "o_custkey", "status", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_ORD_SQL = "(SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS status, o_totalprice, o_orderdate, o_orderpriority FROM orders)"
 
 
 def _orders(t: Tables):
-    return t.orders.select("o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), "o_totalprice", "o_orderpriority")
+    return t.orders.select("o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
 @query("profile_columns", "Q1", " UNION ALL ".join(
@@ -166,11 +166,14 @@ def profile_type_classes(t: Tables):
     return ql.type_classes(t.orders.select(*[F.col(c).cast("string").alias(c) for c in t.orders.columns]))
 
 
+_LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 @query("profile_numeric", "Q3", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", min(x) AS lo, max(x) AS hi, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS sd, round(var_pop(x), 2) AS var, max(x) FILTER (i = n // 2) AS median "
-    f"FROM (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) - 1 AS i, count(*) OVER () AS n FROM lineitem)" for c in ("l_quantity", "l_discount", "l_tax")))
+    f"FROM (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) - 1 AS i, count(*) OVER () AS n FROM lineitem)" for c in _LINE_NUMBERS))
 def profile_numeric(t: Tables):
-    d = ql.numeric_profile(t.lineitem, ["l_quantity", "l_discount", "l_tax"])
+    d = ql.numeric_profile(t.lineitem, _LINE_NUMBERS)
     return d.withColumns({"mean": F.round("mean", 4), "sd": F.round("sd", 4), "var": F.round("var", 2)})
 
 
@@ -195,7 +198,7 @@ def profile_dates(t: Tables):
 
 
 @query("quality_report", "Q6 Q7 Q8 Q9 Q10", f"""
-WITH m AS (SELECT 'completeness' AS metric, (count(o_orderkey) + count(o_custkey) + count(status) + count(o_totalprice) + count(o_orderpriority))::DOUBLE / (5 * count(*)) * 100 AS value FROM {_ORD_SQL}
+WITH m AS (SELECT 'completeness' AS metric, (count(o_orderkey) + count(o_custkey) + count(status) + count(o_totalprice) + count(o_orderdate) + count(o_orderpriority))::DOUBLE / (6 * count(*)) * 100 AS value FROM {_ORD_SQL}
 UNION ALL SELECT 'uniqueness_o_orderkey', count(DISTINCT o_orderkey)::DOUBLE / count(*) * 100 FROM orders
 UNION ALL SELECT 'uniqueness_status', (count(DISTINCT status) + max(CASE WHEN status IS NULL THEN 1 ELSE 0 END))::DOUBLE / count(*) * 100 FROM {_ORD_SQL}
 UNION ALL SELECT 'validity_o_totalprice', avg(CASE WHEN o_totalprice BETWEEN 1000 AND 350000 THEN 1 ELSE 0 END) * 100 FROM orders
@@ -293,7 +296,7 @@ def map_schemas(t: Tables):
 @query("schema_history", "I6 S11")
 def schema_history(t: Tables):
     out = None
-    for name in ("orders", "lineitem", "events"):
+    for name in TABLE_NAMES:
         df = getattr(t, name)
         d = ql.schema_rows(df).select(F.lit(name).alias("table_name"), F.lit(1).alias("version"), F.lit(ql.schema_hash(df)).alias("hash"), "ordinal", "name", "type", "nullable", "max_length")
         out = d if out is None else out.unionByName(d)

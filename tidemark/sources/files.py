@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,13 +185,21 @@ BASE_RATIOS = {"none": 1.0, "snappy": 0.5, "lz4": 0.45, "zstd": 0.3, "gzip": 0.3
 
 
 def codec_advice(df: DataFrame, bytes_total: int | None = None) -> DataFrame:
-    """Codec by character entropy (share of 8 bits), text and numeric column shares and size."""
+    """Codec by byte entropy (share of 8 bits), text and numeric column shares and size."""
     kinds = [f.dataType for f in df.schema]
     text = sum(isinstance(k, T.StringType) for k in kinds) / len(kinds)
     numeric = sum(isinstance(k, T.NumericType) for k in kinds) / len(kinds)
     row = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])
-    # counts per row first, so the shuffle carries one row per character and task
-    chars = df.select(F.explode(F.split(row, "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(256, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                n += np.bincount(np.frombuffer(text.as_buffer(), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(n)], ["ch", "n"])
+
+    # one row per byte value and task
+    chars = df.select(row.alias("row")).mapInArrow(counted, "ch int, n long").groupBy("ch").agg(F.sum("n").alias("n")).where("n > 0")
     # H = log2(N) - sum(n log2 n) / N needs no second pass
     stats = chars.agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"))
     entropy = (F.log2("size") - F.col("nlogn") / F.col("size")) / 8
