@@ -9,7 +9,7 @@ DOCS = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # names that operators use for their own columns
     T.StructField("score", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("rid", T.StringType()), T.StructField("h", T.StringType()),
-    T.StructField("_row", T.StringType()), T.StructField("limits", T.StringType()),
+    T.StructField("_row", T.StringType()), T.StructField("limits", T.StringType()), T.StructField("odd name, `x`", T.StringType()),
 ])
 
 WORDS = "the quick brown fox jumps over lazy dogs while seven wizards quietly mix strange potions near old river banks under pale winter moon light".split()
@@ -30,7 +30,7 @@ AWKWARD = [
 
 
 def rows(texts, start=0):
-    return [(None if i == 3 else start + i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 5 else None, None, "x", "y", "z", "h", "r", "l") for i, t in enumerate(texts)]
+    return [(None if i == 3 else start + i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 5 else None, None, "x", "y", "z", "h", "r", "l", "o") for i, t in enumerate(texts)]
 
 
 def docs(spark, texts, start=0):

@@ -17,6 +17,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -156,10 +159,14 @@ def row_ids(start: int, n: int) -> np.ndarray:
     return (TaskContext.get().partitionId() << 33) + start + np.arange(n, dtype=np.int64)
 
 
-def split_column(name: str, buckets: int):
-    """crc32 of an id's text modulo ``buckets``; a null id counts as an empty text."""
-    from pyspark.sql import functions as F
+def output_schema(docs: DataFrame, kept: list[str], more: str = "") -> T.StructType:
+    """Schema of ``kept`` columns of ``docs``, whatever their names, and the DDL fields ``more``."""
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in kept]
+    return T.StructType(fields + (T.StructType.fromDDL(more).fields if more else []))
+
 
+def split_column(name: str, buckets: int) -> Column:
+    """crc32 of an id's text modulo ``buckets``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % buckets
 
 

@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
                 yield pa.RecordBatch.from_arrays([rows.column("_row"), pa.array(predicted, pa.string()), pa.array(score)], ["_row", "lang_pred", "score"])
 
     source = docs.select(F.struct(*carry).alias("_row"), F.col(text).alias("_text"))
-    return source.mapInArrow(run, f"_row {source.schema['_row'].dataType.simpleString()}, lang_pred string, score double").select("_row.*", "lang_pred", "score")
+    return source.mapInArrow(run, arrays.output_schema(source, ["_row"], "lang_pred string, score double")).select("_row.*", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least_score: float, text: str = "text") -> DataFrame:
@@ -184,4 +184,4 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least_
                 yield pa.RecordBatch.from_arrays([rows.column("_row").filter(good)], ["_row"])
 
     source = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    return source.mapInArrow(run, f"_row {source.schema['_row'].dataType.simpleString()}").select("_row.*")
+    return source.mapInArrow(run, arrays.output_schema(source, ["_row"])).select("_row.*")

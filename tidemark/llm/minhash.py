@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import arrays
 from tidemark.session import materialize
@@ -191,11 +192,8 @@ def _spot(rid: np.ndarray) -> np.ndarray:
     return (arrays.mix(rid.view(np.uint64) + np.uint64(1)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
 
-def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """rid and text of the rows whose rid is in ``wanted`` (one column, distinct).
-
-    A bitmap of fixed size keeps most other texts out of the shuffle; with more
-    rids than it can tell apart it only saves less."""
+def _bitmap(rids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the bit of every rid is set."""
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << _FILTER_BITS, bool)
@@ -205,9 +203,14 @@ def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         used = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed[used])], ["word", "bits"])
 
-    words = wanted.select("rid").mapInArrow(spots, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = rids.select("rid").mapInArrow(spots, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table
+
+
+def _marked(docs: DataFrame, table: np.ndarray, marked: bool) -> DataFrame:
+    """rid and the columns of the rows whose bit is set, or of those where it is not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
@@ -215,9 +218,18 @@ def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             rid = arrays.row_ids(at, batch.num_rows)
             at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(rid), batch.column(text)], ["rid", "text"]).filter(pa.array(bits[_spot(rid)]))
+            yield pa.RecordBatch.from_arrays([pa.array(rid), *batch.columns], ["rid", *batch.schema.names]).filter(pa.array(bits[_spot(rid)] == marked))
+
+    schema = arrays.output_schema(docs, docs.columns)
+    return docs.mapInArrow(run, T.StructType([T.StructField("rid", T.LongType()), *schema.fields]))
+
+
+def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """rid and text of the rows whose rid is in ``wanted`` (one column, distinct).
 
-    return docs.select(text).mapInArrow(run, "rid long, text string").join(wanted.hint("merge"), "rid", "left_semi")
+    The bitmap keeps most other texts out of the shuffle; with more rids than it
+    can tell apart it only saves less."""
+    return _marked(docs.select(F.col(text).alias("text")), _bitmap(wanted), True).join(wanted.hint("merge"), "rid", "left_semi")
 
 
 def lone_weights(texts: DataFrame, weights: Weights) -> DataFrame:
@@ -272,7 +284,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         current = materialize(small, "edges")
@@ -302,7 +313,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     rows = materialize(signed(narrow, "text", "_key", weights), "rows")
     first = materialize(rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("rid").alias("rid")), "distinct")
     single = first.select("rid").join(rows.select("rid", "weight", "keys"), "rid")
-    bands = materialize(single.select("rid", "weight", F.posexplode("keys").alias("band", "key")), "bands")
+    bands = materialize(single.select("rid", "weight", "keys", F.posexplode("keys").alias("band", "key")), "bands")
     full = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(bands.join(full, ["band", "key"]), "members")
     degree = members.groupBy("rid").agg(F.sum("n").alias("degree"))
@@ -326,7 +337,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
 
 def _left_open(members: DataFrame, label: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that may be similar."""
-    rooted = members.join(label, members["rid"] == label["v"], "left").select("band", "key", "rid", "weight", F.coalesce("root", "rid").alias("root"))
+    rooted = members.join(label, members["rid"] == label["v"], "left").select("band", "key", "rid", "weight", "keys", F.coalesce("root", "rid").alias("root"))
     rooted = materialize(rooted, "rooted")
     mixed = materialize(rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("weight").alias("least")).where("lo < hi"), "mixed")
     open_ = materialize(rooted.join(mixed.select("band", "key", "least"), ["band", "key"]), "open")
@@ -336,11 +347,13 @@ def _left_open(members: DataFrame, label: DataFrame, texts: DataFrame, weights:
     share = F.lit(similarity / (1 + similarity) - 1e-9)
     shared = open_.join(lone, "rid", "left").withColumn("shared", F.col("weight") - F.coalesce("lone", F.lit(0.0)) + 1e-6)
     able = shared.where(F.col("shared") >= share * (F.col("weight") + F.col("least")))
-    able = materialize(able.select("band", "key", "rid", "root", "weight", "shared"), "able")
-    left, right = (able.select("band", "key", *(F.col(c).alias(f"{c}_{x}") for c in ("rid", "root", "weight", "shared"))) for x in ("a", "b"))
+    able = materialize(able.select("band", "key", "rid", "root", "weight", "shared", "keys"), "able")
+    left, right = (able.select("band", "key", *(F.col(c).alias(f"{c}_{x}") for c in ("rid", "root", "weight", "shared", "keys"))) for x in ("a", "b"))
     both = left.join(right, ["band", "key"]).where("rid_a < rid_b and root_a <> root_b")
     reach = F.least("shared_a", "shared_b") >= share * (F.col("weight_a") + F.col("weight_b"))
-    return both.where(reach).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
+    # a pair that agrees in several bands is made in the first of them
+    sooner = F.exists(F.zip_with(F.slice("keys_a", F.lit(1), F.col("band")), F.slice("keys_b", F.lit(1), F.col("band")), lambda x, y: x == y), lambda x: x)
+    return both.where(reach & ~sooner).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -353,13 +366,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, unchanged, without all but one of each class."""
     gone = materialize(classes(docs, text, key, similarity).where("not kept").select("rid"), "gone")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(arrays.row_ids(at, batch.num_rows)), batch.column("_row")], ["rid", "_row"])
-            at += batch.num_rows
-
-    source = docs.select(F.struct("*").alias("_row"))
-    numbered = source.mapInArrow(run, f"rid long, _row {source.schema['_row'].dataType.simpleString()}")
-    return numbered.join(gone, "rid", "left_anti").select("_row.*")
+    source, table = docs.select(F.struct("*").alias("_row")), _bitmap(gone)
+    # rows whose bit is not set stay for sure and need no shuffle
+    unsure = _marked(source, table, True).join(gone.hint("merge"), "rid", "left_anti")
+    return _marked(source, table, False).unionByName(unsure).select("_row.*")

@@ -25,7 +25,7 @@ from tidemark.session import materialize
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: rate -> (smallest interquartile range assumed, whether small values count too)
-RATES = {"chars_per_word_x100": (60, True), "symbols_x1000": (25, False), "dup_lines_x1000": (100, False), "repeats_x1000": (40, False)}
+RATES = {"chars_per_word_x100": (60, True), "symbols_x1000": (25, False), "dup_lines_x1000": (100, False), "repeats_x1000": (60, False)}
 SYMBOLS = "#*$%&|<>"
 GROUPS_TO_BROADCAST = 100_000
 
@@ -84,7 +84,7 @@ def measured(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
                 counts = measures(data, offsets)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *(pa.array(counts[n], pa.int64()) for n in names)], [*kept, *names])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + "".join(f", {n} long" for n in names)
+    schema = arrays.output_schema(docs, kept, ", ".join(f"{n} long" for n in names))
     return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
 
 

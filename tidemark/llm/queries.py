@@ -112,8 +112,8 @@ select query_id, cast(rank as int) rank, vec_id, score from k where rank <= 5
     "op5_quality_rules": r"""
 with d as (select row_number() over () r, doc_id, lang, source, coalesce(text, '') t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
-g as (select r, unnest(range(1, len(ws) - 6)) i, ws from w where len(ws) >= 8),
-v as (select r, i, count(*) over (partition by r, array_to_string(ws[i:i + 7], ' ')) n from g),
+g as (select r, unnest(range(1, len(ws) - 6)) i, unnest(list_transform(range(1, len(ws) - 6), lambda k: array_to_string(ws[k:k + 7], ' '))) x from w where len(ws) >= 8),
+v as (select r, i, count(*) over (partition by r, x) n from g),
 c as (select r, count(distinct i + k) n from v, (select unnest(range(0, 8)) k) where n > 1 group by r),
 m as (
   select w.r, doc_id, lang, source, len(ws) n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) word_chars,
@@ -144,7 +144,7 @@ h as (
 ),
 z as (
   select lv, lang, source, max(total) total, max(case when rate = 1 then q1 - 6 * greatest(q3 - q1, 60) end) low1, max(case when rate = 1 then q3 + 6 * greatest(q3 - q1, 60) end) high1,
-    max(case when rate = 2 then q3 + 6 * greatest(q3 - q1, 25) end) high2, max(case when rate = 3 then q3 + 6 * greatest(q3 - q1, 100) end) high3, max(case when rate = 4 then q3 + 6 * greatest(q3 - q1, 40) end) high4
+    max(case when rate = 2 then q3 + 6 * greatest(q3 - q1, 25) end) high2, max(case when rate = 3 then q3 + 6 * greatest(q3 - q1, 100) end) high3, max(case when rate = 4 then q3 + 6 * greatest(q3 - q1, 60) end) high4
   from h group by all
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -265,4 +265,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] =
                 yield pa.RecordBatch.from_arrays([rows.column("_row"), pa.array(model.scores(data, offsets))], ["_row", "score"])
 
     source = docs.select(F.struct(*carry).alias("_row"), F.col(text).alias("_text"))
-    return source.mapInArrow(run, f"_row {source.schema['_row'].dataType.simpleString()}, score double").select("_row.*", "score")
+    return source.mapInArrow(run, arrays.output_schema(source, ["_row"], "score double")).select("_row.*", "score")
