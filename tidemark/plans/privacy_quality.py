@@ -247,7 +247,7 @@ def _mixed(t: Tables):
                          F.when(F.col("value") > 50, F.concat("event_type", F.lit("@x.org"))).alias("mail")))
 
 
-@query("infer_schema", "I1 I2", """
+@query("infer_schema", "I1 I2", r"""
 WITH m AS (SELECT event_id::VARCHAR AS event_id, event_type, value::VARCHAR AS value, ts::VARCHAR AS "at", props, CASE WHEN user_id % 2 = 0 THEN 'yes' ELSE 'N' END AS flag, CASE WHEN value > 50 THEN event_type || '@x.org' END AS mail FROM events),
 v AS (SELECT col, v FROM m UNPIVOT INCLUDE NULLS (v FOR col IN (event_id, event_type, value, "at", props, flag, mail))),
 c AS (SELECT col, count(*) AS total, count(v) AS filled, count(*) FILTER (lower(v) IN ('true', 'false', 'yes', 'no', '1', '0', 't', 'f', 'y', 'n')) AS b, count(*) FILTER (regexp_full_match(v, '\s*[+-]?[0-9]+\s*') AND try_cast(trim(v) AS BIGINT) IS NOT NULL) AS i,

@@ -84,12 +84,20 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     plan = df._jdf.queryExecution()
-    if "Exchange" in plan.executedPlan().toString():
+    if _shuffles(plan.executedPlan()):
         return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if plan.toRdd().getNumPartitions() >= want else df.repartition(want)
 
 
+def _shuffles(node) -> bool:
+    """Does a physical plan hold an exchange?  Only such plans are adaptive."""
+    if "Exchange" in node.nodeName() or node.nodeName() == "AdaptiveSparkPlan":
+        return True
+    children = node.children()
+    return any(_shuffles(children.apply(i)) for i in range(children.size()))
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer estimate of the plan's output size; None when not exposed."""
     try:
