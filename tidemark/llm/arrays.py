@@ -2,7 +2,7 @@
 
 Operators of this package run inside ``mapInArrow``: Spark partitions and
 shuffles the rows, numpy does the per-character work.  A batch is cut into
-slices of about a mebibyte of text, so memory follows the longest single text
+slices of about half a mebibyte of text, so memory follows the longest single text
 and not the partition.  No Python object is made per word.
 
 Words are known by a 64-bit polynomial hash.  Two given words collide with a
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.RandomState(20_240_601).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -174,7 +174,7 @@ class Counter64:
     """Sums by 64-bit key over many slices, handed out whenever ``limit``
     distinct keys are held, so memory is bounded and nothing is dropped."""
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 600_000):
         self.limit, self.parts, self.held = limit, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm import arrays
 
 SHORT_BYTES = 40
-CACHE_WORDS = 400_000
-PIECE_CHARS = 1 << 20
+CACHE_WORDS = 200_000
+PIECE_CHARS = 1 << 19
 
 # classes of code points in the byte-level pattern
 OTHER, LETTER, NUMBER, BLANK, SPACE, ADDED, END = range(7)
@@ -117,7 +117,7 @@ class Encoder:
         keys = left * size + right
         self._bits = 20
         self._slot_key = np.full((1 << self._bits) + 64, -1, np.int64)
-        self._slot_rank = np.full(self._slot_key.size, _NONE)
+        self._slot_rank = np.zeros(self._slot_key.size, np.int32)
         for rank, (key, at) in enumerate(zip(keys.tolist(), self._slots(keys).tolist(), strict=True)):
             while self._slot_key[at] not in (-1, key):
                 at += 1
@@ -209,7 +209,7 @@ class Encoder:
         def push(i: int, j: int) -> None:
             pair = (part[i], part[j])
             if pair not in self._single:
-                if len(self._single) > CACHE_WORDS:
+                if len(self._single) > CACHE_WORDS // 8:
                     self._single.clear()
                 self._single[pair] = int(self._ranks(np.array([pair[0]]), np.array([pair[1]]))[0])
             if self._single[pair] < _NONE:

@@ -31,7 +31,7 @@ UNKNOWN = "und"
 DIMENSIONS = 1024
 N = 3
 #: rows of the count matrix times n-grams held at once
-CELLS = 2_000_000
+CELLS = 500_000
 
 
 @functools.cache

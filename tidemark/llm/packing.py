@@ -13,7 +13,7 @@ a monotone queue over the last ``size`` ids gives the minimum in constant time.
 Windows whose length is a power of two of at least ``size / 4`` need no padding;
 they are extra transitions found by position.
 
-The stream is handled in runs of about a mebibyte of text.  The last two windows
+The stream is handled in runs of some hundred thousand ids.  The last two windows
 of a run, whose end the run and not the optimum has set, are cut anew with the
 next run, so memory is bounded and only the last window of a partition is short.
 """
