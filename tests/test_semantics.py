@@ -431,3 +431,13 @@ def test_inference_classes_and_threshold(spark):
     got = {r["column"]: (r.inferred, r.confidence) for r in quality.infer_schema(spark.createDataFrame(data, ", ".join(f"{n} string" for n in names))).collect()}
     assert got == {"boolean": ("Boolean", 1.0), "integer": ("Integer", 1.0), "decimal": ("Decimal", 1.0), "datetime": ("DateTime", 1.0), "guid": ("Guid", 1.0), "email": ("Email", 1.0),
                    "url": ("Url", 1.0), "json": ("Json", 1.0), "half": ("Boolean", 0.5), "empty": ("String", 0.0)}
+
+
+def test_every_trainer_and_task_is_registered(spark, root, monkeypatch):
+    from tidemark.plans import QUERIES, learning
+
+    monkeypatch.setattr(learning, "ROUNDS", 1)
+    got = {r["trainer"]: r for r in QUERIES["compare_multiclass_classifiers"](spark, root).collect()}
+    assert set(got) == {"max_entropy", "max_entropy_l1", "forest", "one_vs_rest_gbt"}
+    assert got["one_vs_rest_gbt"]["micro_accuracy"] > 0 and 0 < got["one_vs_rest_gbt"]["log_loss"] < 10
+    assert "accuracy" in QUERIES["automl_binary"](spark, root).columns and "micro_accuracy" in QUERIES["automl_multiclass"](spark, root).columns

@@ -103,7 +103,10 @@ def score_multiclass(model: Model, df: DataFrame, label: str = "label") -> DataF
     out = model.transform(df)
     if "probability" in out.columns:
         return out.withColumn("p_true", F.get(vector_to_array("probability"), F.col(label).cast("int")))
-    return out.withColumn("p_true", F.when(F.col(label) == F.col("prediction"), 1.0).otherwise(0.0))
+    # one against the rest: each class has its own boosted trees with a margin
+    each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+    total = F.aggregate(each, F.lit(0.0), lambda s, p: s + p)
+    return out.withColumn("p_true", F.get(each, F.col(label).cast("int")) / total)
 
 
 def compare(train_df: DataFrame, test_df: DataFrame | None, trainers: Mapping[str, Estimator], kind: str, label: str = "label", budget_seconds: float | None = None) -> tuple[DataFrame, dict[str, Model]]:

@@ -41,7 +41,7 @@ def compare_binary_classifiers(t: Tables):
 @query("compare_multiclass_classifiers", "M3 M4")
 def compare_multiclass_classifiers(t: Tables):
     c = ml.classifiers(ROUNDS)
-    return ml.compare(_vectors(t), None, {k: c[k] for k in ("max_entropy", "max_entropy_l1", "forest")}, "multiclass")[0]
+    return ml.compare(_vectors(t), None, {k: c[k] for k in ("max_entropy", "max_entropy_l1", "forest", "one_vs_rest_gbt")}, "multiclass")[0]
 
 
 @query("compare_regressors", "M5 M6")
@@ -57,6 +57,20 @@ def regression_ensemble(t: Tables):
     return ml.regression_metrics(ml.ensemble(data, models))
 
 
+@query("automl_binary", "M7")
+def automl_binary(t: Tables):
+    c = ml.classifiers(ROUNDS)
+    train, test = _documents(t).randomSplit([0.8, 0.2], seed=ml.SEED)
+    return ml.compare(train, test, {k: c[k] for k in ("logistic", "forest", "gbt")}, "binary", budget_seconds=60)[0].limit(1)
+
+
+@query("automl_multiclass", "M7")
+def automl_multiclass(t: Tables):
+    c = ml.classifiers(ROUNDS)
+    train, test = _vectors(t).randomSplit([0.8, 0.2], seed=ml.SEED)
+    return ml.compare(train, test, {k: c[k] for k in ("max_entropy", "forest", "one_vs_rest_gbt")}, "multiclass", budget_seconds=60)[0].limit(1)
+
+
 @query("automl_regression", "M7")
 def automl_regression(t: Tables):
     r = ml.regressors(ROUNDS)
