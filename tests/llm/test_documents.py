@@ -1,6 +1,7 @@
 """Quality rules, language ID, license scan, toxicity and suffix tree against plain versions."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -270,6 +271,62 @@ def test_scores_equal_the_plain_tree(spark):
     assert suffix_tree.score(docs(spark, []).withColumn("held_out", F.lit(True)), tree, table).count() == 0
 
 
+def full_scores(train, texts, longest):
+    """Scores of the tree in dictionaries: contexts and successors seen twice, and
+    contexts of more than two tokens if their suffix is a state."""
+    tokenized = [[*words(lowered(t)), "\n"] for t in train]
+    c = Counter(x for t in tokenized for x in t)
+    n, v = sum(c.values()), len(c)
+    root = lambda w: (c[w] + 1) / (n + v + 1)
+    models = []
+    while len(models) < longest:
+        depth, after, states = len(models) + 1, {}, {}
+        for t in tokenized:
+            before = ["\n", *t]
+            for i in range(depth - 1, len(t)):
+                s = tuple(before[i + 1 - depth : i + 1])
+                if depth < 3 or s[1:] in models[-1]:
+                    after.setdefault(s, Counter())[t[i]] += 1
+        for s, nexts in after.items():
+            total = sum(nexts.values())
+            p = {w: k / total for w, k in nexts.items() if k >= 2}
+            q = {w: plain_p(models, root, s[1:], w) for w in p}
+            rest, rest_q = max(1 - sum(p.values()), 0), min(max(1 - sum(q.values()), 1e-12), 1)
+            gain = sum(p[w] * math.log(p[w] / q[w]) for w in p) + (rest * math.log(max(rest, 1e-12) / rest_q) if rest > 1e-12 else 0)
+            if gain >= suffix_tree.LEAST_DIVERGENCE and gain * total >= suffix_tree.LEAST_GAIN:
+                cut = {w: x - suffix_tree.DISCOUNT / total for w, x in p.items()}
+                states[s] = (cut, 1 - sum(cut.values()))
+        models.append(states)
+    out = []
+    for t in texts:
+        tokens = [*words(lowered(t)), "\n"]
+        before = ["\n", *tokens]
+        out.append(sum(math.log10(plain_p(models, root, tuple(before[max(0, i + 1 - longest) : i + 1]), w)) for i, w in enumerate(tokens)))
+    return out, models
+
+
+def test_contexts_seen_twice_count_in_a_large_corpus(spark):
+    r = random.Random(5)
+    train = [" ".join(r.choices("abcdefgh", k=1000)) for _ in range(250)] + ["zeta eta theta"] * 2
+    texts = ["zeta eta theta", "a zeta eta b"]
+    want, models = full_scores(train, texts, 2)
+    assert ("zeta",) in models[0]
+    tree, table = suffix_tree.learn(docs(spark, train))
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs(spark, texts).withColumn("held_out", F.lit(True)), tree, table).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=2e-5)
+
+
+def test_long_contexts_while_they_diverge(spark):
+    train = [*["m p x y a", "n q x y b", "z y c"] * 20, *(prose(i, 70) for i in range(25)), *(prose(1, 40) for _ in range(6))]
+    texts = ["p x y a", "q x y a", "m p x y b", prose(99, 50), prose(1, 40), ""]
+    tree, table = suffix_tree.learn(docs(spark, train), longest=None)
+    want, models = full_scores(train, texts, len(tree.levels))
+    assert ("p", "x", "y") in models[2] and not models[-1]
+    assert [len(b) for b in tree.back] == [len(m) for m in models]
+    got = [r["score"] for r in suffix_tree.score(docs(spark, texts).withColumn("held_out", F.lit(True)), tree, table).orderBy(F.col("doc_id").asc_nulls_last()).collect()]
+    assert sorted(got) == pytest.approx(sorted(want), abs=2e-5)
+
+
 def test_probabilities_add_up(spark):
     tree, _ = suffix_tree.learn(docs(spark, [prose(i, 70) for i in range(25)]))
     for depth, back in enumerate(tree.back):

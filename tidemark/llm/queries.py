@@ -33,7 +33,7 @@ def op2_bpe_round_trip(spark: SparkSession, root: str) -> DataFrame:
 
 def op3_suffix_tree(spark: SparkSession, root: str) -> DataFrame:
     docs = Tables(spark, root).documents.withColumn("held_out", arrays.split_column("doc_id", 7) == 2)
-    tree, words = suffix_tree.learn(docs.where(~F.col("held_out")))
+    tree, words = suffix_tree.learn(docs.where(~F.col("held_out")), longest=None)
     return suffix_tree.score(docs, tree, words)
 
 
