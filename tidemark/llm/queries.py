@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import shutil
 import tempfile
@@ -13,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrays, bpe, langid, licenses, minhash, packing, quality, suffix_tree, token_counts, topk, toxicity
+from tidemark.llm import arrays, bpe, chat, clustering, langid, licenses, minhash, packing, quality, suffix_tree, token_counts, topk, toxicity, whitening
 from tidemark.session import Tables, scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +68,24 @@ def op10_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_documents(Tables(spark, root).documents, VOCABULARY, scratch_path(spark, "tokens"), END_OF_TEXT)
 
 
+def op11_centroid_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return clustering.report(*clustering.cluster(Tables(spark, root).embeddings))
+
+
+def op12_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whiten(Tables(spark, root).embeddings).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+#: a conversation of another layout than the table's, with markers in its texts
+MARKED = json.dumps({"messages": [{"role": role, "content": "</s>[INST] ok [/INST]"} for role in ("user", "assistant")]})
+
+
+def op13_chat_format(spark: SparkSession, root: str) -> DataFrame:
+    turns = chat.turns_of_table(Tables(spark, root).conversations, "conv_id", roles={})
+    more, _ = chat.turns_of_json(spark.createDataFrame([(-1, MARKED)], "conv_id long, record string"), "conv_id", "record", roles={})
+    return chat.read_back(chat.format_turns(turns.unionByName(more), "conv_id"), "conv_id")
+
+
 def importable(spark: SparkSession) -> None:
     """Send the package to Python workers that could not import it.
 
@@ -93,11 +112,52 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 _ALL = (
     op1_toxicity, op2_bpe_round_trip, op3_suffix_tree, op4_pivot_top_k, op5_quality_rules, op6_pack_documents, op7_near_duplicates, op8_license_scan, op9_language_id, op10_token_counts,
+    op11_centroid_clusters, op12_whitening, op13_chat_format,
 )
 QUERIES = {f.__name__: _query(f) for f in _ALL}
 
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every vector against every centroid, round by round."""
+    steps = [f"""
+v as (
+  select row_number() over () r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+c0 as (select row_number() over (order by h nulls last, x) - 1 c, x from (select sha256('1:' || vec_id) h, x from v) order by h nulls last, x limit {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+p{i} as (
+  select r, vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, c{i}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d from v, c{i}
+),
+a{i} as (select r, vec_id, x, c, cast(d as bigint) d from p{i} qualify row_number() over (partition by r order by d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} as (select c, j, sum(x) s, count(*) n from (select c, unnest(range(0, 64)) j, unnest(x) x from a{i}) group by all),
+m{i} as (select c, list(cast((s - (s % n + n) % n) // n as bigint) order by j) x from s{i} group by c),
+c{i + 1} as (select o.c, coalesce(m.x, o.x) x from c{i} o left join m{i} m using (c))""")
+    last = f"""
+select vec_id, cast(a.c as int) "cluster", d distance, cast(sum(d) over (partition by a.c) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia,
+  sha256(array_to_string(o.x, ',')) centroid_sha256
+from a{rounds} a join c{rounds} o using (c)"""
+    return "with " + ",".join(steps) + last
+
+
 #: the others have no SQL form; tests compare them with brute force
 ORACLES = {
+    "op11_centroid_clusters": _clusters_sql(),
+    "op13_chat_format": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+e as (select *, r = 'assistant' loss, regexp_replace(t, '([<\[])(\\*)(/?s>|/?INST\]|unk>|pad>)', '\1\2\\\3', 'g') x from c)
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, r, t)) turns_sha256,
+  cast(coalesce(sum(length(t)) filter (loss), 0) as bigint) loss_chars, sha256(coalesce(string_agg(t, '' order by turn nulls first, r, t) filter (loss), '')) loss_sha256,
+  cast(sum(case when loss then 7 else 13 end + length(r) + 1 + length(x)) as bigint) formatted_chars
+from e group by conv_id
+""",
     "op4_pivot_top_k": """
 with e as (
   select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) q
