@@ -280,9 +280,10 @@ def format_turns(turns: DataFrame, key: str, template: Template = TEMPLATE) -> D
     by role and text; repeated rows count each; an empty table gives no row.  Rows of a
     partition keep their order, so what reads them on without a shuffle has it."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
-    made = turns.select(F.col(f"`{key}`"), "turn", role.alias("role"), template.piece(role, text).alias("piece"), F.when(role.isin(sorted(template.roles)), F.char_length(template.escape(text))).alias("masked"), text.alias("text"))
-    # equal turn and role: order of the escaped pieces is not that of the texts, so texts are sorted
-    rows = made.repartition(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`"), "turn", "role", "text").drop("role", "text")
+    own = turns.select(F.col(f"`{key}`"), "turn", role.alias("role"), text.alias("text"))
+    rows = own.repartition(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`"), "turn", "role", "text")
+    masked = F.when(F.col("role").isin(sorted(template.roles)), F.char_length(template.escape(F.col("text"))))
+    rows = rows.select(F.col(f"`{key}`"), "turn", template.piece(F.col("role"), F.col("text")).alias("piece"), masked.alias("masked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, 0
