@@ -17,10 +17,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import materialize
+
 SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.RandomState(20_240_601).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -154,11 +157,38 @@ def text_slices(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BY
 
 
 def row_ids(start: int, n: int) -> np.ndarray:
-    """Ids of rows ``start`` to ``start + n`` of this partition: equal for equal
-    scans of one stored table, so a retried task gives the same ones."""
+    """Ids of rows ``start`` to ``start + n`` of this partition, for use within one
+    job: another job may split the same table elsewhere (see ``stored_ids``)."""
     return (TaskContext.get().partitionId() << 33) + start + np.arange(n, dtype=np.int64)
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows have a place in stored files, else a stored copy of it."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return materialize(docs, "rows")
+    return docs
+
+
+def placed(docs: DataFrame, *columns) -> DataFrame:
+    """``columns`` of a stored table with _file and _row, a row's place in it: the same
+    in every job, however a scan is split."""
+    return docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def file_numbers(docs: DataFrame) -> dict[str, int]:
+    """Number of each file of a stored table; the driver lists them for a scan anyway."""
+    return {r[0]: i for i, r in enumerate(docs.select(F.col("_metadata.file_path").alias("f")).distinct().orderBy("f").collect())}
+
+
+def stored_ids(rows: pa.RecordBatch, files: dict[str, int]) -> np.ndarray:
+    """Ids of ``placed`` rows, by file and place."""
+    file = rows.column("_file").dictionary_encode()
+    number = np.array([files[f] for f in file.dictionary.to_pylist()], np.int64)
+    return (number[file.indices.to_numpy(zero_copy_only=False)] << 33) + rows.column("_row").to_numpy(zero_copy_only=False)
+
+
 def output_schema(docs: DataFrame, kept: list[str], more: str = "") -> T.StructType:
     """Schema of ``kept`` columns of ``docs``, whatever their names, and the DDL fields ``more``."""
     fields = [T.StructField(c, docs.schema[c].dataType) for c in kept]

@@ -154,12 +154,11 @@ def samples(h: np.ndarray, weight: np.ndarray, ptr: np.ndarray, count: int) -> n
     return out
 
 
-def signed(docs: DataFrame, text: str, carry: str, weights: Weights) -> DataFrame:
+def signed(docs: DataFrame, files: dict[str, int], text: str, carry: str, weights: Weights) -> DataFrame:
     """rid, carry, hash pair of the word sequence, weight and band keys of each
     row; all null but the first two without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
         for batch in batches:
             for rows, data, offsets in arrays.text_slices(batch, text):
                 n = rows.num_rows
@@ -179,10 +178,9 @@ def signed(docs: DataFrame, text: str, carry: str, weights: Weights) -> DataFram
                         key = arrays.mix(key * np.uint64(0xE7037ED1A0B428DB) + drawn[:, k::ROWS])
                     keys[~none] = key
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(arrays.row_ids(at, n)), rows.column(carry), *same, pa.array(np.bincount(of, weight, n)), lists], ["rid", carry, "h1", "h2", "weight", "keys"])
-                at += n
+                yield pa.RecordBatch.from_arrays([pa.array(arrays.stored_ids(rows, files)), rows.column(carry), *same, pa.array(np.bincount(of, weight, n)), lists], ["rid", carry, "h1", "h2", "weight", "keys"])
 
-    return docs.select(carry, text).mapInArrow(run, f"rid long, `{carry}` {docs.schema[carry].dataType.simpleString()}, h1 long, h2 long, weight double, keys array<long>")
+    return docs.select(carry, text, "_file", "_row").mapInArrow(run, f"rid long, `{carry}` {docs.schema[carry].dataType.simpleString()}, h1 long, h2 long, weight double, keys array<long>")
 
 
 _FILTER_BITS = 24
@@ -209,27 +207,26 @@ def _bitmap(rids: DataFrame) -> np.ndarray:
     return table
 
 
-def _marked(docs: DataFrame, table: np.ndarray, marked: bool) -> DataFrame:
-    """rid and the columns of the rows whose bit is set, or of those where it is not."""
+def _marked(docs: DataFrame, files: dict[str, int], table: np.ndarray, marked: bool) -> DataFrame:
+    """rid and the columns of the ``placed`` rows whose bit is set, or of those where it is not."""
+    kept = [c for c in docs.columns if c not in ("_file", "_row")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
-        at = 0
         for batch in batches:
-            rid = arrays.row_ids(at, batch.num_rows)
-            at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(rid), *batch.columns], ["rid", *batch.schema.names]).filter(pa.array(bits[_spot(rid)] == marked))
+            rid = arrays.stored_ids(batch, files)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), *(batch.column(c) for c in kept)], ["rid", *kept]).filter(pa.array(bits[_spot(rid)] == marked))
 
-    schema = arrays.output_schema(docs, docs.columns)
+    schema = arrays.output_schema(docs, kept)
     return docs.mapInArrow(run, T.StructType([T.StructField("rid", T.LongType()), *schema.fields]))
 
 
-def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, files: dict[str, int], text: str, wanted: DataFrame) -> DataFrame:
     """rid and text of the rows whose rid is in ``wanted`` (one column, distinct).
 
     The bitmap keeps most other texts out of the shuffle; with more rids than it
     can tell apart it only saves less."""
-    return _marked(docs.select(F.col(text).alias("text")), _bitmap(wanted), True).join(wanted.hint("merge"), "rid", "left_semi")
+    return _marked(docs.select(F.col(text).alias("text"), "_file", "_row"), files, _bitmap(wanted), True).join(wanted.hint("merge"), "rid", "left_semi")
 
 
 def lone_weights(texts: DataFrame, weights: Weights) -> DataFrame:
@@ -306,11 +303,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     ``class_rid`` is the smallest rid of the row's class, ``kept`` says whether
     the row is that one.  Rows with equal word sequences are one class; null texts
     and texts without words are classes of their own; an empty table gives no
-    row.  rid numbers rows by partition and place, so ``docs`` must be a plain
-    scan; equal scans give equal numbers."""
-    narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    row.  rid numbers rows by file and place, which are the same in every job of a
+    run, however its scans are split; what is no stored table is stored first."""
+    docs = arrays.stored(docs)
+    files = arrays.file_numbers(docs)
+    narrow = arrays.placed(docs, F.col(key).alias("_key"), F.col(text).alias("text"))
     weights = weigh(narrow, "text")
-    rows = materialize(signed(narrow, "text", "_key", weights), "rows")
+    rows = materialize(signed(narrow, files, "text", "_key", weights), "rows")
     first = materialize(rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("rid").alias("rid")), "distinct")
     single = first.select("rid").join(rows.select("rid", "weight", "keys"), "rid")
     bands = materialize(single.select("rid", "weight", "keys", F.posexplode("keys").alias("band", "key")), "bands")
@@ -321,7 +320,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     heads = ranked.groupBy("band", "key").agg(F.max_by("rid", F.struct("degree", -F.col("rid"))).alias("head"))
     headed = ranked.join(materialize(heads, "heads"), ["band", "key"]).where("rid <> head")
     pairs = materialize(headed.select(F.least("head", "rid").alias("a"), F.greatest("head", "rid").alias("b")).distinct(), "pairs")
-    texts = materialize(texts_of(narrow, "text", materialize(members.select("rid").distinct(), "wanted")), "texts")
+    texts = materialize(texts_of(narrow, files, "text", materialize(members.select("rid").distinct(), "wanted")), "texts")
     links = _verified(pairs, texts, weights, similarity)
     label = materialize(components(links), "roots")
     more = _left_open(members, label, texts, weights, similarity).join(pairs, ["a", "b"], "left_anti")
@@ -365,8 +364,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, unchanged, without all but one of each class."""
+    docs = arrays.stored(docs)
     gone = materialize(classes(docs, text, key, similarity).where("not kept").select("rid"), "gone")
-    source, table = docs.select(F.struct("*").alias("_row")), _bitmap(gone)
+    source, files, table = arrays.placed(docs, F.struct("*").alias("_all")), arrays.file_numbers(docs), _bitmap(gone)
     # rows whose bit is not set stay for sure and need no shuffle
-    unsure = _marked(source, table, True).join(gone.hint("merge"), "rid", "left_anti")
-    return _marked(source, table, False).unionByName(unsure).select("_row.*")
+    unsure = _marked(source, files, table, True).join(gone.hint("merge"), "rid", "left_anti")
+    return _marked(source, files, table, False).unionByName(unsure).select("_all.*")
