@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from fixtures import AWKWARD, docs, prose, words
 
-from tidemark.llm import minhash, topk
+from tidemark.llm import arrays, minhash, token_counts, topk
+from tidemark.llm.queries import END_OF_TEXT, VOCABULARY
+from tidemark.session import scratch_path
 
 EDITED = prose(20, 120).split()
 
@@ -145,3 +147,82 @@ def test_top_k_equals_brute_force(spark, monkeypatch, pivots):
 
 def test_no_vectors(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_large_components_neither_clamp_nor_wrap(spark):
+    rows = [(50, [1.0, 0.0]), (1, [1e8, 0.0]), (2, [9e7, 0.0]), (3, [2e9, 0.0]), (4, [-2e9, 1.0]), (5, [0.5, 3.0]), (100, [-1.0, 2e3]), (150, [3e4, -3e4]), (6, [1e6 + 0.25, 7.0])]
+    rows += [(1000 + i, [float(i % 7), float(i % 11)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for pivots in (0, 3, 32):
+        got = topk.top_k(frame, pivots=pivots).collect()
+        want = [(v, k, u, s) for v, k, u, s in _whole_top_k(rows, 5, 50)]
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50][:3] == [3, 1, 2]
+    far = spark.createDataFrame([(50, [4e9]), (1, [4e9]), (2, [-4e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(far).collect()
+
+
+def _whole_top_k(rows, k, every):
+    good = [(i, v, [int(np.floor(256 * float(c))) for c in x]) for i, (v, x) in enumerate(rows)]
+    out = []
+    for i, v, q in good:
+        if v % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, p)), u) for j, u, p in good if j != i)[:k]
+            out += [(v, rank + 1, u, -s) for rank, (s, u) in enumerate(scored)]
+    return sorted(out)
+
+
+@pytest.fixture
+def many_files(spark, tmp_path):
+    """Documents in 12 files, and a switch that changes how the next job splits them."""
+    texts = [t for i in range(60) for t in (prose(100 + i, 60), prose(100 + i, 60), prose(100 + i, 60) + " end")] + edits(30)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(12).write.parquet(path)
+    yield spark.read.parquet(path), len(texts)
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def _moving(spark, monkeypatch, module, name):
+    """The function runs, and then scans are split for another number of cores."""
+    plain, turn = getattr(module, name), [1]
+
+    def moved(*args, **kwargs):
+        out = plain(*args, **kwargs)
+        turn[0] = turn[0] % 5 + 2
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(turn[0]))
+        return out
+
+    monkeypatch.setattr(module, name, moved)
+
+
+def test_classes_do_not_depend_on_splits(spark, monkeypatch, many_files):
+    frame, n = many_files
+    read = lambda: sorted(map(tuple, minhash.near_duplicates(frame).collect()))
+    kept = lambda: sorted(r[0] for r in minhash.keep_first(frame).select("doc_id").collect())
+    want, want_kept = read(), kept()
+    assert len(want) == n and max(r[2] for r in want) > 20 and len(want_kept) == sum(r[3] for r in want)
+    _moving(spark, monkeypatch, minhash, "materialize")
+    assert read() == want and kept() == want_kept
+
+
+def test_token_counts_do_not_depend_on_splits(spark, monkeypatch, many_files):
+    frame, n = many_files
+    counts = lambda: token_counts.count_documents(frame, VOCABULARY, scratch_path(spark, "tokens"), END_OF_TEXT)
+    want = sorted((r["doc_id"], r["n_tokens"]) for r in counts().collect())
+    _moving(spark, monkeypatch, token_counts, "write_flat")
+    got = counts()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got.collect()) == want and got.count() == n == len(want)
+
+
+def test_wrong_keys_stop_the_count(spark, monkeypatch, many_files):
+    frame, _ = many_files
+    monkeypatch.setattr(token_counts, "materialize", lambda df, label: df.where("ordinal > 0"))
+    with pytest.raises(Exception, match="flat files and rows differ"):
+        token_counts.count_documents(frame, VOCABULARY, scratch_path(spark, "tokens"), END_OF_TEXT).count()
+
+
+def test_rows_without_files_are_stored(spark):
+    frame = spark.createDataFrame([(i, prose(i % 4, 50)) for i in range(12)], "doc_id long, text string")
+    assert arrays.stored(frame) is not frame
+    assert sorted(r["class_size"] for r in minhash.near_duplicates(frame).collect()) == [3] * 12

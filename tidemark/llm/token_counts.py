@@ -10,6 +10,7 @@ file (the last separator so far, the documents so far) stitches them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encoded_slices, encoder
+from tidemark.session import materialize
 
 BLOCK_TOKENS = 1 << 20
 
@@ -97,10 +99,11 @@ def count_documents(docs: DataFrame, vocabulary: str, path: str, separator: int,
     count the key of its row: key, part, ordinal, start, n_tokens.
 
     Files hold no keys.  Row r of partition p of a stored table is document r of
-    file p, which a second, narrow scan of the key column numbers; a document
+    file p, which a second, narrow scan of the key column numbers and stores.  Both
+    scans are split alike, whatever executors come or go between them.  A document
     without its row, or a row without its document, stops the job.  Null and
-    empty texts count 0 tokens; rows that repeat count each."""
-    write_flat(docs, vocabulary, path, separator, text, width)
+    empty texts count 0 tokens; rows that repeat count each; an empty table gives
+    no row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +113,25 @@ def count_documents(docs: DataFrame, vocabulary: str, path: str, separator: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part), pa.int64()), pa.array(np.arange(at, at + n), pa.int64())], [key, "part", "ordinal"])
             at += n
 
-    keys = docs.select(key, text).select(key).mapInArrow(number, f"`{key}` {kind}, part long, ordinal long").withColumn("_row", F.lit(True))
+    with _same_splits(docs.sparkSession):
+        write_flat(docs, vocabulary, path, separator, text, width)
+        keys = materialize(docs.select(key, text).select(key).mapInArrow(number, f"`{key}` {kind}, part long, ordinal long"), "keys").withColumn("_row", F.lit(True))
     counts = scan_flat(docs.sparkSession, path, separator, width).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("long")).drop("file")
     both = counts.join(keys, ["part", "ordinal"], "full_outer")
     whole = F.col("_row").isNotNull() & F.coalesce("closed", F.lit(False))
-    return both.select(
-        F.when(whole, F.col(key)).otherwise(F.raise_error(F.lit("flat files and rows differ")).cast(kind)).alias(key), "part", "ordinal", "start", "n_tokens",
-    )
+    # a condition of the rows, which no selection of columns takes away
+    return both.where(F.when(whole, True).otherwise(F.raise_error(F.lit("flat files and rows differ")).cast("boolean"))).select(key, "part", "ordinal", "start", "n_tokens")
+
+
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans within are split for one number of cores, also if executors are lost or join."""
+    name = "spark.sql.files.minPartitionNum"
+    own = spark.conf.get(name, None)
+    if own is None:
+        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(name)
