@@ -4,10 +4,11 @@ import pytest
 from compare import duck_result, mismatch, spark_result
 
 import __spark_entry__ as entry
-from tidemark.plans import COVERS, ORACLES, QUERIES
+from tidemark.plans import COVERS, ORACLES, QUERIES, learning
 
-# trained models and masked text have no SQL form; they are tested by value elsewhere
-SLOW = {"compare_binary_classifiers", "compare_multiclass_classifiers", "compare_regressors", "regression_ensemble", "automl_regression",
+# trained models and masked text have no SQL form; they are tested by value elsewhere.
+# These train for minutes at full length, so the test shortens them.
+SLOW = {"compare_binary_classifiers", "compare_multiclass_classifiers", "compare_regressors", "regression_ensemble", "automl_binary", "automl_multiclass", "automl_regression",
         "kmeans_choose_k", "factorization_metrics", "recommend_items"}
 SPLIT = ["flag_statistics_ranked", "supplier_order_statistics", "event_metric_snapshot", "lookup_orders", "theta_count", "asof_join", "pivot_every_aggregate",
          "self_join", "binary_metrics", "quantile_bins", "profile_numeric", "series_trend", "series_autocorrelation", "series_gap_fill", "series_change_points",
@@ -24,10 +25,12 @@ def test_hot_group_plan_matches_sql(spark, con, root, split, name):
     assert mismatch(spark_result(spark, QUERIES[name], root), duck_result(con, ORACLES[name])) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
-def test_runs(spark, root, name):
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs(spark, root, monkeypatch, name):
+    if name in SLOW:
+        monkeypatch.setattr(learning, "ROUNDS", 3)
     df = QUERIES[name](spark, root)
-    assert df.columns and df.count() > 0
+    assert df.columns and len(df.collect()) > 0  # a count would prune the columns away
 
 
 def test_contract(spark):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import automl
 from tidemark.operators import features as ft
 from tidemark.operators import ml
 from tidemark.operators.ordered import running
@@ -9,6 +10,13 @@ from tidemark.plans.registry import query
 from tidemark.session import Tables, materialize, scratch_path
 
 ROUNDS = 100  # boosting rounds, trees and iterations in the registered queries
+FOLDS = 10  # folds 0 to 7 train, 8 chooses, 9 is held out to the end
+_FOLD = "('0x' || substr(md5({}), 1, 8))::UBIGINT % 10"
+
+
+def _held_out(data):
+    """(training rows, held-out rows) of a stored table with folds."""
+    return data.where("fold < 8"), data.where("fold >= 8")
 
 
 def _documents(t: Tables):
@@ -19,70 +27,85 @@ def _documents(t: Tables):
         "doc_id", F.col("quality").cast("double").alias("label"), F.length(text).cast("double").alias("chars"), F.size(words).cast("double").alias("words"),
         (F.length(F.regexp_replace(text, "[^0-9]", "")) / F.length(text)).alias("digit_share"), (F.length(F.regexp_replace(text, r"[\p{L}\s]", "")) / F.length(text)).alias("odd_share"),
         (F.size(F.array_distinct(words)) / F.size(words)).alias("variety"))
-    return materialize(ml.assemble(d, ["chars", "words", "digit_share", "odd_share", "variety"]), "document-features")
+    return materialize(automl.deal(ml.assemble(d, ["chars", "words", "digit_share", "odd_share", "variety"]), "doc_id", FOLDS), "document-features")
 
 
 def _lines(t: Tables):
     d = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_extendedprice").alias("label"), "l_quantity", "l_discount", "l_tax", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
-    return materialize(ml.assemble(d, ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]), "line-features")
+        "l_orderkey", F.col("l_extendedprice").alias("label"), "l_quantity", "l_discount", "l_tax", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
+    # lines of one order share a fold
+    return materialize(automl.deal(ml.assemble(d, ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]), "l_orderkey", FOLDS), "line-features")
 
 
 def _vectors(t: Tables):
-    return materialize(ml.vectors(t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), "embedding"), "embedding"), "vectors")
+    return materialize(automl.deal(ml.vectors(t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), "embedding"), "embedding"), "vec_id", FOLDS), "vectors")
 
 
 @query("compare_binary_classifiers", "M1 M2 M4")
 def compare_binary_classifiers(t: Tables):
     c = ml.classifiers(ROUNDS)
-    return ml.compare(_documents(t), None, {k: c[k] for k in ("gbt", "fast_gbt", "logistic")}, "binary")[0]
+    return ml.compare(*_held_out(_documents(t)), {k: c[k] for k in ("gbt", "fast_gbt", "logistic")}, "binary")[0]
 
 
 @query("compare_multiclass_classifiers", "M3 M4")
 def compare_multiclass_classifiers(t: Tables):
     c = ml.classifiers(ROUNDS)
-    return ml.compare(_vectors(t), None, {k: c[k] for k in ("max_entropy", "max_entropy_l1", "forest", "one_vs_rest_gbt")}, "multiclass")[0]
+    return ml.compare(*_held_out(_vectors(t)), {k: c[k] for k in ("max_entropy", "max_entropy_l1", "forest", "one_vs_rest_gbt")}, "multiclass")[0]
 
 
 @query("compare_regressors", "M5 M6")
 def compare_regressors(t: Tables):
     r = ml.regressors(ROUNDS)
-    return ml.compare(_lines(t), None, {k: r[k] for k in ("gbt", "fast_gbt", "forest", "linear")}, "regression")[0]
+    return ml.compare(*_held_out(_lines(t)), {k: r[k] for k in ("gbt", "fast_gbt", "forest", "linear")}, "regression")[0]
 
 
 @query("regression_ensemble", "M6")
 def regression_ensemble(t: Tables):
-    r, data = ml.regressors(ROUNDS), _lines(t)
+    r, (data, held) = ml.regressors(ROUNDS), _held_out(_lines(t))
     models = {k: ml.train(data, r[k]) for k in ("gbt", "forest", "linear")}
-    return ml.regression_metrics(ml.ensemble(data, models))
+    return ml.regression_metrics(ml.ensemble(held, models))
+
+
+_TREES = {"numTrees": (20, 60), "maxDepth": (4, 8)}
+_BOOSTED = {"maxIter": (20, 60), "stepSize": (0.1, 0.3)}
+_LINEAR = {"regParam": (0.001, 0.01, 0.1), "elasticNetParam": (0.0, 0.5)}
+
+
+def _automl(data, trainers, choices, kind):
+    return automl.halving(data, automl.grid({k: trainers[k] for k in choices}, choices), kind)[0]
 
 
 @query("automl_binary", "M7")
 def automl_binary(t: Tables):
-    c = ml.classifiers(ROUNDS)
-    train, test = _documents(t).randomSplit([0.8, 0.2], seed=ml.SEED)
-    return ml.compare(train, test, {k: c[k] for k in ("logistic", "forest", "gbt")}, "binary", budget_seconds=60)[0].limit(1)
+    return _automl(_documents(t), ml.classifiers(ROUNDS), {"logistic": _LINEAR, "forest": _TREES, "gbt": _BOOSTED}, "binary")
 
 
 @query("automl_multiclass", "M7")
 def automl_multiclass(t: Tables):
-    c = ml.classifiers(ROUNDS)
-    train, test = _vectors(t).randomSplit([0.8, 0.2], seed=ml.SEED)
-    return ml.compare(train, test, {k: c[k] for k in ("max_entropy", "forest", "one_vs_rest_gbt")}, "multiclass", budget_seconds=60)[0].limit(1)
+    return _automl(_vectors(t), ml.classifiers(ROUNDS), {"max_entropy": _LINEAR, "forest": _TREES}, "multiclass")
 
 
 @query("automl_regression", "M7")
 def automl_regression(t: Tables):
-    r = ml.regressors(ROUNDS)
-    train, test = _lines(t).randomSplit([0.8, 0.2], seed=ml.SEED)
-    return ml.compare(train, test, {k: r[k] for k in ("linear", "forest", "gbt")}, "regression", budget_seconds=60)[0].limit(1)
+    return _automl(_lines(t), ml.regressors(ROUNDS), {"linear": _LINEAR, "forest": _TREES, "gbt": _BOOSTED}, "regression")
+
+
+@query("automl_folds", "M7", f"""
+SELECT 'documents' AS data, {_FOLD.format("doc_id::VARCHAR")} AS fold, count(*) AS rows, sum(quality)::DOUBLE AS label_sum FROM documents JOIN labels USING (doc_id) GROUP BY ALL
+UNION ALL SELECT 'embeddings', {_FOLD.format("vec_id::VARCHAR")}, count(*), sum(label)::DOUBLE FROM embeddings GROUP BY ALL
+UNION ALL SELECT 'lineitem', {_FOLD.format("l_orderkey::VARCHAR")}, count(*), round(sum(l_extendedprice), 2) FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""", wide=True)
+def automl_folds(t: Tables):
+    """What each fold of the model queries holds."""
+    per = [d.groupBy(F.lit(name).alias("data"), "fold").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("label"), 2).alias("label_sum"))
+           for name, d in (("documents", _documents(t)), ("embeddings", _vectors(t)), ("lineitem", _lines(t)))]
+    return per[0].unionByName(per[1]).unionByName(per[2])
 
 
 @query("model_round_trip", "M8")
 def model_round_trip(t: Tables):
-    data, path = _documents(t), scratch_path(t.spark, "model")
+    (data, held), path = _held_out(_documents(t)), scratch_path(t.spark, "model")
     ml.save_model(ml.train(data, ml.classifiers(ROUNDS)["logistic"]), path)
-    return ml.binary_metrics(ml.score_binary(ml.load_model(path), data))
+    return ml.binary_metrics(ml.score_binary(ml.load_model(path), held))
 
 
 _PRED = "SELECT CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y, (props->>'$.k')::DOUBLE / 100 AS s, CASE WHEN (props->>'$.k')::DOUBLE >= 50 THEN 1 ELSE 0 END AS p FROM events"
