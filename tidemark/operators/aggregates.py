@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import stats
-from tidemark.operators.ordered import group_fits, null_safe_join, running
-from tidemark.session import spread
+from tidemark.operators.ordered import null_safe_join
+from tidemark.operators.selection import Selection, interpolated, nearest
+from tidemark.session import MAX_GROUP_ROWS, conf_int, materialize, spread
 
 _SIMPLE = {
     "count": lambda x, p: stats.non_null_count(x),
@@ -79,48 +80,23 @@ def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _cumulative(df: DataFrame, keys: Sequence[str], column: str, fits: bool | None) -> DataFrame:
-    counts = value_counts(df, keys, column)
-    cum = running(counts, keys, [F.col(column)], sums={"_cum": F.col("_n")}, fits=fits)
-    if not keys:  # one number: a literal instead of a join
-        return cum.withColumn("_total", F.lit(cum.agg(F.max("_cum")).first()[0]).cast("long"))
-    totals = cum.groupBy(*keys).agg(F.max("_cum").alias("_total"))
-    return null_safe_join(cum, totals, keys)
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles as columns ``q0..``, by selection."""
+    parts = [interpolated(f"_q{i}", p) for i, p in enumerate(probs)]
+    found = Selection(df, keys, column).at({n: r for ranks, _ in parts for n, r in ranks.items()})
+    out = found.select(*keys, *[v.alias(f"q{i}") for i, (_, v) in enumerate(parts)])
+    return out if keys else _one_row(out)
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], fits: bool | None = None
-) -> DataFrame:
-    """Exact interpolated quantiles as columns ``q0..``: cumulative counts over the
-    distinct values locate both neighbours of p*(n-1) without gathering a group."""
-    cum = _cumulative(df, keys, column, fits)
-
-    def at(index: Column) -> Column:
-        return F.min(F.when(F.col("_cum") > index, F.col(column)))
-
-    aggs, outs = [], []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        aggs += [
-            at(F.floor(pos)).alias(f"_lo{i}"),
-            at(F.ceil(pos)).alias(f"_hi{i}"),
-            F.max(pos - F.floor(pos)).alias(f"_f{i}"),
-        ]
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        outs.append((lo + (hi - lo) * F.col(f"_f{i}")).alias(f"q{i}"))
-    return cum.groupBy(*keys).agg(*aggs).select(*keys, *outs)
-
-
-def nearest_ranks(
-    df: DataFrame, keys: Sequence[str], column: str, probs: dict[str, float], fits: bool | None = None
-) -> DataFrame:
+def nearest_ranks(df: DataFrame, keys: Sequence[str], column: str, probs: dict[str, float]) -> DataFrame:
     """Element at index min(floor(p*n), n-1) of each sorted group."""
-    cum = _cumulative(df, keys, column, fits)
-    aggs = []
-    for out, p in probs.items():
-        idx = F.least(F.floor(F.lit(float(p)) * F.col("_total")), F.col("_total") - 1)
-        aggs.append(F.min(F.when(F.col("_cum") > idx, F.col(column))).alias(out))
-    return cum.groupBy(*keys).agg(*aggs)
+    out = Selection(df, keys, column).at({n: nearest(p) for n, p in probs.items()}).drop("_total")
+    return out if keys else _one_row(out)
+
+
+def _one_row(df: DataFrame) -> DataFrame:
+    """A global result has a row, of nulls, also where there is no value."""
+    return df.agg(*[F.first(c, ignorenulls=True).alias(c) for c in df.columns])
 
 
 def modes(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
@@ -129,23 +105,29 @@ def modes(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFram
     return counts.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("_n"), F.col(column))).alias(out))
 
 
-def median_absolute_deviation(
-    df: DataFrame, keys: Sequence[str], column: str, out: str, fits: bool | None = None
-) -> DataFrame:
-    """Median of |x - median|: the group median is joined back, then a second pass."""
-    if fits is None:
-        fits = group_fits(df, keys)
-    med = _medians(df, keys, column, fits).withColumnRenamed("q0", "_med")
-    values = df.select(*keys, column)
-    with_med = null_safe_join(values, med, keys) if keys else values.withColumn("_med", F.lit(med.first()[0]).cast("double"))
-    dev = with_med.withColumn("_dev", F.abs(F.col(column) - F.col("_med")))
-    return _medians(dev, keys, "_dev", fits).withColumnRenamed("q0", out)
+def median_absolute_deviation(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
+    """Median of |x - median|, both by selection from one set of bucket counts."""
+    chosen = Selection(df, keys, column)
+    ranks, value = interpolated("_m", 0.5)
+    return chosen.deviation(materialize(chosen.at(ranks).select(*keys, value.alias("_med")), "medians"), out)
+
 
+#: groups up to this size keep their values in one task's memory; there are at most ``_HOT`` larger ones
+_SMALL_GROUP, _HOT = 500_000, 100_000
 
-def _medians(df: DataFrame, keys: Sequence[str], column: str, fits: bool) -> DataFrame:
-    if fits:
-        return df.groupBy(*keys).agg(F.median(column).alias("q0"))
-    return quantiles(df, keys, column, [0.5], fits)
+
+def _large_groups(df: DataFrame, keys: Sequence[str], limit: int | None) -> tuple[DataFrame | None, bool]:
+    """(keys of the groups too large to gather, at most ``_HOT`` of them; are these all groups)."""
+    small = min(_SMALL_GROUP, conf_int(df.sparkSession, MAX_GROUP_ROWS)) if limit is None else limit
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    groups, total, most = counts.agg(F.count(F.lit(1)), F.sum("_n"), F.max("_n")).first()
+    cut = max(small, (total or 0) // _HOT)
+    if (most or 0) <= cut:
+        return None, False
+    if not keys:
+        return df.sparkSession.range(1).select(), True
+    large = materialize(counts.where(F.col("_n") > cut).select(*keys), "large-groups")
+    return large, large.count() == groups
 
 
 def group_aggregate(
@@ -158,9 +140,8 @@ def group_aggregate(
 ) -> DataFrame:
     """Keys followed by the requested aggregates.
 
-    Mergeable statistics share one hash aggregate.  Order statistics join it
-    while groups are small; for larger groups they run as separate plans over
-    value counts and are joined back on the keys.
+    Mergeable statistics share one hash aggregate.  Order statistics of groups that
+    a task can hold join it; those of larger groups are selected from bucket counts.
     """
     ks = list(keys)
     wanted = {a.column for a in specs if a.function != "distinct_count"}
@@ -169,15 +150,12 @@ def group_aggregate(
         *[as_number(df, c, coerce_zero).alias(f"_v_{c}") for c in sorted(wanted)],
         *[F.col(c).alias(f"_d_{c}") for c in sorted({a.column for a in specs if a.function == "distinct_count"})],
     )
-    ordered = {a.function for a in specs} & {*_QUANTILE, *_NEAREST, "mode", "mad"}
-    fits = bool(ordered) and group_fits(base, ks, limit)
-    if ordered:  # sorting value counts is CPU-bound, scanning is not
-        base = spread(base)
-    exprs: list[Column] = []
-    frames: list[DataFrame] = []
+    simple: list[Column] = []
     final: dict[str, Column] = {}
-    probs: dict[str, list[float]] = {}  # all quantiles of a column share one pass
-    nearest: dict[str, dict[str, float]] = {}
+    probs: dict[str, list[float]] = {}  # all order statistics of a column share its scans
+    near: dict[str, dict[str, float]] = {}
+    mode_of: dict[str, str] = {}
+    mad_of: dict[str, str] = {}
 
     def q(column: str, p: float) -> Column:
         ps = probs.setdefault(column, [])
@@ -187,40 +165,87 @@ def group_aggregate(
 
     for a in specs:
         name = f"_v_{a.column}"
-        x = F.col(name)
         final[a.out] = F.col(a.out)
         if a.function == "distinct_count":
-            exprs.append(F.count_distinct(f"_d_{a.column}").alias(a.out))
+            simple.append(F.count_distinct(f"_d_{a.column}").alias(a.out))
         elif a.function in _SIMPLE:
-            exprs.append(_SIMPLE[a.function](x, a.param).alias(a.out))
+            simple.append(_SIMPLE[a.function](F.col(name), a.param).alias(a.out))
         elif a.function in _QUANTILE:
-            qs = [q(a.column, p) for p in _QUANTILE[a.function](a.param)]
+            qs = [q(name, p) for p in _QUANTILE[a.function](a.param)]
             final[a.out] = qs[1] - qs[0] if len(qs) == 2 else qs[0]
         elif a.function == "mode":
-            if fits:
-                exprs.append(F.mode(x, True).alias(a.out))
-            else:
-                frames.append(modes(base, ks, name, a.out))
+            mode_of[a.out] = name
         elif a.function == "mad":
-            frames.append(median_absolute_deviation(base, ks, name, a.out, fits))
+            mad_of[a.out] = name
         elif a.function in _NEAREST:
-            nearest.setdefault(name, {})[a.out] = _NEAREST[a.function](a.param)
+            near.setdefault(name, {})[a.out] = _NEAREST[a.function](a.param)
         else:
             raise ValueError(f"unknown aggregate {a.function}")
-    for column, ps in probs.items():
-        if fits:
-            exprs.append(F.percentile(f"_v_{column}", F.array(*map(F.lit, ps))).alias(f"_q_{column}"))
-        else:
-            frame = quantiles(base, ks, f"_v_{column}", ps, fits)
-            frames.append(frame.select(*ks, F.array(*[f"q{i}" for i in range(len(ps))]).alias(f"_q_{column}")))
-    frames += [nearest_ranks(base, ks, name, outs, fits) for name, outs in nearest.items()]
-    head = base.groupBy(*ks).agg(*(exprs or [F.lit(1).alias("_one")]))
-    if ks:
-        joined = reduce(lambda l, r: null_safe_join(l, r, ks, "left"), frames, head)
-    else:  # one row each: stack them and keep what is set
-        stacked = reduce(lambda l, r: l.unionByName(r, allowMissingColumns=True), frames, head)
-        joined = stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
-    return joined.select(*keys, *[c.alias(n) for n, c in final.items()])
+    ordered = bool(probs or near or mode_of or mad_of)
+    large, only = _large_groups(base, ks, limit) if ordered else (None, False)
+    if large is None:
+        base = spread(base) if ordered else base  # sorting is CPU-bound, scanning is not
+        return _gathered(base, ks, simple, probs, near, mode_of, mad_of).select(*keys, *[c.alias(n) for n, c in final.items()])
+    wider = spread(base)
+    if wider is not base:  # fewer splits than cores: dealt out once for all scans
+        base = materialize(wider, "dealt")
+    head = base.groupBy(*ks).agg(*(simple or [F.lit(1).alias("_one")]))
+    frames = _selected(base if only else null_safe_join(base, large, ks, "left_semi", "broadcast"), ks, probs, near, mode_of, mad_of)
+    if not ks:  # one row each: stack them and keep what is set
+        return _one_row(reduce(lambda l, r: l.unionByName(r, allowMissingColumns=True), frames, head)).select(*[c.alias(n) for n, c in final.items()])
+    found = reduce(lambda l, r: null_safe_join(l, r, ks, "left"), frames)
+    if not only:
+        rest = null_safe_join(base, large, ks, "left_anti", "broadcast")
+        found = found.unionByName(_gathered(rest, ks, [], probs, near, mode_of, mad_of))
+    return null_safe_join(head, found, ks, "left").select(*keys, *[c.alias(n) for n, c in final.items()])
+
+
+def _gathered(df: DataFrame, ks: list[str], simple: list[Column], probs: dict, near: dict, mode_of: dict, mad_of: dict) -> DataFrame:
+    """All statistics of groups that fit a task: one hash aggregate, one sorted array per group and column."""
+    columns = sorted({*probs, *near, *mad_of.values()})
+    aggs = [*simple, *[F.mode(F.col(c) + F.lit(0.0), True).alias(out) for out, c in mode_of.items()], *[F.collect_list(c).alias(f"_l_{c}") for c in columns]]
+    out = df.groupBy(*ks).agg(*(aggs or [F.lit(1).alias("_one")]))
+    out = out.withColumns({f"_l_{c}": F.sort_array(f"_l_{c}") for c in columns})
+    for c, ps in probs.items():
+        out = out.withColumn(f"_q_{c}", F.array(*[_between(f"_l_{c}", p) for p in ps]))
+    for c, ranks in near.items():
+        out = out.withColumns({n: F.get(f"_l_{c}", nearest(p)(F.size(f"_l_{c}")).cast("int")) for n, p in ranks.items()})
+    for n, c in mad_of.items():
+        far = F.sort_array(_distances(f"_l_{c}", F.col("_middle")))
+        out = out.withColumn("_middle", _between(f"_l_{c}", 0.5)).withColumn("_far", far).withColumn(n, _between("_far", 0.5)).drop("_middle", "_far")
+    return out.drop(*[f"_l_{c}" for c in columns])
+
+
+def _between(values: str, p: float) -> Column:
+    """Interpolated quantile of a sorted array; null if it is empty."""
+    at = (F.size(values) - 1) * F.lit(float(p))
+    lo, hi = (F.get(values, f(at).cast("int")) for f in (F.floor, F.ceil))
+    return lo + F.when(hi == lo, 0.0).otherwise((hi - lo) * (at - F.floor(at)))
+
+
+def _distances(values: str, middle: Column) -> Column:
+    # never null where there is a value: arrays without nulls sort as primitives
+    return F.transform(values, lambda x: F.coalesce(F.abs(x - middle), F.lit(0.0)))
+
+
+def _selected(df: DataFrame, ks: list[str], probs: dict, near: dict, mode_of: dict, mad_of: dict) -> list[DataFrame]:
+    """Order statistics of large groups, one frame per column and one per mode."""
+    frames = []
+    for c in sorted({*probs, *near, *mad_of.values()}):
+        chosen = Selection(df, ks, c)
+        parts = [interpolated(f"_q{i}", p) for i, p in enumerate(probs.get(c, []))]
+        middle, median = interpolated("_mid", 0.5)
+        mads = [n for n, x in mad_of.items() if x == c]
+        ranks = {n: r for own, _ in parts for n, r in own.items()} | {n: nearest(p) for n, p in near.get(c, {}).items()} | (middle if mads else {})
+        found = chosen.at(ranks)
+        outs = [F.array(*[v for _, v in parts]).alias(f"_q_{c}")] if parts else []
+        if mads:
+            found = materialize(found.withColumn("_med", median), "selected")
+            deviation = chosen.deviation(found.select(*ks, "_med"), "_mad")
+            frames.append(deviation.select(*ks, *[F.col("_mad").alias(n) for n in mads]))
+        if outs or near.get(c):
+            frames.append(found.select(*ks, *outs, *near.get(c, {})))
+    return frames + [modes(df, ks, c, out) for out, c in mode_of.items()]
 
 
 def aggregate(df: DataFrame, specs: Sequence[Agg], **kw) -> DataFrame:

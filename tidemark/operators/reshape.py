@@ -62,7 +62,7 @@ def _pivot_large(marked: DataFrame, keys: Sequence[str], values: Mapping[str, st
     cells = marked.groupBy(*cell).agg(*(plain or [F.lit(1).alias("_one")]))
     for v, how in values.items():
         if how == "median":
-            cells = null_safe_join(cells, quantiles(marked, cell, v, [0.5], False).withColumnRenamed("q0", v), cell, "left")
+            cells = null_safe_join(cells, quantiles(marked, cell, v, [0.5]).withColumnRenamed("q0", v), cell, "left")
     return cells.groupBy(*keys).pivot("_pivot", list(labels)).agg(*[F.first(v, ignorenulls=True).alias(v) for v in values])
 
 
