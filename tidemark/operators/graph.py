@@ -6,17 +6,13 @@ flat and a lost executor repeats one round only.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import conf_int, materialize
-
-# Edges that one task may finish by itself; beyond it, rounds of joins.
-SMALL_GRAPH = ("spark.tidemark.smallGraphEdges", 100_000)
+from tidemark.session import materialize
 
 
 def _frame(edges: DataFrame, node: str, **cols: Column) -> DataFrame:
@@ -100,66 +96,84 @@ def detach_delete(vertices: DataFrame, edges: DataFrame, doomed: DataFrame) -> t
     return vertices.join(ids, "id", "left_anti"), kept
 
 
-def _fits_one_task(edges: DataFrame) -> bool:
-    return edges.limit(conf_int(edges.sparkSession, SMALL_GRAPH) + 1).count() <= conf_int(edges.sparkSession, SMALL_GRAPH)
+def _pointers(edges: DataFrame, *extra: Column) -> DataFrame:
+    """(node, to, ...) of the nodes with one outgoing edge."""
+    one = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.max("dst").alias("to"), *extra)
+    return one.where("_n = 1").drop("_n")
+
+
+def _doubled(pointers: DataFrame, joined: Callable[[DataFrame, DataFrame], DataFrame], count: int) -> tuple[list[DataFrame], DataFrame]:
+    """Pointers (node, to, ...) after 1, 2, 4, ... steps, until none ends at a node with a
+    pointer, and those that still do after ``count`` steps, so lead into a ring.
+
+    ``joined`` follows each pointer by the one of its end (columns named ``_2`` there)."""
+    tables = [pointers]
+    while True:
+        p = tables[-1]
+        open_ = p.join(p.select(F.col("node").alias("to")), "to", "left_semi")
+        if 2 ** (len(tables) - 1) >= count or open_.isEmpty():
+            return tables, open_
+        second = p.select(*[F.col(c).alias(f"{c}_2") for c in p.columns])
+        tables.append(materialize(joined(p, second), "doubled"))
 
 
 def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest-path level of every node (``src`` depends on ``dst``); level 0 has no
-    dependency.  A node is at level >= k when some dependency is at level >= k-1,
-    so each round keeps only the edges into the previous set.  Once the edges left
-    fit in one task, they are finished there; a round that removes no edge means a
-    cycle, which is an error.  There is no limit on levels."""
-    kind = edges.schema["src"].dataType.simpleString()
-    live = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "live")
-    levels = [nodes.select(F.col("id").alias("node"), F.lit(0).alias("level"))]
-    k, left = 0, live.count()
-    while left:
-        if left <= conf_int(edges.sparkSession, SMALL_GRAPH):
-            levels.append(live.groupBy(F.lit(0).alias("one")).applyInPandas(lambda g: _levels(g, k), f"node {kind}, level int"))
-            break
-        k += 1
-        at_least = materialize(live.select(F.col("src").alias("node")).distinct(), "level")
-        levels.append(at_least.withColumn("level", F.lit(k)))
-        live = materialize(live.join(at_least.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "live")
-        before, left = left, live.count()
-        if left == before:
+    dependency.  A cycle is an error; edges with a null end and loops do not count.
+
+    A node knows a least level so far, and every edge a length.  Each round takes off
+    the nodes without dependencies, whose level is final, and sets the nodes with a
+    single dependency aside: their pointers are doubled until they end at another
+    kind of node, and edges to them are led there.  So chains and trees of any depth
+    take rounds in the logarithm of their depth.  Nodes set aside get their levels
+    from the ends of their pointers afterwards, last round first."""
+    live = materialize(edges.select("src", "dst", F.lit(1).cast("long").alias("w")).where("src <> dst").distinct(), "live")
+    every = nodes.select(F.col("id").alias("node")).unionByName(live.select(F.col("src").alias("node"))).unionByName(live.select(F.col("dst").alias("node")))
+    acc = materialize(every.distinct().withColumn("acc", F.lit(0).cast("long")), "levels")
+    final, aside = [], []
+
+    def follow(p: DataFrame, q: DataFrame) -> DataFrame:
+        met = p.join(q, p["to"] == q["node_2"], "left")
+        least = F.greatest("acc", F.col("w") + F.coalesce("acc_2", F.lit(0)))
+        return met.select("node", F.coalesce("to_2", "to").alias("to"), (F.col("w") + F.coalesce("w_2", F.lit(0))).alias("w"), least.alias("acc"))
+
+    while not acc.isEmpty():
+        out = live.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max("dst").alias("to"), F.max("w").alias("w"))
+        now = materialize(acc.join(out, "node", "left").withColumn("n", F.coalesce("n", F.lit(0))), "degrees")
+        done = now.where("n = 0").select("node", F.col("acc").alias("level"))
+        ones = now.where("n = 1").select("node", "to", "w", "acc")
+        core, single = now.where("n > 1").select("node", "acc"), ones.count()
+        if not single and done.isEmpty():
             raise ValueError("cycle in the dependency graph")
-    return reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.max("level").alias("level"))
-
-
-def _levels(edges: pd.DataFrame, base: int) -> pd.DataFrame:
-    """Levels above ``base`` of the nodes of a small graph, dependencies first."""
-    users, waiting = defaultdict(list), defaultdict(int)
-    for src, dst in zip(edges["src"], edges["dst"], strict=True):
-        users[dst].append(src)
-        waiting[src] += 1
-    level = dict.fromkeys([*edges["src"], *edges["dst"]], 0)
-    ready = [n for n in level if not waiting[n]]
-    done = 0
-    while ready:
-        n = ready.pop()
-        done += 1
-        for user in users[n]:
-            level[user] = max(level[user], level[n] + 1)
-            waiting[user] -= 1
-            if not waiting[user]:
-                ready.append(user)
-    if done < len(level):
-        raise ValueError("cycle in the dependency graph")
-    return pd.DataFrame({"node": list(level), "level": [base + x for x in level.values()]})
-
-
-def _trim(edges: DataFrame) -> DataFrame:
-    """Edges whose ends have both an incoming and an outgoing edge, to a fixpoint."""
-    left = edges.count()
-    while left:
-        kept = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        edges = materialize(kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "core")
-        before, left = left, edges.count()
-        if left == before:
-            break
-    return edges
+        tables, ring = _doubled(ones, follow, single)
+        if single and not ring.isEmpty():
+            raise ValueError("cycle in the dependency graph")
+        far = tables[-1]
+        final.append(done)
+        aside.append(far)
+        led = live.join(core.select(F.col("node").alias("src")), "src", "left_semi")
+        led = led.join(far.select(F.col("node").alias("dst"), "to", F.col("w").alias("_w"), F.col("acc").alias("_acc")), "dst", "left")
+        led = led.select("src", F.coalesce("to", "dst").alias("dst"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), (F.col("w") + F.col("_acc")).alias("least"))
+        led = led.join(done.select(F.col("node").alias("dst"), "level"), "dst", "left")
+        led = materialize(led.select("src", "dst", "w", "least", (F.col("level") + F.col("w")).alias("reached")), "led")
+        if not led.where("src = dst").isEmpty():
+            raise ValueError("cycle in the dependency graph")
+        least = led.groupBy(F.col("src").alias("node")).agg(F.max(F.greatest("least", "reached")).alias("_least"))
+        acc = materialize(core.join(least, "node", "left").select("node", F.greatest("acc", "_least").alias("acc")), "levels")
+        live = materialize(led.where("reached is null").groupBy("src", "dst").agg(F.max("w").alias("w")), "live")
+    if not final:
+        return acc.select("node", F.col("acc").cast("int").alias("level"))
+    known = reduce(DataFrame.unionByName, final)
+    for far in reversed(aside):
+        ends = known.select(F.col("node").alias("to"), "level")
+        known = materialize(known.unionByName(far.join(ends, "to").select("node", F.greatest("acc", F.col("level") + F.col("w")).alias("level"))), "known")
+    return known.select("node", F.col("level").cast("int").alias("level"))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose end goes on and whose start is reached: no others are on cycles."""
+    kept = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    return kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
 
 
 def _spread_label(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -173,100 +187,142 @@ def _spread_label(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _flipped(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+class _Contraction:
+    """Takes the nodes with one outgoing edge out of a graph.
+
+    What reaches such a node reaches the node its pointers end at, so edges to it are
+    led there and the rest keeps its components.  Rings of such nodes are components
+    themselves.  A node taken out belongs to its end's component if one of that
+    component reaches it (``members``)."""
+
+    def __init__(self, edges: DataFrame):
+        first = materialize(_pointers(edges).withColumn("low", F.col("node")), "pointers")
+        self.count = first.count()
+        self.tables, ring = _doubled(first, self._follow, self.count)
+        far = self.tables[-1]
+        on_ring = ring.select(F.col("to").alias("node")).distinct()
+        self.rings = materialize(far.join(on_ring, "node", "left_semi").select("node", F.col("low").alias("component")), "rings")
+        ends = far.join(ring.select("node"), "node", "left_anti").select("node", "to")
+        self.ends = ends = materialize(ends, "ends")
+        # edges of the nodes that stay; those into a ring do not come back
+        stay = edges.join(first.select(F.col("node").alias("src")), "src", "left_anti").join(ring.select(F.col("node").alias("dst")), "dst", "left_anti")
+        led = stay.join(ends.select(F.col("node").alias("dst"), "to"), "dst", "left")
+        led = materialize(led.select("src", F.col("dst").alias("by"), F.coalesce("to", "dst").alias("dst"), F.col("to").isNotNull().alias("led")), "led")
+        self.entries = led.where("led").select("src", "by", "dst")
+        self.loops = led.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+        self.edges = materialize(led.where("src <> dst").select("src", "dst").distinct(), "core")
+
+    @staticmethod
+    def _follow(p: DataFrame, q: DataFrame) -> DataFrame:
+        met = p.join(q, p["to"] == q["node_2"], "left")
+        return met.select("node", F.coalesce("to_2", "to").alias("to"), F.least("low", "low_2").alias("low"))
+
+    def members(self, named: DataFrame) -> DataFrame:
+        """(node, component) of the nodes taken out that lie on a cycle through their ends."""
+        own = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+        met = self.entries.join(own("src"), "src", "left").join(own("dst"), "dst", "left")
+        same = F.coalesce("_src", "src") == F.coalesce("_dst", "dst")
+        marked = materialize(met.where(same).select(F.col("by").alias("node")).distinct(), "marked")
+        for steps in self.tables:
+            ahead = steps.join(marked, "node", "left_semi").select(F.col("to").alias("node"))
+            marked = materialize(marked.unionByName(ahead).distinct(), "marked")
+        found = self.ends.join(marked, "node", "left_semi").join(own("to"), "to", "left")
+        return found.select("node", F.coalesce("_to", "to").alias("component"))
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that lies on a cycle; a component is named by
     its lowest node.
 
-    Nodes that cannot be on a cycle are trimmed.  Each round then gives every node
-    the smallest node that reaches it; within such a colour, what reaches the
-    colour's own node back is one component.  A remainder that fits in one task is
-    finished there."""
-    kind = edges.schema["src"].dataType.simpleString()
+    Each round trims edges that cannot be on a cycle and contracts nodes with a single
+    way on, then those with a single way back, by pointer doubling, so rings and chains
+    of any length take rounds in the logarithm of their length.  Where this takes off
+    little, every node of the core gets the smallest node that reaches it; within such
+    a colour, what reaches the colour's own node back is one component.  Nodes taken
+    out are placed last."""
     pairs = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
-    found = [pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
-    live = _trim(pairs.where("src <> dst"))
-    while not live.isEmpty():
-        if _fits_one_task(live):
-            found.append(live.groupBy(F.lit(0).alias("one")).applyInPandas(_components, f"node {kind}, component {kind}"))
-            break
-        nodes = live.select(F.col("src").alias("node")).distinct()
-        colour = _spread_label(nodes.withColumn("label", F.col("node")), live)
-        tail, head = (colour.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")) for end in ("src", "dst"))
-        same = materialize(live.join(tail, "src").join(head, "dst").where("_src = _dst").select("src", "dst", F.col("_src").alias("label")), "colours")
-        reached = materialize(same.select(F.col("label").alias("node"), "label").distinct(), "back")
-        frontier = reached
-        while not frontier.isEmpty():
-            step = same.join(frontier.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
-            frontier = materialize(step.join(reached, ["node", "label"], "left_anti"), "back")
-            reached = materialize(reached.unionByName(frontier), "back")
-        found.append(reached.select("node", F.col("label").alias("component")))
-        for end in ("src", "dst"):
-            live = live.join(reached.select(F.col("node").alias(end)), end, "left_anti")
-        live = _trim(materialize(live.select("src", "dst"), "core"))
-    # a node with a loop may also be in a larger component, and a lone colour root in none
-    named = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("component").alias("component"))
+    loops = [pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
+    found: list[DataFrame] = [loops[0].limit(0)]
+    live, taken = materialize(pairs.where("src <> dst"), "core"), []
+    left = live.count()
+    while left:
+        live = materialize(_trimmed(live), "core")
+        for turned in (False, True):
+            out = _Contraction(_flipped(live) if turned else live)
+            if out.count:
+                taken.append(out)
+                found.append(out.rings)
+                loops.append(out.loops)
+                live = _flipped(out.edges) if turned else out.edges
+        before, left = left, live.count()
+        if left and left > before * 3 / 4:
+            component = _colour_round(live)
+            found.append(component)
+            for end in ("src", "dst"):
+                live = live.join(component.select(F.col("node").alias(end)), end, "left_anti")
+            live = materialize(live.select("src", "dst"), "core")
+            left = live.count()
+    named = materialize(reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("component").alias("component")), "named")
+    for out in reversed(taken):
+        more = named.unionByName(out.members(named)).groupBy("node").agg(F.min("component").alias("component"))
+        named = materialize(more, "named")
+    # a node that only leads back to itself, directly or by nodes taken out
+    named = named.unionByName(reduce(DataFrame.unionByName, loops).distinct().join(named.select("node"), "node", "left_anti"))
+    low = named.groupBy("component").agg(F.min("node").alias("low"))
+    named = named.join(low, "component").select("node", F.col("low").alias("component"))
     tail, head = (named.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst"))
     inside = pairs.join(tail, "src").join(head, "dst").where("_src = _dst")
     return materialize(named.join(inside.select(F.col("src").alias("node")).distinct(), "node", "left_semi"), "components")
 
 
-def _components(edges: pd.DataFrame) -> pd.DataFrame:
-    """Components of a small graph: order by finishing time, then search backwards."""
-    after, before = defaultdict(list), defaultdict(list)
-    for src, dst in zip(edges["src"], edges["dst"], strict=True):
-        after[src].append(dst)
-        before[dst].append(src)
-    finished, seen = [], set()
-    for start in [*after, *before]:
-        stack = [] if start in seen else [(start, iter(after[start]))]
-        seen.add(start)
-        while stack:
-            node, rest = stack[-1]
-            nxt = next((x for x in rest if x not in seen), None)
-            if nxt is None:
-                finished.append(node)
-                stack.pop()
-            else:
-                seen.add(nxt)
-                stack.append((nxt, iter(after[nxt])))
-    out, taken = [], set()
-    for root in reversed(finished):
-        group, stack = [], [] if root in taken else [root]
-        taken.add(root)
-        while stack:
-            node = stack.pop()
-            group.append(node)
-            for x in before[node]:
-                if x not in taken:
-                    taken.add(x)
-                    stack.append(x)
-        if len(group) > 1:
-            low = min(group)
-            out += [(node, low) for node in group]
-    return pd.DataFrame(out, columns=["node", "component"])
+def _colour_round(live: DataFrame) -> DataFrame:
+    """(node, component): one component for each colour of the core, found whole."""
+    nodes = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
+    colour = _spread_label(nodes.withColumn("label", F.col("node")), live)
+    tail, head = (colour.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")) for end in ("src", "dst"))
+    same = materialize(live.join(tail, "src").join(head, "dst").where("_src = _dst").select("src", "dst", F.col("_src").alias("label")), "colours")
+    reached = materialize(colour.where("node = label").select("node", "label"), "back")
+    frontier = reached
+    while not frontier.isEmpty():
+        step = same.join(frontier.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
+        frontier = materialize(step.join(reached, ["node", "label"], "left_anti"), "back")
+        reached = materialize(reached.unionByName(frontier), "back")
+    return reached.select("node", F.col("label").alias("component"))
 
 
 def find_cycles(edges: DataFrame) -> DataFrame:
-    """One row per group of nodes on common cycles: component (its lowest node),
-    nodes, edges, and a shortest cycle through the lowest node, of any length.
-
-    All simple cycles would be exponentially many; every one of them lies within
-    one component, and every component has one."""
+    """A witness cycle for each group of nodes on common cycles, one row per node on it:
+    component (its lowest node), nodes, edges (of the whole group), step, node.
+
+    Every node of a group points at its lowest successor there.  The walk from the
+    group's lowest node ends in a cycle, which is the witness; step 0 is its lowest
+    node.  Pointers are doubled, so rounds grow with the logarithm of its length and
+    no path is held in one value.  All simple cycles would be exponentially many;
+    each of them lies within one group, and every group has a witness."""
     named = strongly_connected(edges)
     tail, head = (named.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst"))
     inside = edges.select("src", "dst").distinct().join(tail, "src").join(head, "dst").where("_src = _dst")
     inside = materialize(inside.select("src", "dst", F.col("_src").alias("component")), "inside")
     sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).join(inside.groupBy("component").agg(F.count(F.lit(1)).alias("edges")), "component")
-    # breadth first from the lowest node of each component, one path per node
-    seen = materialize(named.where("node = component").select("component", "node", F.array("node").alias("path")), "walk")
-    frontier, closed = seen, []
-    while not frontier.isEmpty():
-        grown = frontier.withColumnRenamed("node", "src").join(inside, ["component", "src"])
-        closed.append(grown.where("dst = component").select("component", "path"))
-        step = grown.where("dst <> component").groupBy("component", F.col("dst").alias("node")).agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
-        frontier = materialize(step.join(seen.select("component", "node"), ["component", "node"], "left_anti"), "walk")
-        seen = materialize(seen.unionByName(frontier), "walk")
-    if not closed:
-        return sizes.withColumn("cycle", F.array().cast(f"array<{edges.schema['src'].dataType.simpleString()}>"))
-    shortest = reduce(DataFrame.unionByName, closed).groupBy("component").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("cycle"))
-    return sizes.join(shortest, "component")
+    first = materialize(inside.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to"), F.min("component").alias("component")), "pointers")
+    walk = first.select("node", "to", F.least("node", "to").alias("low"))
+    tables, _ = _doubled(walk, _Contraction._follow, named.count())
+    far = tables[-1]
+    # the walk from a group's lowest node has arrived on its cycle, which its lowest node names
+    arrived = far.join(sizes.select(F.col("component").alias("node")), "node", "left_semi").select(F.col("to").alias("node"))
+    starts = materialize(far.join(arrived, "node", "left_semi").select("low").distinct(), "starts")
+    ring = far.select(F.col("to").alias("node")).distinct().join(far.select("node", "low"), "node").join(starts, "low", "left_semi")
+    ring = materialize(ring.join(first, "node").select("node", "to", "low", "component"), "ring")
+    # steps to the lowest node, where pointers stay
+    stop = F.col("node") == F.col("low")
+    steps = ring.select("node", F.when(stop, F.col("node")).otherwise(F.col("to")).alias("to"), F.when(stop, 0).otherwise(1).cast("long").alias("d"))
+    for _ in range(max(ring.count() - 1, 1).bit_length()):
+        second = steps.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("d").alias("_d"))
+        steps = materialize(steps.join(second, "to").select("node", F.col("_to").alias("to"), (F.col("d") + F.col("_d")).alias("d")), "steps")
+    length = ring.groupBy("component").agg(F.count(F.lit(1)).alias("length"))
+    out = ring.join(steps.select("node", "d"), "node").join(length, "component").join(sizes, "component")
+    return out.select("component", "nodes", "edges", ((F.col("length") - F.col("d")) % F.col("length")).alias("step"), "node")

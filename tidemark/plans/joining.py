@@ -235,14 +235,19 @@ def dependency_levels(t: Tables):
 @query("graph_cycles", "J19", """
 WITH RECURSIVE e AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1),
 r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b),
-c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
-SELECT s.component, count(DISTINCT s.node) AS nodes, (SELECT count(*) FROM e JOIN c p ON p.node = e.src JOIN c q ON q.node = e.dst WHERE p.component = s.component AND q.component = s.component) AS edges
-FROM c s GROUP BY s.component""")
+c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1),
+z AS (SELECT s.component, count(DISTINCT s.node) AS nodes, (SELECT count(*) FROM e JOIN c p ON p.node = e.src JOIN c q ON q.node = e.dst WHERE p.component = s.component AND q.component = s.component) AS edges
+ FROM c s GROUP BY s.component),
+f AS (SELECT p.component, e.src AS node, min(e.dst) AS nxt FROM e JOIN c p ON p.node = e.src JOIN c q ON q.node = e.dst AND q.component = p.component GROUP BY 1, 2),
+w(component, node, i) AS (SELECT component, component, 0 FROM z UNION ALL SELECT w.component, f.nxt, i + 1 FROM w JOIN f ON f.node = w.node WHERE i < 2 * (SELECT max(nodes) FROM z)),
+y AS (SELECT w.component, min(node) AS lo FROM w JOIN z ON z.component = w.component WHERE i >= nodes GROUP BY 1),
+s(component, node, step) AS (SELECT component, lo, 0 FROM y UNION ALL SELECT s.component, f.nxt, step + 1 FROM s JOIN f ON f.node = s.node JOIN y ON y.component = s.component WHERE f.nxt <> y.lo)
+SELECT z.component, nodes, edges, step, node FROM s JOIN z ON z.component = s.component""")
 def graph_cycles(t: Tables):
     # the customer of each order points at the customer of the order after it
     a = t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1).alias("o_orderkey"))
     edges = a.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("dst")), "o_orderkey").select("src", "dst")
-    return gr.find_cycles(edges).select("component", "nodes", "edges")
+    return gr.find_cycles(edges)
 
 
 _FK = [("customer", "c_custkey"), ("customer", "c_nationkey"), ("nation", "n_nationkey"), ("nation", "n_regionkey"), ("region", "r_regionkey"),
