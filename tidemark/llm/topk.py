@@ -84,16 +84,18 @@ def pivot_table(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", d binary")
 
 
-def best_of(query: np.ndarray, near: np.ndarray, own: int, vectors: np.ndarray, norms: np.ndarray, table: np.ndarray, slack: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of(query: np.ndarray, near: np.ndarray, own: int, vectors: np.ndarray, norms: np.ndarray, table: np.ndarray, slack: np.ndarray | float, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, scores) of the k best candidates of one query, and how they were found.
 
     ``own`` is the position of the query's own row, or -1; ``slack`` is 2 * _ERROR
-    of each distance in ``table``."""
+    of each distance in ``table``, or of the largest."""
     n2 = float((query.astype(np.float64) ** 2).sum())
     bound = np.full(norms.size, np.inf)
     if table.shape[1]:
         # a pivot may be much longer than both vectors, so its distances carry larger errors
-        gap = (np.abs(table - near) - slack).max(1).astype(np.float64) * (1 - _ERROR)
+        gap = np.abs(table - near)
+        gap = (gap - slack).max(1) if np.ndim(slack) else gap.max(1) - slack
+        gap = gap.astype(np.float64) * (1 - _ERROR)
         gap = np.maximum(gap - _ERROR * (np.sqrt(n2) + np.sqrt(norms) + 1), 0)
         bound = (n2 + norms - gap**2) / 2 + 0.5 + 1e-12 * (n2 + norms)
     if own >= 0:
@@ -160,7 +162,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 256.0
             most = vectors_.greatest(vec) * vectors_.greatest(ask) * size
             exact = np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
             vec, ask = vec.astype(exact), ask.astype(exact)
-            norms, slack = (vec.astype(np.float64) ** 2).sum(1), np.float32(2 * _ERROR) * table_v
+            norms = (vec.astype(np.float64) ** 2).sum(1)
+            # one bound for all unless a pivot or a vector is far from the others
+            far = float(table_v.max(initial=0.0))
+            slack = 2 * _ERROR * far if far**2 < 64 * float(np.median(norms)) else np.float32(2 * _ERROR) * table_v
             ids, rids = v[key].to_numpy(), v["rid"].to_numpy()
             place = {r: i for i, r in enumerate(rids.tolist())}
             for i, (rid, name) in enumerate(zip(q["rid"].to_pylist(), q[key].to_pylist(), strict=True)):
