@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import privacy
 from tidemark.plans.registry import query
 from tidemark.session import Tables, scratch_path
-from tidemark.sources.snapshots import SnapshotTable
+from tidemark.sources.keyed_table import KeyedTable
 from tidemark.streaming import streams as st
 
 MAX = "(SELECT max(ts) FROM events)"
@@ -16,12 +16,20 @@ def _events(t: Tables):
     return st.read_stream(t.spark, t.path("events"), t.events.schema).withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def _in_order(t: Tables, parts, label):
-    """Write frames one after the other, so that file order is arrival order."""
-    path = scratch_path(t.spark, label)
+def _in_turn(t: Tables, parts, label, consume):
+    """Frames arrive one after the other, in files of all their tasks; ``consume`` runs
+    the stream over each arrival, as a restart of the same checkpoint does."""
+    path, out = scratch_path(t.spark, label), None
     for p in parts:
-        p.coalesce(1).write.mode("append").parquet(path)
-    return st.read_stream(t.spark, path, parts[0].schema, max_files=1)
+        p.write.mode("append").parquet(path)
+        out = consume(st.read_stream(t.spark, path, parts[0].schema))
+    return out
+
+
+def _landed_in_turn(t: Tables, parts, label, step):
+    """``step`` of the arriving rows, landed through one checkpoint."""
+    path, checkpoint = scratch_path(t.spark, label), scratch_path(t.spark, f"{label}-checkpoint")
+    return _in_turn(t, parts, f"{label}-input", lambda s: st.land(step(s), label, path=path, checkpoint=checkpoint))
 
 
 @query("stream_from_earliest", "ST1", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -53,17 +61,37 @@ def stream_replay(t: Tables):
 _LAST = "SELECT user_id AS k, arg_max(value, event_id) AS v, arg_max(event_type = 'error', event_id) AS gone FROM events GROUP BY 1"
 
 
-@query("stream_merge", "ST4", f"""
-WITH l AS ({_LAST}) SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT k FROM l) UNION ALL SELECT k, v FROM l WHERE NOT gone""")
-def stream_merge(t: Tables):
+def _changes(t: Tables):
+    """Events as changes of customers' balances, in three arrivals by time."""
     op = F.when(F.col("event_type") == "error", "D").otherwise("I")
     ch = t.events.select(F.col("event_id").alias("change_id"), F.col("user_id").alias("k"), F.col("value").alias("v"), op.alias("op"), "ts")
     cuts = [F.lit(c).cast("timestamp_ntz") for c in ("2024-01-11", "2024-01-21")]
-    parts = [ch.where(F.col("ts") < cuts[0]), ch.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])), ch.where(F.col("ts") >= cuts[1])]
-    table = SnapshotTable(t.spark, scratch_path(t.spark, "merged"))
-    table.write(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")))
-    st.each_batch(_in_order(t, parts, "changes"), st.merge_sink(table, ["k"]), scratch_path(t.spark, "merge-checkpoint"))
-    return table.read()
+    return [ch.where(F.col("ts") < cuts[0]), ch.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])), ch.where(F.col("ts") >= cuts[1])]
+
+
+def _merged(t: Tables) -> KeyedTable:
+    table = KeyedTable(t.spark, scratch_path(t.spark, "merged"), ["k"])
+    table.create(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")))
+    checkpoint = scratch_path(t.spark, "merge-checkpoint")
+    _in_turn(t, _changes(t), "changes", lambda s: st.each_batch(s, st.merge_sink(table), checkpoint))
+    return table
+
+
+@query("stream_merge", "ST4", f"""
+WITH l AS ({_LAST}) SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT k FROM l) UNION ALL SELECT k, v FROM l WHERE NOT gone""")
+def stream_merge(t: Tables):
+    return _merged(t).read()
+
+
+@query("stream_change_feed", "C11 ST4", """
+WITH e AS (SELECT CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS batch, user_id AS k, value AS v, event_type, event_id FROM events),
+l AS (SELECT batch, k, arg_max(event_type = 'error', event_id) AS gone, arg_max(v, event_id) AS v FROM e GROUP BY 1, 2
+ UNION ALL SELECT -1, c_custkey, false, c_acctbal FROM customer),
+h AS (SELECT *, coalesce(NOT lag(gone) OVER w, false) AS had, lag(v) OVER w AS was FROM l WINDOW w AS (PARTITION BY k ORDER BY batch))
+SELECT batch::BIGINT AS batch, CASE WHEN gone THEN 'D' WHEN had THEN 'U' ELSE 'I' END AS op, k, CASE WHEN gone THEN was ELSE v END AS v
+FROM h WHERE batch >= 0 AND CASE WHEN gone THEN had ELSE NOT had OR v <> was END""")
+def stream_change_feed(t: Tables):
+    return _merged(t).feed()
 
 
 @query("stream_statistics", "ST5", "SELECT event_type, count(*) AS length, arg_min(event_id, (ts, event_id)) AS first, arg_max(event_id, (ts, event_id)) AS last FROM events GROUP BY 1")
@@ -115,16 +143,16 @@ def stream_session_windows(t: Tables):
 @query("stream_dedup", "ST9", "SELECT event_id, value FROM events")
 def stream_dedup(t: Tables):
     e = t.events.withColumn("at", F.col("ts").cast("timestamp"))
-    twice = _in_order(t, [e, e.where("event_type <> 'click'")], "duplicates")
-    return st.land(st.dedup_stream(twice, ["event_id"], "at", "40 days"), "dedup").select("event_id", "value")
+    twice = [e, e.where("event_type <> 'click'")]
+    return _landed_in_turn(t, twice, "dedup", lambda s: st.dedup_stream(s, ["event_id"], "at", "40 days")).select("event_id", "value")
 
 
 @query("stream_late_data", "ST10", """
 SELECT event_id, CASE WHEN event_type = 'signup' AND ts < (SELECT max(ts) FROM events WHERE event_type <> 'signup') - INTERVAL 1 DAY THEN 'late' ELSE 'on_time' END AS route FROM events""")
 def stream_late_data(t: Tables):
-    out = scratch_path(t.spark, "late")
-    s = _in_order(t, [t.events.where("event_type <> 'signup'"), t.events.where("event_type = 'signup'")], "arrivals")
-    st.each_batch(s, st.route_late(out, "ts", 86400), scratch_path(t.spark, "late-checkpoint"))
+    out, checkpoint = scratch_path(t.spark, "late"), scratch_path(t.spark, "late-checkpoint")
+    parts = [t.events.where("event_type <> 'signup'"), t.events.where("event_type = 'signup'")]
+    _in_turn(t, parts, "arrivals", lambda s: st.each_batch(s, st.route_late(out, "ts", 86400), checkpoint))
     return t.spark.read.parquet(f"{out}/rows").select("event_id", "route")
 
 
@@ -134,8 +162,7 @@ SELECT event_id, coalesce(s > 0 AND abs(value - m) / s > 1.959963985, false) AS
 def stream_spikes(t: Tables):
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
     e = t.events.select("event_id", "user_id", "ts", "value")
-    s = _in_order(t, [e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut)], "spike-input")
-    return st.land(st.spike_stream(s, "user_id", "ts", "event_id", "value"), "spikes")
+    return _landed_in_turn(t, [e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut)], "spikes", lambda s: st.spike_stream(s, "user_id", "ts", "event_id", "value"))
 
 
 @query("stream_enrichment", "ST12", "SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")

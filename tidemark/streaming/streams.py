@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.cdc import apply_changes
 from tidemark.operators.ordered import framed, running, top_per_group
 from tidemark.session import path_exists, scratch_path
-from tidemark.sources.snapshots import SnapshotTable
+from tidemark.sources.keyed_table import KeyedTable
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -68,14 +67,9 @@ def replayable_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def merge_sink(table: SnapshotTable, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Apply each batch of change rows to a snapshot table as one new version."""
-
-    def write(changes: DataFrame, batch_id: int) -> None:
-        if table.history().where(F.col("comment") == f"batch {batch_id}").isEmpty():
-            table.write(apply_changes(table.read(), changes, keys)[0], "merge", f"batch {batch_id}")
-
-    return write
+def merge_sink(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """Apply each batch of change rows; a replayed batch is applied once."""
+    return table.merge
 
 
 def stream_statistics(topic: DataFrame, key: str, at: str, value: str) -> DataFrame:
