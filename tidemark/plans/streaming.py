@@ -162,7 +162,12 @@ SELECT event_id, coalesce(s > 0 AND abs(value - m) / s > 1.959963985, false) AS
 def stream_spikes(t: Tables):
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
     e = t.events.select("event_id", "user_id", "ts", "value")
-    return _landed_in_turn(t, [e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut)], "spikes", lambda s: st.spike_stream(s, "user_id", "ts", "event_id", "value"))
+    out, checkpoint = scratch_path(t.spark, "spikes"), scratch_path(t.spark, "spikes-checkpoint")
+    order = ["ts", "event_id"]
+    tails = st.spike_tails(t.spark, scratch_path(t.spark, "spike-tails"), e.schema, ["user_id"], order)
+    sink = st.spike_sink(out, tails, order, "value", ["event_id"])
+    _in_turn(t, [e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut)], "spike-input", lambda s: st.each_batch(s, sink, checkpoint))
+    return t.spark.read.parquet(out).select("event_id", "is_spike")
 
 
 @query("stream_enrichment", "ST12", "SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")

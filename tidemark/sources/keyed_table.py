@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.cdc import latest_changes
-from tidemark.operators.ordered import full_null_safe_join
+from tidemark.operators.ordered import full_null_safe_join, null_safe_join
 from tidemark.session import path_exists
 
 BUCKET_ROWS = 1_000_000  # rows of a bucket, which one task writes
+_LAYOUT = "buckets int, columns string, feed boolean"
 
 
 class KeyedTable:
@@ -30,8 +31,8 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str]):
         self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
 
-    def create(self, df: DataFrame, buckets: int | None = None) -> None:
-        """First rows.  ``buckets`` stays as it is for the life of the table: by default
+    def create(self, df: DataFrame, buckets: int | None = None, *, feed: bool = True) -> None:
+        """First rows.  Without ``feed`` no changes are kept.  ``buckets`` stays as it is for the life of the table: by default
         one for each million of these rows, so give it for a table that will grow.
         Several rows of a key are an error."""
         taken = [c for c in df.columns if c.startswith("_")]
@@ -46,7 +47,7 @@ class KeyedTable:
         rows = one.select(*self.keys, *[f"_v.{c}" for c in values], F.col("_v._in").alias("_live"), self._bucket(buckets))
         self._store(rows.select(*df.columns, "_live", "_bucket"))
         # written last: a table without it was not finished
-        layout = self.spark.createDataFrame([(buckets, df.schema.json())], "buckets int, columns string")
+        layout = self.spark.createDataFrame([(buckets, df.schema.json(), feed)], _LAYOUT)
         layout.coalesce(1).write.mode("overwrite").json(f"{self.root}/layout")
 
     def read(self) -> DataFrame:
@@ -68,8 +69,9 @@ class KeyedTable:
             last.select(*[F.col(f.name).cast(f.dataType) for f in fields], F.col(op).alias("_asked"), self._bucket(self._buckets())).write.mode("overwrite").parquet(given)
             self._joined(self.spark.read.parquet(given)).write.mode("overwrite").parquet(pending)
         step = self.spark.read.parquet(pending)
-        seen = step.where("_op is not null").select("_op", "_outcome", *self.keys, F.coalesce("_new", "_old").alias("_v"))
-        seen.write.mode("overwrite").parquet(f"{self.root}/changes/_batch={batch}")
+        if self._layout().feed:
+            seen = step.where("_op is not null").select("_op", "_outcome", *self.keys, F.coalesce("_new", "_old").alias("_v"))
+            seen.write.mode("overwrite").parquet(f"{self.root}/changes/_batch={batch}")
         names = self._schema().names
         live = [F.col(c) if c in self.keys else F.col(f"_new.{c}").alias(c) for c in names]
         # a row that is not live keeps a bucket whose rows all went, so that it is overwritten too
@@ -79,6 +81,17 @@ class KeyedTable:
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/done/batch={batch}")
         self._drop("pending")
 
+    def began(self, batch: int) -> bool:
+        """Is the result of a batch stored, so that ``merge`` no longer asks for its changes?"""
+        return self._exists(f"done/batch={batch}") or self._exists(f"pending/batch={batch}/_SUCCESS")
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """Rows of the keys in ``wanted``, read from their buckets alone."""
+        marked = wanted.select(*self.keys, self._bucket(self._buckets()))
+        touched = [r[0] for r in marked.select("_bucket").distinct().collect()]  # at most one row per bucket
+        rows = self._rows().where("_live").where(F.col("_bucket").isin(touched)).drop("_live", "_bucket")
+        return null_safe_join(rows, marked.select(*self.keys).distinct(), self.keys, "left_semi")
+
     def feed(self, start: int = 0, end: int | None = None) -> DataFrame:
         """batch, op, keys and values (old ones of deleted rows) of the rows that batches
         from ``start`` to ``end`` inserted (I), changed (U) or deleted (D).  A key has one
@@ -129,7 +142,7 @@ class KeyedTable:
 
     def _layout(self):
         if not hasattr(self, "_known"):
-            self._known = self.spark.read.schema("buckets int, columns string").json(f"{self.root}/layout").first()
+            self._known = self.spark.read.schema(_LAYOUT).json(f"{self.root}/layout").first()
         return self._known
 
     def _buckets(self) -> int:

@@ -7,17 +7,15 @@ offsets live in the checkpoint, so a restart resumes where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.ordered import framed, running, top_per_group
-from tidemark.session import path_exists, scratch_path
+from tidemark.operators.timeseries import spikes
+from tidemark.session import materialize, path_exists, scratch_path
 from tidemark.sources.keyed_table import KeyedTable
 
 
@@ -125,31 +123,41 @@ def route_late(path: str, ts: str, delay_seconds: int) -> Callable[[DataFrame, i
     return write
 
 
-def spike_stream(stream: DataFrame, key: str, ts: str, ident: str, value: str, confidence: float = 95, history: int = 50) -> DataFrame:
-    """Stateful spike flags: the state of a key is its last ``history`` values.
-
-    A task sees the rows of a key in one micro-batch; ``max_files`` of
-    ``read_stream`` keeps that small.  For landed data use the batch ``spikes``,
-    which splits a hot key."""
-    from math import erfc, sqrt
-
-    def detect(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values([ts, ident])
-        flags = []
-        for v in rows[value]:
-            z = 0.0
-            if len(past) > 1:
-                sd = float(np.std(past, ddof=1))
-                z = (v - float(np.mean(past))) / sd if sd > 0 else 0.0
-            flags.append(erfc(abs(z) / sqrt(2)) < 1 - confidence / 100)
-            past = (past + [float(v)])[-history:]
-        state.update((past,))
-        yield pd.DataFrame({ident: rows[ident], "is_spike": flags})
-
-    kind = stream.schema[ident].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(
-        detect, f"{ident} {kind}, is_spike boolean", "past array<double>", "append", GroupStateTimeout.NoTimeout)
+def spike_sink(path: str, tails: KeyedTable, order: Sequence[str], value: str, carry: Sequence[str], confidence: float = 95, history: int = 50) -> Callable[[DataFrame, int], None]:
+    """Flag spikes against the last ``history`` rows of a key, those of earlier batches included.
+
+    ``tails`` (``spike_tails``) keeps these rows, one array a key; a batch reads and
+    rewrites the buckets of its own keys.  Rows stand by batch, then by ``order``, and go
+    through the batch operator ``spikes``, which splits a hot key: a micro-batch may bring
+    any number of rows of one.  Writes the key, ``carry``, score, p_value and is_spike
+    below ``path``, a folder per batch; a replayed batch
+    overwrites its own from the same tails.  ``order`` must be unique within a key."""
+    keys = tails.keys
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        changes = None
+        if not tails.began(batch_id):
+            fresh = batch.select(*keys, F.lit(history).alias("_at"), *order, F.col(value).cast("double").alias("_value"), F.struct(*carry).alias("_carry"))
+            past = tails.lookup(batch.select(*keys)).select(*keys, F.posexplode("past").alias("_at", "_p"))
+            past = past.select(*keys, "_at", *[F.col(f"_p.{c}").alias(c) for c in order], F.col("_p.value").alias("_value"))
+            rows = materialize(past.unionByName(fresh, allowMissingColumns=True), "spike-rows")
+            flagged = spikes(rows, keys, ["_at", *order], "_value", confidence, history).where(F.col("_at") == history)
+            flagged.select(*keys, "_carry.*", "score", "p_value", "is_spike").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            last = top_per_group(rows, keys, [F.desc(c) for c in ("_at", *order)], history)
+            entry = F.struct("_at", *order, F.col("_value").alias("value"))
+            joined = last.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("past"))  # at most ``history`` a key
+            changes = joined.select(*keys, F.transform("past", lambda e: e.dropFields("_at")).alias("past"), F.lit("I").alias("op"), F.lit(batch_id).alias("change_id"))
+        tails.merge(changes, batch_id)
+
+    return write
+
+
+def spike_tails(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str], buckets: int = 16) -> KeyedTable:
+    """Empty table of the last rows of each key; take a bucket for each million keys or so."""
+    entry = T.StructType([*[schema[c] for c in order], T.StructField("value", T.DoubleType())])
+    table = KeyedTable(spark, path, keys)
+    table.create(spark.createDataFrame([], T.StructType([*[schema[k] for k in keys], T.StructField("past", T.ArrayType(entry))])), buckets, feed=False)
+    return table
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, delay: str, hours: int) -> DataFrame:
