@@ -1,5 +1,8 @@
 """Privacy, profiling, validation and schema queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import privacy as pv
@@ -26,11 +29,30 @@ def pii_spans(t: Tables):
     return back.select("doc_id", "type", "n", "chars", ok.alias("in_place"))
 
 
-@query("pii_columns", "R2", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count(*) AS total, " + ", ".join(f"count(*) FILTER (regexp_matches({c}, '{_re2(p)}')) AS \"{n}\"" for n, p in pv.PATTERNS.items())
-    + f", '' AS likely, NULL::DOUBLE AS percentage FROM conversations" for c in ("role", "text")))
+# every text column of the given tables; embeddings and labels have none
+_TEXT_COLUMNS = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
+    "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"],
+    "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"],
+}
+
+
+def _of_all_tables(t: Tables, report):
+    """``report(table, name)`` of every table with text, together."""
+    return reduce(DataFrame.unionByName, [report(getattr(t, name), name) for name in _TEXT_COLUMNS])
+
+
+def _likely(then: str) -> str:
+    return "[" + ", ".join(f"CASE WHEN \"{n}\" >= total * 0.5 THEN {then.format(n=n)} END" for n in pv.PATTERNS) + "]"
+
+
+@query("pii_columns", "R2", f"SELECT *, array_to_string(list_filter({_likely("'{n}'")}, lambda x: x IS NOT NULL), ',') AS likely, "
+    + f"round(list_filter({_likely('"{n}"::DOUBLE / total * 100')}, lambda x: x IS NOT NULL)[1], 6) AS percentage FROM (" + " UNION ALL ".join(
+    f"SELECT '{tb}' AS table_name, '{c}' AS \"column\", count(*) AS total, " + ", ".join(f"count(*) FILTER (regexp_matches({c}, '{_re2(p)}')) AS \"{n}\"" for n, p in pv.PATTERNS.items())
+    + f" FROM {tb}" for tb, cs in _TEXT_COLUMNS.items() for c in cs) + ")")
 def pii_columns(t: Tables):
-    return pd_.analyze_columns(t.conversations)
+    d = _of_all_tables(t, lambda df, name: pd_.analyze_columns(df).withColumn("table_name", F.lit(name)))
+    return d.withColumn("percentage", F.round("percentage", 6))
 
 
 def _redact_sql(column: str, to: str) -> str:
@@ -66,7 +88,6 @@ def mask_whole_values(t: Tables):
     return v.select("c_custkey", *[pv.mask_value(F.col(c), k).alias(c) for c, k in kinds.items()], pv.policy_hash(F.col("c_name")).alias("hashed"))
 
 
-_SCAN = {"documents": ["text", "lang", "source"], "pages": ["url", "html"], "customer": ["c_name", "c_mktsegment"]}
 _ANY = "({})".format(" OR ".join(f"regexp_matches({{c}}, '{_re2(p)}')" for p in pv.SCAN_PATTERNS.values()))
 
 
@@ -74,13 +95,9 @@ _ANY = "({})".format(" OR ".join(f"regexp_matches({{c}}, '{_re2(p)}')" for p in
     f"SELECT '{tb}' AS table_name, '{c}' AS \"column\", array_to_string(list_filter([" + ", ".join(
         f"CASE WHEN count(*) FILTER (regexp_matches({c}, '{_re2(p)}')) > 0 THEN '{n}' END" for n, p in pv.SCAN_PATTERNS.items())
     + f"], lambda x: x IS NOT NULL), ',') AS types, count(*) FILTER ({_ANY.replace('{c}', c)}) AS matches, round(count(*) FILTER ({_ANY.replace('{c}', c)})::DOUBLE / count({c}) * 100, 6) AS confidence FROM {tb}"
-    for tb, cs in _SCAN.items() for c in cs) + ") WHERE matches > 0")
+    for tb, cs in _TEXT_COLUMNS.items() for c in cs) + ") WHERE matches > 0")
 def pii_table_scan(t: Tables):
-    out = None
-    for name in _SCAN:
-        d = pd_.scan_table(getattr(t, name), name)
-        out = d if out is None else out.unionByName(d)
-    return out.withColumn("confidence", F.round("confidence", 6))
+    return _of_all_tables(t, pd_.scan_table).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("redact_columns", "R7", """
@@ -183,11 +200,14 @@ def profile_text(t: Tables):
     return ql.text_profile(t.documents, ["text", "lang", "source"]).withColumn("avg_len", F.round("avg_len", 4))
 
 
+_PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+
 @query("profile_top_values", "Q4 O3", "SELECT \"column\", value, n FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS n FROM part GROUP BY 2" for c in ("p_name", "p_brand", "p_size"))
+    f"SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS n FROM part GROUP BY 2" for c in _PART)
     + ") QUALIFY row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) <= 10")
 def profile_top_values(t: Tables):
-    return ql.top_values(t.part, ["p_name", "p_brand", "p_size"], 10)
+    return ql.top_values(t.part, t.part.columns, 10)
 
 
 @query("profile_dates", "Q5", """
@@ -261,15 +281,16 @@ def infer_schema(t: Tables):
     return ql.infer_schema(_mixed(t))
 
 
-_INF_COLS = ["event_id", "event_type", "value"]
-
-
 @query("inferred_statistics", "I3", """
 SELECT 'event_id' AS "column", 'Integer' AS inferred, count(DISTINCT event_id) AS "unique", min(event_id)::DOUBLE AS lo, max(event_id)::DOUBLE AS hi, round(avg(event_id), 4) AS mean, median(event_id)::DOUBLE AS median, NULL::INTEGER AS min_len, NULL::INTEGER AS max_len FROM events
 UNION ALL SELECT 'value', 'Decimal', count(DISTINCT value), min(value), max(value), round(avg(value), 4), median(value), NULL, NULL FROM events
-UNION ALL SELECT 'event_type', 'String', count(DISTINCT event_type), NULL, NULL, NULL, NULL, min(length(event_type)), max(length(event_type)) FROM events""", wide=True)
+UNION ALL SELECT 'event_type', 'String', count(DISTINCT event_type), NULL, NULL, NULL, NULL, min(length(event_type)), max(length(event_type)) FROM events
+UNION ALL SELECT 'mail', 'Email', count(DISTINCT mail), NULL, NULL, NULL, NULL, min(length(mail)), max(length(mail)) FROM (SELECT CASE WHEN value > 50 THEN event_type || '@x.org' END AS mail FROM events)
+UNION ALL SELECT 'at', 'DateTime', count(DISTINCT ts), NULL, NULL, NULL, NULL, NULL, NULL FROM events
+UNION ALL SELECT 'props', 'Json', count(DISTINCT props), NULL, NULL, NULL, NULL, NULL, NULL FROM events
+UNION ALL SELECT 'flag', 'Boolean', count(DISTINCT user_id % 2), NULL, NULL, NULL, NULL, NULL, NULL FROM events""", wide=True)
 def inferred_statistics(t: Tables):
-    raw = _mixed(t).select(*_INF_COLS)
+    raw = _mixed(t)
     return ql.inferred_statistics(raw, ql.infer_schema(raw)).withColumn("mean", F.round("mean", 4))
 
 
