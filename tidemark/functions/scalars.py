@@ -108,6 +108,30 @@ DATETIME = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"
 
 
+# Date forms beside the ISO one, in tie order, and the shape of each.
+DATE_FORMATS = {
+    "M/d/yyyy": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
+    "d/M/yyyy": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
+    "d.M.yyyy": r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}",
+    "M-d-yyyy": r"[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}",
+    "d-M-yyyy": r"[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}",
+    "yyyy/M/d": r"[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}",
+    "d MMM yyyy": r"[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}",
+    "MMM d, yyyy": r"[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}",
+    "d MMMM yyyy": r"[0-9]{1,2} [A-Z][a-z]{2,8} [0-9]{4}",
+    "MMMM d, yyyy": r"[A-Z][a-z]{2,8} [0-9]{1,2}, [0-9]{4}",
+}
+DAY_OR_MONTH_FIRST = {"M/d/yyyy": "d/M/yyyy", "d/M/yyyy": "M/d/yyyy", "M-d-yyyy": "d-M-yyyy", "d-M-yyyy": "M-d-yyyy"}
+_TIME = r"( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?"
+_DATE_LIKE = r"^\s*([0-9]{1,4}[ ./-]|[A-Z][a-z]{2,8} )[0-9A-Z]"
+
+
+def parse_date(v: Column, form: str) -> Column:
+    """Moment of a text of one of ``DATE_FORMATS``, with or without hours; null for others."""
+    shaped = v.rlike(_DATE_LIKE) & v.rlike(rf"^\s*{DATE_FORMATS[form]}{_TIME}\s*$")
+    return F.when(shaped, F.try_to_timestamp(F.trim(v), F.lit(form + "[ H:mm[:ss]]")).cast("timestamp_ntz"))
+
+
 def type_tests(v: Column) -> dict[str, Column]:
     """Does a text parse as each class?  Order is the tie order of inference."""
     return {

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scalars import name_similarity, type_tests
+from tidemark.functions.scalars import DATE_FORMATS, DAY_OR_MONTH_FIRST, parse_date, name_similarity, type_tests
 from tidemark.operators.aggregates import nearest_ranks, quantiles
 from tidemark.operators.ordered import top_per_group
 from tidemark.session import spread
@@ -197,12 +197,15 @@ CLASSES = ["Boolean", "Integer", "Decimal", "DateTime", "Guid", "Email", "Url",
 def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Inferred class, confidence, nullability and null count per text column.
 
-    One aggregate of eight match counts per column.  The best share wins, ties
-    by class order; below one half the column is String with confidence 1.
+    One aggregate of match counts per column.  The best share wins, ties by class
+    order; below one half the column is String with confidence 1.  A column's dates
+    count in the one form that most of its values have (``infer_dates`` tells which).
     """
     columns = columns or df.columns
     measures = {"total": lambda c: F.count(F.lit(1)), "filled": F.count}
     measures |= {k: (lambda c, k=k: F.count_if(type_tests(c)[k])) for k in CLASSES}
+    iso = measures["DateTime"]
+    measures["DateTime"] = lambda c: F.greatest(iso(c), *[F.count_if(parse_date(c, f).isNotNull()) for f in DATE_FORMATS])
     counts = _rows(spread(df), columns, measures)
     best = F.greatest(*[F.col(k) for k in CLASSES])
     pick = F.coalesce(*[F.when(F.col(k) == best, k) for k in CLASSES])
@@ -214,6 +217,24 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         (F.col("filled") < F.col("total")).alias("nullable"), (F.col("total") - F.col("filled")).alias("nulls"))
 
 
+def infer_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """column, form, parsed, filled, ambiguous: the date form of most values per text column.
+
+    All values of a column vote, so one day above twelve settles the order of day and
+    month; where none does, both orders read the same values, the month-first form
+    is given and ``ambiguous`` is true.  ISO forms are named ISO and win ties; a
+    column without a date has no form."""
+    columns = columns or df.columns
+    forms = ["ISO", *DATE_FORMATS]
+    measures = {"ISO": lambda c: F.count_if(type_tests(c)["DateTime"])} | {f: (lambda c, f=f: F.count_if(parse_date(c, f).isNotNull())) for f in DATE_FORMATS}
+    counts = _rows(spread(df), columns, {"filled": F.count} | {f"n{i}": measures[f] for i, f in enumerate(forms)})
+    n = {f: F.col(f"n{i}") for i, f in enumerate(forms)}
+    best = F.greatest(*n.values())
+    form = F.when(best > 0, F.coalesce(*[F.when(n[f] == best, f) for f in forms]))
+    other = F.coalesce(*[F.when((F.col("form") == f), n[o] == best) for f, o in DAY_OR_MONTH_FIRST.items()], F.lit(False))
+    return counts.withColumn("form", form).select("column", "form", best.alias("parsed"), "filled", other.alias("ambiguous"))
+
+
 def inferred_statistics(df: DataFrame, inferred: DataFrame) -> DataFrame:
     """Numeric columns: min, max, mean, median.  Text, e-mail and URL: lengths.  All: unique values."""
     cols = df.columns
@@ -232,14 +253,18 @@ def inferred_statistics(df: DataFrame, inferred: DataFrame) -> DataFrame:
 TARGET_TYPES = {"Boolean": "boolean", "Integer": "bigint", "Decimal": "decimal", "DateTime": "timestamp_ntz"}
 
 
-def apply_schema(df: DataFrame, inferred: Mapping[str, str], scale: int = 12) -> DataFrame:
+def apply_schema(df: DataFrame, inferred: Mapping[str, str], scale: int = 12, dates: Mapping[str, str] | None = None) -> DataFrame:
     """Typed columns; values that do not parse go to the ``_rejected`` map.
 
+    ``dates`` names the form of the DateTime columns that are not ISO (``infer_dates``).
+
     Decimals have 38 digits, ``scale`` of them behind the point, and may have
     grouping commas, as inference accepts them.  A number that these digits cannot
     hold exactly is rejected, not rounded."""
 
     def typed(c: str, kind: str) -> Column:
+        if kind == "DateTime" and (dates or {}).get(c, "ISO") != "ISO":
+            return parse_date(F.col(c), dates[c])
         if kind != "Decimal":
             return F.col(c).try_cast(TARGET_TYPES[kind])
         plain = F.replace(F.trim(c), F.lit(","), F.lit(""))

@@ -302,6 +302,38 @@ def apply_schema(t: Tables):
     return typed.select("event_id", F.col("value").cast("double").alias("value"), F.dayofmonth("at").alias("day"), "maybe", F.col("_rejected")["maybe"].alias("rejected"))
 
 
+# the same moments written in several ways; DuckDB's name of each form
+_FORMS = {"M/d/yyyy": "%-m/%-d/%Y", "d/M/yyyy": "%-d/%-m/%Y", "d.M.yyyy": "%-d.%-m.%Y", "M-d-yyyy": "%-m-%-d-%Y", "d-M-yyyy": "%-d-%-m-%Y",
+          "yyyy/M/d": "%Y/%-m/%-d", "d MMM yyyy": "%-d %b %Y", "MMM d, yyyy": "%b %-d, %Y", "d MMMM yyyy": "%-d %B %Y", "MMMM d, yyyy": "%B %-d, %Y"}
+_WRITTEN = {"us": "M/d/yyyy", "eu": "d/M/yyyy", "dots": "d.M.yyyy", "dashes": "d-M-yyyy", "slashes": "yyyy/M/d", "names": "d MMM yyyy", "long_names": "MMMM d, yyyy", "either": "M/d/yyyy"}
+_TIMED = "CASE WHEN event_id % 2 = 0 THEN strftime(ts, ' %H:%M:%S') ELSE '' END"
+_WRITTEN_SQL = "w AS (SELECT event_id, ts, event_type, " + ", ".join(
+    f"CASE WHEN event_type <> 'error' AND {'day(ts) <= 12' if c == 'either' else 'true'} THEN strftime(ts, '{_FORMS[f]}') || {_TIMED} END AS {c}" for c, f in _WRITTEN.items()) + " FROM events)"
+
+
+def _written(t: Tables):
+    """Events' times in eight text columns, some with hours; the last has no day above twelve."""
+    hours = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", " HH:mm:ss")).otherwise("")
+    kept = F.col("event_type") != "error"
+    return t.events.select("event_id", *[F.when(kept & ((F.dayofmonth("ts") <= 12) if c == "either" else F.lit(True)), F.concat(F.date_format("ts", f), hours)).alias(c) for c, f in _WRITTEN.items()])
+
+
+@query("infer_dates", "I1 I2", f"WITH {_WRITTEN_SQL}, c AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS filled, [" + ", ".join(f"count(try_strptime({c}, ['{d} %H:%M:%S', '{d}']))" for d in _FORMS.values()) + "] AS n FROM w" for c in _WRITTEN)
+    + f") SELECT \"column\", {list(_FORMS)}[list_position(n, list_max(n))] AS form, list_max(n) AS parsed, filled, len(list_filter(n, lambda x: x = list_max(n))) > 1 AND \"column\" NOT LIKE '%names' AS ambiguous FROM c")
+def infer_dates(t: Tables):
+    return ql.infer_dates(_written(t).drop("event_id"))
+
+
+@query("apply_date_forms", "I2 I4", "SELECT event_id, " + ", ".join(
+    f"CASE WHEN event_type <> 'error' AND {'day(ts) <= 12' if c == 'either' else 'true'} THEN epoch(CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) ELSE date_trunc('day', ts) END)::BIGINT END AS {c}" for c in _WRITTEN) + ", 0 AS rejected FROM events", wide=True)
+def apply_date_forms(t: Tables):
+    raw = _written(t)
+    forms = {r["column"]: r["form"] for r in ql.infer_dates(raw.drop("event_id")).collect()}  # one row per column
+    typed = ql.apply_schema(raw, dict.fromkeys(forms, "DateTime"), dates=forms)
+    return typed.select("event_id", *[F.unix_timestamp(F.col(c).cast("timestamp")).alias(c) for c in forms], F.coalesce(F.size("_rejected"), F.lit(0)).alias("rejected"))
+
+
 @query("map_schemas", "I5 X4", """
 WITH s(col, ty) AS (VALUES ('doc_id', 'Integer'), ('text', 'String')), g(i, target, ty) AS (VALUES (0, 'item_id', 'Integer'), (1, 'text', 'String')),
 p AS (SELECT s.col, target, i, 0.7 * (1 - levenshtein(col, target)::DOUBLE / greatest(length(col), length(target))) + 0.3 * CASE WHEN s.ty = g.ty THEN 1 ELSE 0.5 END AS score FROM s, g)
