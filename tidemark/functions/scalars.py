@@ -123,12 +123,12 @@ DATE_FORMATS = {
 }
 DAY_OR_MONTH_FIRST = {"M/d/yyyy": "d/M/yyyy", "d/M/yyyy": "M/d/yyyy", "M-d-yyyy": "d-M-yyyy", "d-M-yyyy": "M-d-yyyy"}
 _TIME = r"( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?"
-_DATE_LIKE = r"^\s*([0-9]{1,4}[ ./-]|[A-Z][a-z]{2,8} )[0-9A-Z]"
+DATE_LIKE = r"^\s*([0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2} [A-Z][a-z]{2,8} [0-9]{4}|[A-Z][a-z]{2,8} [0-9]{1,2}, [0-9]{4})"
 
 
 def parse_date(v: Column, form: str) -> Column:
     """Moment of a text of one of ``DATE_FORMATS``, with or without hours; null for others."""
-    shaped = v.rlike(_DATE_LIKE) & v.rlike(rf"^\s*{DATE_FORMATS[form]}{_TIME}\s*$")
+    shaped = v.rlike(rf"^\s*{DATE_FORMATS[form]}{_TIME}\s*$")
     return F.when(shaped, F.try_to_timestamp(F.trim(v), F.lit(form + "[ H:mm[:ss]]")).cast("timestamp_ntz"))
 
 

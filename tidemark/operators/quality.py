@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scalars import DATE_FORMATS, DAY_OR_MONTH_FIRST, parse_date, name_similarity, type_tests
+from tidemark.functions.scalars import DATE_FORMATS, DATE_LIKE, DAY_OR_MONTH_FIRST, name_similarity, parse_date, type_tests
 from tidemark.operators.aggregates import nearest_ranks, quantiles
 from tidemark.operators.ordered import top_per_group
 from tidemark.session import spread
@@ -204,9 +204,9 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     columns = columns or df.columns
     measures = {"total": lambda c: F.count(F.lit(1)), "filled": F.count}
     measures |= {k: (lambda c, k=k: F.count_if(type_tests(c)[k])) for k in CLASSES}
-    iso = measures["DateTime"]
-    measures["DateTime"] = lambda c: F.greatest(iso(c), *[F.count_if(parse_date(c, f).isNotNull()) for f in DATE_FORMATS])
-    counts = _rows(spread(df), columns, measures)
+    df = spread(df)
+    dates = _date_counts(df, columns).groupBy("column").agg(F.max("n").alias("_dates"))
+    counts = _rows(df, columns, measures).join(dates, "column", "left").withColumn("DateTime", F.greatest("DateTime", "_dates"))
     best = F.greatest(*[F.col(k) for k in CLASSES])
     pick = F.coalesce(*[F.when(F.col(k) == best, k) for k in CLASSES])
     score = best / F.col("filled")
@@ -217,6 +217,14 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         (F.col("filled") < F.col("total")).alias("nullable"), (F.col("total") - F.col("filled")).alias("nulls"))
 
 
+def _date_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, form, n: values of each date form but ISO.  Values that look like none
+    leave behind one test, before the forms are tried."""
+    like = _long(df, columns).where(F.col("value").rlike(DATE_LIKE))
+    forms = F.array_compact(F.array(*[F.when(parse_date(F.col("value"), f).isNotNull(), f) for f in DATE_FORMATS]))
+    return like.select("column", F.explode(forms).alias("form")).groupBy("column", "form").agg(F.count(F.lit(1)).alias("n"))
+
+
 def infer_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, form, parsed, filled, ambiguous: the date form of most values per text column.
 
@@ -226,9 +234,10 @@ def infer_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     column without a date has no form."""
     columns = columns or df.columns
     forms = ["ISO", *DATE_FORMATS]
-    measures = {"ISO": lambda c: F.count_if(type_tests(c)["DateTime"])} | {f: (lambda c, f=f: F.count_if(parse_date(c, f).isNotNull())) for f in DATE_FORMATS}
-    counts = _rows(spread(df), columns, {"filled": F.count} | {f"n{i}": measures[f] for i, f in enumerate(forms)})
-    n = {f: F.col(f"n{i}") for i, f in enumerate(forms)}
+    df = spread(df)
+    found = _date_counts(df, columns).groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("form", "n"))).alias("_n"))  # an entry per form
+    counts = _rows(df, columns, {"filled": F.count, "iso": lambda c: F.count_if(type_tests(c)["DateTime"])}).join(found, "column", "left")
+    n = {f: F.col("iso") if f == "ISO" else F.coalesce(F.try_element_at("_n", F.lit(f)), F.lit(0)) for f in forms}
     best = F.greatest(*n.values())
     form = F.when(best > 0, F.coalesce(*[F.when(n[f] == best, f) for f in forms]))
     other = F.coalesce(*[F.when((F.col("form") == f), n[o] == best) for f, o in DAY_OR_MONTH_FIRST.items()], F.lit(False))
