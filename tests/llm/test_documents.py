@@ -316,10 +316,16 @@ def test_contexts_seen_twice_count_in_a_large_corpus(spark):
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=2e-5)
 
 
-def test_long_contexts_while_they_diverge(spark):
+@pytest.mark.parametrize("largest", [None, 1])
+def test_long_contexts_while_they_diverge(spark, monkeypatch, largest):
+    if largest:  # every base is too large for one task
+        monkeypatch.setattr(suffix_tree, "MAX_GROUP_ROWS", ("spark.tidemark.none", largest))
     train = [*["m p x y a", "n q x y b", "z y c"] * 20, *(prose(i, 70) for i in range(25)), *(prose(1, 40) for _ in range(6))]
-    texts = ["p x y a", "q x y a", "m p x y b", prose(99, 50), prose(1, 40), ""]
+    chain = "a b c d e f g".split()
+    train += [" ".join([f"z{k}", *chain[-k:], f"s{k}"]) for k in range(1, 8) for _ in range(40)]
+    texts = ["p x y a", "q x y a", "m p x y b", prose(99, 50), prose(1, 40), "", "z7 a b c d e f g s7", "b c d e f g s6 s5", "y c d e f g s1"]
     tree, table = suffix_tree.learn(docs(spark, train), longest=None)
+    assert len(tree.levels) > 5
     want, models = full_scores(train, texts, len(tree.levels))
     assert ("p", "x", "y") in models[2] and not models[-1]
     assert [len(b) for b in tree.back] == [len(m) for m in models]
