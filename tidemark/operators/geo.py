@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.joins import HOT_ROWS, salt
 from tidemark.operators.ordered import framed, null_safe_join
+from tidemark.session import materialize, shuffle_partitions
 
-# Sphere radius and units per kilometre.
+# Sphere radius, pairs a task and units per kilometre.
 EARTH_KM = 6371.0
+TASK_PAIRS = 8_000_000  # candidate pairs that one task of a radius join compares
 UNITS = {"km": 1.0, "miles": 0.621371, "m": 1000.0}
 
 
@@ -36,7 +38,9 @@ def radius_join(a: DataFrame, b: DataFrame, km: float, *, a_id: str, b_id: str)
     Equi-join on grid cells: latitude bands as high as the radius, and in each
     band longitude cells at least as wide as the radius reaches there (one cell
     around the poles, wrapping at 180 degrees).  Each ``a`` row visits the
-    neighbouring cells; hot cells of ``b`` are salted.
+    neighbouring cells.  The candidates of a cell are counted first: the join has a
+    partition per TASK_PAIRS of them, and cells with more are cut on both sides.
+    The chord between two points decides, and the distance only near the limit.
     """
     delta = km / EARTH_KM
     height = math.degrees(delta) * (1 + 1e-9)
@@ -50,20 +54,44 @@ def radius_join(a: DataFrame, b: DataFrame, km: float, *, a_id: str, b_id: str)
     def cell(lon: Column, n: Column) -> Column:
         return F.pmod(F.floor((lon + 180) / 360 * n), n)
 
+    def place(lat: Column, lon: Column, prefix: str) -> list[Column]:
+        flat = F.cos(F.radians(lat))
+        return [c.alias(f"{prefix}{n}") for n, c in (("x", flat * F.cos(F.radians(lon))), ("y", flat * F.sin(F.radians(lon))), ("z", F.sin(F.radians(lat))))]
+
     home = F.floor(F.col("lat") / height)
-    right = b.select(F.col(b_id).alias("_b_id"), "lat", "lon", home.alias("_band"))
+    right = b.select(F.col(b_id).alias("_b_id"), "lat", "lon", home.alias("_band"), *place(F.col("lat"), F.col("lon"), "_b"))
     right = right.withColumn("_cell", cell(F.col("lon"), cells(F.col("_band"))))
-    left = a.select(F.col(a_id).alias("_a_id"), F.col("lat").alias("_alat"), F.col("lon").alias("_alon"),
+    left = a.select(F.col(a_id).alias("_a_id"), F.col("lat").alias("_alat"), F.col("lon").alias("_alon"), *place(F.col("lat"), F.col("lon"), "_a"),
                     F.explode(F.sequence(F.floor(F.col("lat") / height) - 1, F.floor(F.col("lat") / height) + 1)).alias("_band"))
     left = left.withColumn("_n", cells(F.col("_band")))
     own = cell(F.col("_alon"), F.col("_n"))
     left = left.withColumn("_cell", F.explode(F.array_distinct(F.array(own, F.pmod(own + 1, F.col("_n")), F.pmod(own - 1 + F.col("_n"), F.col("_n")))))).drop("_n")
-    sizes = right.groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > HOT_ROWS).select("_band", "_cell", F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_s"))
-    right, left = salt(right, left, hot, ["_band", "_cell"], F.col("_b_id"))
-    d = left.join(right, ["_band", "_cell", "_salt"])
-    d = d.withColumn("distance_km", haversine(F.col("_alat"), F.col("_alon"), F.col("lat"), F.col("lon")))
-    return d.where(F.col("distance_km") <= km).select(F.col("_a_id").alias(a_id), F.col("_b_id").alias(b_id), "distance_km")
+
+    keys = ["_band", "_cell"]
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb")), keys)
+    sizes = materialize(sizes.withColumn("_pairs", F.col("_na") * F.col("_nb")), "cells")
+    total = sizes.agg(F.sum("_pairs"), F.sum("_na"), F.sum("_nb")).first()  # one row
+    parts = max(shuffle_partitions(a.sparkSession), math.ceil((total[0] or 0) / TASK_PAIRS), math.ceil(((total[1] or 0) + (total[2] or 0)) / HOT_ROWS))
+    by_b = F.least(F.col("_nb"), F.ceil(F.col("_pairs") / TASK_PAIRS))
+    by_a = F.ceil(F.col("_pairs") / (by_b * TASK_PAIRS))
+    hot = sizes.where(F.col("_pairs") > TASK_PAIRS).select(*keys, by_b.cast("int").alias("_sb"), F.least(by_a, F.col("_na")).cast("int").alias("_sa"))
+
+    def cut(side: DataFrame, row_id: str, mine: str, other: str) -> DataFrame:
+        """Deals the rows of hot cells over this side's pieces, once for each piece of the other."""
+        side = side.join(hot, keys, "left").withColumns({
+            f"_p{mine}": F.coalesce(F.pmod(F.xxhash64(row_id), F.col(f"_s{mine}")), F.lit(0)).cast("int"),
+            f"_p{other}": F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_s{other}"), F.lit(1)) - 1))})
+        return side.drop("_sa", "_sb").repartition(parts, *keys, "_pa", "_pb")
+
+    left, right = cut(left, "_a_id", "a", "b"), cut(right, "_b_id", "b", "a")
+    d = left.hint("merge").join(right, [*keys, "_pa", "_pb"])
+    chord = sum(((F.col(f"_a{n}") - F.col(f"_b{n}")) * (F.col(f"_a{n}") - F.col(f"_b{n}")) for n in "xyz"), F.lit(0.0))
+    limit = 4 * math.sin(min(delta, math.pi) / 2) ** 2
+    d = d.where(chord <= limit * (1 + 1e-9) + 1e-12)
+    exact = haversine(F.col("_alat"), F.col("_alon"), F.col("lat"), F.col("lon"))
+    # only pairs that stand near the limit need their distance to be judged
+    d = d.where((chord <= limit * (1 - 1e-6) - 1e-12) | (exact <= km)).withColumn("distance_km", exact)
+    return d.select(F.col("_a_id").alias(a_id), F.col("_b_id").alias(b_id), "distance_km")
 
 
 def bounding_box(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
