@@ -6,7 +6,7 @@ scoring is a map-only projection.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import modes, quantiles
 from tidemark.operators.reshape import pivot_values
-from tidemark.session import spread
+from tidemark.session import materialize, spread
 
 
 def scale(df: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
@@ -39,16 +39,45 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, not anew for each element it is compared with."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _text_counts(words: Column) -> Column:
+    """(token, tf) structs of the distinct words of one text."""
+
+    def firsts(ordered: Column) -> Column:
+        places = F.transform(ordered, lambda w, i: F.struct(w.alias("token"), i.cast("long").alias("i")))
+        return F.filter(places, lambda r, i: (i == 0) | (r["token"] != F.get(ordered, i - 1)))
+
+    def lengths(first: Column, n: Column) -> Column:
+        return F.transform(first, lambda r, i: F.struct(r["token"].alias("token"), (F.coalesce(F.get(first, i + 1)["i"], n) - r["i"]).alias("tf")))
+
+    return _bound(F.sort_array(words), lambda w: _bound(firsts(w), lambda f: lengths(f, F.size(w).cast("long"))))
+
+
 def term_counts(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """Occurrences per (document, token), combined before the shuffle."""
-    return spread(df.select(doc, text)).select(doc, F.explode(tokens(F.col(text))).alias("token")).groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """Occurrences per (document, token).  A text is counted within its row; only
+    documents that have several rows are added up by a shuffle."""
+    rows = spread(df.select(doc, text))
+    counts = rows.select(doc, F.inline(_text_counts(tokens(F.col(text)))))
+    several = materialize(df.groupBy(doc).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(doc).alias("_doc")), "several")
+    if several.isEmpty():
+        return counts
+    same = F.col(doc).eqNullSafe(F.col("_doc"))
+    added = counts.join(several, same, "left_semi").groupBy(doc, "token").agg(F.sum("tf").alias("tf"))
+    return counts.join(several, same, "left_anti").unionByName(added)
 
 
 def tf_idf(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """tf * ln((N + 1) / (df + 1)) per document and token."""
+    """tf * ln((N + 1) / (df + 1)) per document and token.
+
+    The documents per token are stored, so that their size is known when the join is
+    planned: a small vocabulary is sent to the counts, which then are not shuffled."""
     n = df.count()
     counts = term_counts(df, doc, text)
-    in_docs = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    in_docs = materialize(counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
     return counts.join(in_docs, "token").select(doc, "token", "tf", (F.col("tf") * F.ln((F.lit(n) + 1) / (F.col("df") + 1))).alias("tf_idf"))
 
 
