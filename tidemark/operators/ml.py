@@ -7,6 +7,8 @@ import time
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import cosine_similarity
 from tidemark.operators.ordered import running, top_per_group
+from tidemark.session import materialize
 
 SEED = 42
 
@@ -196,11 +199,78 @@ def factorize(df: DataFrame, user: str, item: str, rating: str, rank: int = 8, i
     return als.fit(df)
 
 
+ITEM_CHUNK, USER_BLOCK = 65_536, 131_072  # rows of a group of items, and of users at most
+_ROUNDED = 1e-5  # relative error allowed to sums of a few products of floats
+
+
+def _floats(column: pa.ChunkedArray) -> np.ndarray:
+    """A matrix of an array column whose rows have equal lengths."""
+    return column.combine_chunks().flatten().to_numpy().astype(np.float32).reshape(len(column), -1)
+
+
+def _best_items(items: pa.Table, users: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of user, item, score) of the n best items of each user that reach its floor.
+
+    Items come by falling length; a user is done once its length times theirs is less
+    than its n-th score."""
+    order = np.argsort(-items["norm"].to_numpy(), kind="stable")
+    ids, norms, v = items["id"].to_numpy()[order], items["norm"].to_numpy()[order], _floats(items["features"])[order]
+    u, own, floor = _floats(users["features"]), users["norm"].to_numpy(), users["floor"].to_numpy()
+    scores, found = np.full((own.size, n), -np.inf, np.float32), np.zeros((own.size, n), ids.dtype)
+    for a in range(0, own.size, 1024):
+        live, least = np.arange(a, min(a + 1024, own.size)), floor[a : a + 1024].copy()
+        for i in range(0, ids.size, 4096):
+            reach = own[live] * norms[i] * (1 + _ROUNDED) >= least[live - a]
+            live = live[reach]
+            if not live.size:
+                break
+            s = u[live] @ v[i : i + 4096].T
+            hit = np.flatnonzero(s.max(1) >= least[live - a])
+            rows = live[hit]
+            every = np.concatenate([scores[rows], s[hit]], 1)
+            names = np.concatenate([found[rows], np.broadcast_to(ids[i : i + 4096], (hit.size, s.shape[1]))], 1)
+            best = np.argpartition(-every, n - 1, 1)[:, :n]
+            scores[rows], found[rows] = np.take_along_axis(every, best, 1), np.take_along_axis(names, best, 1)
+            least[rows - a] = np.maximum(least[rows - a], scores[rows].min(1))
+    at, k = np.nonzero((scores > -np.inf) & (scores >= floor[:, None]))
+    return at, found[at, k], scores[at, k]
+
+
 def recommend(model: Model, users: DataFrame, n: int) -> DataFrame:
-    """Top-N items for each user of a one-column frame; seen items are not excluded."""
-    user, item = model.getUserCol(), model.getItemCol()
-    recs = model.recommendForUserSubset(users, n)
-    return recs.select(user, F.inline("recommendations")).select(user, item, "rating")
+    """Top-N items for each user of a one-column frame; seen items are not excluded.
+
+    A score is at most the product of the lengths of both factors.  So all users meet
+    the longest items first, and then only those groups of items whose length can
+    reach a user's n-th score so far: exact, and each group is bounded in size."""
+    spark, user, item = users.sparkSession, model.getUserCol(), model.getItemCol()
+    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda t, x: t + x.cast("double") * x))
+    items = materialize(running(model.itemFactors.select("id", "features", norm.alias("norm")), [], [F.desc("norm"), "id"], position="_at"), "items")
+    items = items.withColumn("chunk", F.floor((F.col("_at") - 1) / ITEM_CHUNK).cast("int")).drop("_at")
+    own = model.userFactors.join(users.select(F.col(user).alias("id")).distinct(), "id")
+    own = materialize(own.select("id", "features", norm.alias("norm"), F.lit(float("-inf")).alias("floor")), "users")
+    longest = {r["chunk"]: r["norm"] for r in items.groupBy("chunk").agg(F.max("norm").alias("norm")).collect()}  # one row per ITEM_CHUNK items
+    blocks = max(math.ceil(own.count() / USER_BLOCK), 2 * spark.sparkContext.defaultParallelism)
+    kind = items.schema["id"].dataType.simpleString()
+
+    def search(chunk: pa.Table, block: pa.Table) -> pa.Table:
+        at, ids, scores = _best_items(chunk, block, n) if chunk.num_rows and block.num_rows else (np.zeros(0, int),) * 3
+        names = block["id"].to_numpy()[at] if at.size else at
+        return pa.table({user: pa.array(names, pa.int32()), item: pa.array(ids, pa.int32()), "rating": pa.array(scores, pa.float32())})
+
+    def met(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        chunks = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return chunks.groupBy("chunk", "block").cogroup(asked.groupBy("chunk", "block")).applyInArrow(search, f"`{user}` {kind}, `{item}` {kind}, rating float")
+
+    first = materialize(met(own.withColumn("chunk", F.lit(0)), items.where("chunk = 0")), "first")
+    if len(longest) < 2:
+        return first
+    floors = first.groupBy(F.col(user).alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.min("rating").cast("double").alias("_least")).where(F.col("_n") == n)
+    asked = own.drop("floor").join(floors, "id", "left").withColumn("floor", F.coalesce(F.col("_least") - F.abs("_least") * _ROUNDED, F.lit(float("-inf"))))
+    rest = F.array(*[F.struct(F.lit(c).alias("chunk"), F.lit(m).alias("most")) for c, m in sorted(longest.items()) if c])
+    asked = asked.select("id", "features", "norm", "floor", F.inline(rest)).where(F.col("norm") * F.col("most") * (1 + _ROUNDED) >= F.col("floor")).drop("most")
+    more = met(materialize(asked, "asked"), items.where("chunk > 0"))
+    return top_per_group(first.unionByName(more), [user], [F.desc("rating"), item], n)
 
 
 def similar_items(df: DataFrame, ident: str, vector: str, targets: Sequence, n: int) -> DataFrame:
