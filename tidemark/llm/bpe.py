@@ -35,6 +35,7 @@ from tidemark.llm import arrays
 
 SHORT_BYTES = 40
 CACHE_WORDS = 200_000
+_WIDTHS = (1, 4, 6, 8, 10, 13, 18, 26, SHORT_BYTES)  # bytes of a row of short words
 PIECE_CHARS = 1 << 19
 
 # classes of code points in the byte-level pattern
@@ -151,51 +152,59 @@ class Encoder:
             open_ = open_[~hit & (found != -1)]
         return rank
 
-    def merge_short(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of short words of one length each, all rows in step."""
-        lengths = np.array([len(w) for w in words])
-        out: list[np.ndarray | None] = [None] * len(words)
-        for n in np.unique(lengths):
-            index = np.flatnonzero(lengths == n)
-            raw = np.frombuffer(b"".join(words[i] for i in index), np.uint8).reshape(-1, n)
-            for i, ids in zip(index, self._merge_rows(self.byte_id[raw]), strict=True):
-                out[i] = ids
-        return out
-
-    def _merge_rows(self, parts: np.ndarray) -> list[np.ndarray]:
-        rows, n = parts.shape
+    def merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each word's ids) of short words: words of
+        similar length share padded rows, all of which go in step."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        sizes, merged = lengths.copy(), []
+        for low, n in zip((0, *_WIDTHS), _WIDTHS):
+            index = np.flatnonzero((lengths > low) & (lengths <= n))
+            if not index.size:
+                continue
+            raw = np.frombuffer(b"".join([words[i].ljust(n, b"\0") for i in index.tolist()]), np.uint8).reshape(-1, n)
+            parts, sizes[index] = self._merge_rows(self.byte_id[raw], lengths[index])
+            merged.append((index, parts))
+        first = np.cumsum(sizes) - sizes
+        ids = np.zeros(int(sizes.sum()), np.int64)
+        for index, parts in merged:
+            row, column = np.nonzero(np.arange(parts.shape[1]) < sizes[index][:, None])
+            ids[first[index][row] + column] = parts[row, column]
+        return ids, sizes
+
+    def _merge_rows(self, parts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of each row after all merges, and how many of them count."""
+        parts, size = parts.copy(), size.copy()
+        n = parts.shape[1]
         if n == 1:
-            return list(parts)
-        ranks = self._ranks(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(rows, n - 1)
-        size = np.full(rows, n)
-        live = np.arange(rows)
+            return parts, size
+        inner, column = np.arange(n - 1) < size[:, None] - 1, np.arange(n - 1)
+        ranks = np.full((size.size, n - 1), _NONE)
+        ranks[inner] = self._ranks(parts[:, :-1][inner], parts[:, 1:][inner])
+        live = np.arange(size.size)
         while live.size:
             own = ranks[live]
             at = own.argmin(1)
             best = own[np.arange(live.size), at]
             go = best < _NONE
-            live, at, best = live[go], at[go], best[go]
+            live, at, best, own = live[go], at[go], best[go], own[go]
             if not live.size:
                 break
-            parts[live, at] = self._joined[best]
+            row = parts[live]
+            row[np.arange(live.size), at] = self._joined[best]
             # delete the boundary: close the gap behind it
-            if n > 2:
-                column = np.arange(n - 1)
-                shift = np.where(column[None, :] > at[:, None], column[None, :] + 1, column[None, :])
-                parts[live, :-1] = np.take_along_axis(parts[live], shift, 1)
-                column = column[:-1]
-                shift = np.where(column[None, :] >= at[:, None], column[None, :] + 1, column[None, :])
-                ranks[live, :-1] = np.take_along_axis(ranks[live], shift, 1)
-            ranks[live, n - 2] = _NONE
+            behind = column >= at[:, None]
+            np.copyto(row[:, 1:-1], row[:, 2:].copy(), where=behind[:, :-1])
+            np.copyto(own[:, :-1], own[:, 1:].copy(), where=behind[:, :-1])
+            own[:, -1] = _NONE
+            parts[live] = row
             size[live] -= 1
             # refresh the neighbouring ranks
-            has = at > 0
-            r, k = live[has], at[has]
-            ranks[r, k - 1] = self._ranks(parts[r, k - 1], parts[r, k])
-            has = at + 1 < size[live]
-            r, k = live[has], at[has]
-            ranks[r, k] = self._ranks(parts[r, k], parts[r, k + 1])
-        return [row[:m] for row, m in zip(parts, size.tolist(), strict=True)]
+            has = np.flatnonzero(at > 0)
+            own[has, at[has] - 1] = self._ranks(row[has, at[has] - 1], row[has, at[has]])
+            has = np.flatnonzero(at + 1 < size[live])
+            own[has, at[has]] = self._ranks(row[has, at[has]], row[has, at[has] + 1])
+            ranks[live] = own
+        return parts, size
 
     def merge_long(self, word: bytes) -> np.ndarray:
         """Ids of one long word: linked boundaries and a heap of ranks."""
@@ -231,15 +240,15 @@ class Encoder:
     def _learn(self, words: list[str | int]) -> None:
         """Append the ids of new words (an int is the id of an added token)."""
         raw = [w.encode() if isinstance(w, str) else b"" for w in words]
-        short = [i for i, w in enumerate(raw) if 0 < len(w) <= SHORT_BYTES]
-        ids: list[np.ndarray] = [np.array([w], np.int64) if isinstance(w, int) else np.zeros(0, np.int64) for w in words]
-        for i, merged in zip(short, self.merge_short([raw[i] for i in short]), strict=True):
-            ids[i] = merged
-        for i, w in enumerate(raw):
-            if len(w) > SHORT_BYTES:
-                ids[i] = self.merge_long(w)
-        sizes = np.array([x.size for x in ids], np.int64)
-        self.ids = np.concatenate([self.ids, *ids]).astype(np.int32)
+        ids, sizes = self.merge_short([w if len(w) <= SHORT_BYTES else b"" for w in raw])
+        other = {i: np.array([w], np.int64) for i, w in enumerate(words) if isinstance(w, int)}
+        other |= {i: self.merge_long(w) for i, w in enumerate(raw) if len(w) > SHORT_BYTES}
+        if other:
+            upto = np.cumsum(sizes)
+            order = sorted(other)
+            ids = np.insert(ids, np.repeat(upto[order], [other[i].size for i in order]), np.concatenate([other[i] for i in order]))
+            sizes[order] = [other[i].size for i in order]
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def word_numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
