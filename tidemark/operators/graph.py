@@ -96,6 +96,12 @@ def detach_delete(vertices: DataFrame, edges: DataFrame, doomed: DataFrame) -> t
     return vertices.join(ids, "id", "left_anti"), kept
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """A table of a round whose joins shuffle.  Rounds are many and their tables as
+    large as the graph or nearly so: broadcasts of all of them would pass the driver."""
+    return materialize(df, label).hint("merge")
+
+
 def _pointers(edges: DataFrame, *extra: Column) -> DataFrame:
     """(node, to, ...) of the nodes with one outgoing edge."""
     one = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.max("dst").alias("to"), *extra)
@@ -114,7 +120,7 @@ def _doubled(pointers: DataFrame, joined: Callable[[DataFrame, DataFrame], DataF
         if 2 ** (len(tables) - 1) >= count or open_.isEmpty():
             return tables, open_
         second = p.select(*[F.col(c).alias(f"{c}_2") for c in p.columns])
-        tables.append(materialize(joined(p, second), "doubled"))
+        tables.append(_stored(joined(p, second), "doubled"))
 
 
 def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -173,15 +179,15 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges whose end goes on and whose start is reached: no others are on cycles."""
     kept = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    return kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+    return kept.join(kept.select(F.col("dst").alias("src")).distinct().hint("merge"), "src", "left_semi").select("src", "dst")
 
 
 def _spread_label(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest label that reaches each node along ``edges`` (node, label)."""
     while True:
         moved = edges.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.col("label").alias("_m"))
-        new = labels.join(moved.groupBy("node").agg(F.min("_m").alias("_m")), "node", "left")
-        new = materialize(new.select("node", F.least("label", F.coalesce("_m", "label")).alias("label"), (F.col("_m") < F.col("label")).alias("changed")), "labels")
+        new = labels.join(moved.groupBy("node").agg(F.min("_m").alias("_m")).hint("merge"), "node", "left")
+        new = _stored(new.select("node", F.least("label", F.coalesce("_m", "label")).alias("label"), (F.col("_m") < F.col("label")).alias("changed")), "labels")
         labels = new.select("node", "label")
         if new.where("changed").isEmpty():
             return labels
@@ -200,21 +206,21 @@ class _Contraction:
     component reaches it (``members``)."""
 
     def __init__(self, edges: DataFrame):
-        first = materialize(_pointers(edges).withColumn("low", F.col("node")), "pointers")
+        first = _stored(_pointers(edges).withColumn("low", F.col("node")), "pointers")
         self.count = first.count()
         self.tables, ring = _doubled(first, self._follow, self.count)
         far = self.tables[-1]
         on_ring = ring.select(F.col("to").alias("node")).distinct()
-        self.rings = materialize(far.join(on_ring, "node", "left_semi").select("node", F.col("low").alias("component")), "rings")
+        self.rings = _stored(far.join(on_ring, "node", "left_semi").select("node", F.col("low").alias("component")), "rings")
         ends = far.join(ring.select("node"), "node", "left_anti").select("node", "to")
-        self.ends = ends = materialize(ends, "ends")
+        self.ends = ends = _stored(ends, "ends")
         # edges of the nodes that stay; those into a ring do not come back
-        stay = edges.join(first.select(F.col("node").alias("src")), "src", "left_anti").join(ring.select(F.col("node").alias("dst")), "dst", "left_anti")
+        stay = edges.join(first.select(F.col("node").alias("src")), "src", "left_anti").join(ring.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_anti")
         led = stay.join(ends.select(F.col("node").alias("dst"), "to"), "dst", "left")
-        led = materialize(led.select("src", F.col("dst").alias("by"), F.coalesce("to", "dst").alias("dst"), F.col("to").isNotNull().alias("led")), "led")
+        led = _stored(led.select("src", F.col("dst").alias("by"), F.coalesce("to", "dst").alias("dst"), F.col("to").isNotNull().alias("led")), "led")
         self.entries = led.where("led").select("src", "by", "dst")
         self.loops = led.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
-        self.edges = materialize(led.where("src <> dst").select("src", "dst").distinct(), "core")
+        self.edges = _stored(led.where("src <> dst").select("src", "dst").distinct(), "core")
 
     @staticmethod
     def _follow(p: DataFrame, q: DataFrame) -> DataFrame:
@@ -226,10 +232,10 @@ class _Contraction:
         own = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
         met = self.entries.join(own("src"), "src", "left").join(own("dst"), "dst", "left")
         same = F.coalesce("_src", "src") == F.coalesce("_dst", "dst")
-        marked = materialize(met.where(same).select(F.col("by").alias("node")).distinct(), "marked")
+        marked = _stored(met.where(same).select(F.col("by").alias("node")).distinct(), "marked")
         for steps in self.tables:
             ahead = steps.join(marked, "node", "left_semi").select(F.col("to").alias("node"))
-            marked = materialize(marked.unionByName(ahead).distinct(), "marked")
+            marked = _stored(marked.unionByName(ahead).distinct(), "marked")
         found = self.ends.join(marked, "node", "left_semi").join(own("to"), "to", "left")
         return found.select("node", F.coalesce("_to", "to").alias("component"))
 
@@ -244,13 +250,13 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     little, every node of the core gets the smallest node that reaches it; within such
     a colour, what reaches the colour's own node back is one component.  Nodes taken
     out are placed last."""
-    pairs = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    pairs = _stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     loops = [pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
     found: list[DataFrame] = [loops[0].limit(0)]
-    live, taken = materialize(pairs.where("src <> dst"), "core"), []
+    live, taken = _stored(pairs.where("src <> dst"), "core"), []
     left = live.count()
     while left:
-        live = materialize(_trimmed(live), "core")
+        live = _stored(_trimmed(live), "core")
         for turned in (False, True):
             out = _Contraction(_flipped(live) if turned else live)
             if out.count:
@@ -264,19 +270,19 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
             found.append(component)
             for end in ("src", "dst"):
                 live = live.join(component.select(F.col("node").alias(end)), end, "left_anti")
-            live = materialize(live.select("src", "dst"), "core")
+            live = _stored(live.select("src", "dst"), "core")
             left = live.count()
-    named = materialize(reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("component").alias("component")), "named")
+    named = _stored(reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("component").alias("component")), "named")
     for out in reversed(taken):
         more = named.unionByName(out.members(named)).groupBy("node").agg(F.min("component").alias("component"))
-        named = materialize(more, "named")
+        named = _stored(more, "named")
     # a node that only leads back to itself, directly or by nodes taken out
     named = named.unionByName(reduce(DataFrame.unionByName, loops).distinct().join(named.select("node"), "node", "left_anti"))
-    low = named.groupBy("component").agg(F.min("node").alias("low"))
+    low = named.groupBy("component").agg(F.min("node").alias("low")).hint("merge")
     named = named.join(low, "component").select("node", F.col("low").alias("component"))
     tail, head = (named.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst"))
-    inside = pairs.join(tail, "src").join(head, "dst").where("_src = _dst")
-    return materialize(named.join(inside.select(F.col("src").alias("node")).distinct(), "node", "left_semi"), "components")
+    inside = pairs.join(tail, "src").join(head.hint("merge"), "dst").where("_src = _dst")
+    return _stored(named.join(inside.select(F.col("src").alias("node")).distinct().hint("merge"), "node", "left_semi"), "components")
 
 
 def _colour_round(live: DataFrame) -> DataFrame:
@@ -284,13 +290,13 @@ def _colour_round(live: DataFrame) -> DataFrame:
     nodes = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
     colour = _spread_label(nodes.withColumn("label", F.col("node")), live)
     tail, head = (colour.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")) for end in ("src", "dst"))
-    same = materialize(live.join(tail, "src").join(head, "dst").where("_src = _dst").select("src", "dst", F.col("_src").alias("label")), "colours")
-    reached = materialize(colour.where("node = label").select("node", "label"), "back")
+    same = _stored(live.join(tail, "src").join(head, "dst").where("_src = _dst").select("src", "dst", F.col("_src").alias("label")), "colours")
+    reached = _stored(colour.where("node = label").select("node", "label"), "back")
     frontier = reached
     while not frontier.isEmpty():
         step = same.join(frontier.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
-        frontier = materialize(step.join(reached, ["node", "label"], "left_anti"), "back")
-        reached = materialize(reached.unionByName(frontier), "back")
+        frontier = _stored(step.join(reached, ["node", "label"], "left_anti"), "back")
+        reached = _stored(reached.unionByName(frontier), "back")
     return reached.select("node", F.col("label").alias("component"))
 
 
@@ -306,23 +312,23 @@ def find_cycles(edges: DataFrame) -> DataFrame:
     named = strongly_connected(edges)
     tail, head = (named.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst"))
     inside = edges.select("src", "dst").distinct().join(tail, "src").join(head, "dst").where("_src = _dst")
-    inside = materialize(inside.select("src", "dst", F.col("_src").alias("component")), "inside")
+    inside = _stored(inside.select("src", "dst", F.col("_src").alias("component")), "inside")
     sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).join(inside.groupBy("component").agg(F.count(F.lit(1)).alias("edges")), "component")
-    first = materialize(inside.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to"), F.min("component").alias("component")), "pointers")
+    first = _stored(inside.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to"), F.min("component").alias("component")), "pointers")
     walk = first.select("node", "to", F.least("node", "to").alias("low"))
     tables, _ = _doubled(walk, _Contraction._follow, named.count())
     far = tables[-1]
     # the walk from a group's lowest node has arrived on its cycle, which its lowest node names
     arrived = far.join(sizes.select(F.col("component").alias("node")), "node", "left_semi").select(F.col("to").alias("node"))
-    starts = materialize(far.join(arrived, "node", "left_semi").select("low").distinct(), "starts")
+    starts = _stored(far.join(arrived, "node", "left_semi").select("low").distinct(), "starts")
     ring = far.select(F.col("to").alias("node")).distinct().join(far.select("node", "low"), "node").join(starts, "low", "left_semi")
-    ring = materialize(ring.join(first, "node").select("node", "to", "low", "component"), "ring")
+    ring = _stored(ring.join(first, "node").select("node", "to", "low", "component"), "ring")
     # steps to the lowest node, where pointers stay
     stop = F.col("node") == F.col("low")
     steps = ring.select("node", F.when(stop, F.col("node")).otherwise(F.col("to")).alias("to"), F.when(stop, 0).otherwise(1).cast("long").alias("d"))
     for _ in range(max(ring.count() - 1, 1).bit_length()):
         second = steps.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("d").alias("_d"))
-        steps = materialize(steps.join(second, "to").select("node", F.col("_to").alias("to"), (F.col("d") + F.col("_d")).alias("d")), "steps")
+        steps = _stored(steps.join(second, "to").select("node", F.col("_to").alias("to"), (F.col("d") + F.col("_d")).alias("d")), "steps")
     length = ring.groupBy("component").agg(F.count(F.lit(1)).alias("length"))
-    out = ring.join(steps.select("node", "d"), "node").join(length, "component").join(sizes, "component")
+    out = ring.join(steps.select("node", "d"), "node").join(length, "component").join(sizes.hint("merge"), "component")
     return out.select("component", "nodes", "edges", ((F.col("length") - F.col("d")) % F.col("length")).alias("step"), "node")
