@@ -6,9 +6,11 @@ import math
 import time
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import cosine_similarity
 from tidemark.operators.ordered import running, top_per_group
+from tidemark.operators.trees import BoostedTrees, Forest
 from tidemark.session import materialize
 
 SEED = 42
@@ -45,11 +48,11 @@ def classifiers(iterations: int = 100) -> dict[str, Estimator]:
 
 
 def regressors(iterations: int = 100) -> dict[str, Estimator]:
-    base = R.GBTRegressor(maxIter=iterations, maxDepth=5, minInstancesPerNode=10, stepSize=0.1, seed=SEED)
+    base = BoostedTrees(maxIter=iterations, maxDepth=5, minInstancesPerNode=10, stepSize=0.1, seed=SEED)
     return {
         "gbt": base,
         "fast_gbt": base.copy({base.stepSize: 0.2}),
-        "forest": R.RandomForestRegressor(numTrees=iterations, seed=SEED),
+        "forest": Forest(numTrees=iterations, seed=SEED),
         "linear": R.LinearRegression(maxIter=iterations, regParam=0.01),
     }
 
@@ -61,6 +64,13 @@ def train(df: DataFrame, estimator: Estimator, label: str = "label") -> Pipeline
     return Pipeline(stages=[estimator]).fit(df)
 
 
+def train_all(df: DataFrame, trainers: Mapping[str, Estimator], label: str = "label") -> dict[str, PipelineModel]:
+    """All trainers fitted at the same time: each runs many short jobs, one after another."""
+    with ThreadPool(max(len(trainers), 1)) as pool:
+        fit = inheritable_thread_target(df.sparkSession)(lambda est: train(df, est, label))
+        return dict(zip(trainers, pool.map(fit, trainers.values(), chunksize=1), strict=True))
+
+
 # --- metrics from a prediction table -------------------------------------------------
 
 
@@ -116,12 +126,14 @@ def compare(train_df: DataFrame, test_df: DataFrame | None, trainers: Mapping[st
     """Fit each trainer and report its metrics, best first.  Without a test set the
     training set is scored.  ``budget_seconds`` stops starting new fits; trainers not
     tried are listed without metrics."""
-    started, frames, models, skipped = time.time(), [], {}, []
+    started, frames, skipped = time.time(), [], []
+    models = train_all(train_df, trainers, label) if budget_seconds is None else {}
     for name, est in trainers.items():
-        if budget_seconds is not None and models and time.time() - started > budget_seconds:
-            skipped.append(name)
-            continue
-        models[name] = train(train_df, est, label)
+        if budget_seconds is not None:
+            if models and time.time() - started > budget_seconds:
+                skipped.append(name)
+                continue
+            models[name] = train(train_df, est, label)
         data = test_df if test_df is not None else train_df
         if kind == "binary":
             m = binary_metrics(score_binary(models[name], data), label)
