@@ -62,7 +62,7 @@ def compare_regressors(t: Tables):
 @query("regression_ensemble", "M6")
 def regression_ensemble(t: Tables):
     r, (data, held) = ml.regressors(ROUNDS), _held_out(_lines(t))
-    models = {k: ml.train(data, r[k]) for k in ("gbt", "forest", "linear")}
+    models = ml.train_all(data, {k: r[k] for k in ("gbt", "forest", "linear")})
     return ml.regression_metrics(ml.ensemble(held, models))
 
 
