@@ -124,3 +124,13 @@ def test_no_edges(spark):
 def test_cycles_have_no_levels(spark, pairs):
     with pytest.raises(ValueError, match="cycle in the dependency graph"):
         graph.dependency_levels(spark.createDataFrame([(0,)], "id int"), frame(spark, pairs))
+
+
+def test_levels_do_not_seek_repeated_edges_first(spark, monkeypatch):
+    """The edges are stored as they come, and the first round stores no table of all nodes."""
+    plans, plain = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or plain(df, label))
+    pairs = [(1, 2), (1, 2), (2, 3), (2, 3), (4, 1), (4, 3), (4, 1), (5, 4), (5, 4), (6, 6), (None, 2), (7, None)]
+    got = graph.dependency_levels(spark.createDataFrame([(9,), (9,)], "id int"), frame(spark, pairs))
+    assert {r["node"]: r["level"] for r in got.collect()} == {3: 0, 2: 1, 1: 2, 4: 3, 5: 4, 9: 0} and got.count() == 6
+    assert [label for label, _ in plans[:2]] == ["live", "degrees"] and "Exchange" not in plans[0][1]

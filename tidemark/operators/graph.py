@@ -132,10 +132,12 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     single dependency aside: their pointers are doubled until they end at another
     kind of node, and edges to them are led there.  So chains and trees of any depth
     take rounds in the logarithm of their depth.  Nodes set aside get their levels
-    from the ends of their pointers afterwards, last round first."""
-    live = materialize(edges.select("src", "dst", F.lit(1).cast("long").alias("w")).where("src <> dst").distinct(), "live")
-    every = nodes.select(F.col("id").alias("node")).unionByName(live.select(F.col("src").alias("node"))).unionByName(live.select(F.col("dst").alias("node")))
-    acc = materialize(every.distinct().withColumn("acc", F.lit(0).cast("long")), "levels")
+    from the ends of their pointers afterwards, last round first.
+
+    Repeated edges do no harm: a node has one dependency if the least and the greatest
+    are equal.  They go when edges are first led on, so they are not sought before."""
+    live = materialize(edges.select("src", "dst", F.lit(1).cast("long").alias("w")).where("src <> dst"), "live")
+    acc = nodes.select(F.col("id").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct().withColumn("acc", F.lit(0).cast("long"))
     final, aside = [], []
 
     def follow(p: DataFrame, q: DataFrame) -> DataFrame:
@@ -143,12 +145,16 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         least = F.greatest("acc", F.col("w") + F.coalesce("acc_2", F.lit(0)))
         return met.select("node", F.coalesce("to_2", "to").alias("to"), (F.col("w") + F.coalesce("w_2", F.lit(0))).alias("w"), least.alias("acc"))
 
-    while not acc.isEmpty():
-        out = live.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max("dst").alias("to"), F.max("w").alias("w"))
-        now = materialize(acc.join(out, "node", "left").withColumn("n", F.coalesce("n", F.lit(0))), "degrees")
-        done = now.where("n = 0").select("node", F.col("acc").alias("level"))
-        ones = now.where("n = 1").select("node", "to", "w", "acc")
-        core, single = now.where("n > 1").select("node", "acc"), ones.count()
+    while True:
+        out = live.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("lo"), F.max("dst").alias("to"), F.max("w").alias("w"))
+        # in the first round nodes that only depend on others come from the edges
+        now = acc.join(out, "node", "left" if final else "full_outer").withColumn("acc", F.coalesce("acc", F.lit(0).cast("long")))
+        now = materialize(now, "degrees")
+        if now.isEmpty():
+            break
+        done = now.where("to is null").select("node", F.col("acc").alias("level"))
+        ones = now.where("lo = to").select("node", "to", "w", "acc")
+        core, single = now.where("lo <> to").select("node", "acc"), ones.count()
         if not single and done.isEmpty():
             raise ValueError("cycle in the dependency graph")
         tables, ring = _doubled(ones, follow, single)
@@ -160,15 +166,17 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         led = live.join(core.select(F.col("node").alias("src")), "src", "left_semi")
         led = led.join(far.select(F.col("node").alias("dst"), "to", F.col("w").alias("_w"), F.col("acc").alias("_acc")), "dst", "left")
         led = led.select("src", F.coalesce("to", "dst").alias("dst"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), (F.col("w") + F.col("_acc")).alias("least"))
+        # edges with the same ends now need to be there once
+        led = led.groupBy("src", "dst").agg(F.max("w").alias("w"), F.max("least").alias("least"))
         led = led.join(done.select(F.col("node").alias("dst"), "level"), "dst", "left")
         led = materialize(led.select("src", "dst", "w", "least", (F.col("level") + F.col("w")).alias("reached")), "led")
         if not led.where("src = dst").isEmpty():
             raise ValueError("cycle in the dependency graph")
         least = led.groupBy(F.col("src").alias("node")).agg(F.max(F.greatest("least", "reached")).alias("_least"))
         acc = materialize(core.join(least, "node", "left").select("node", F.greatest("acc", "_least").alias("acc")), "levels")
-        live = materialize(led.where("reached is null").groupBy("src", "dst").agg(F.max("w").alias("w")), "live")
+        live = led.where("reached is null").select("src", "dst", "w")
     if not final:
-        return acc.select("node", F.col("acc").cast("int").alias("level"))
+        return now.select("node", F.col("acc").cast("int").alias("level"))
     known = reduce(DataFrame.unionByName, final)
     for far in reversed(aside):
         ends = known.select(F.col("node").alias("to"), "level")

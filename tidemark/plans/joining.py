@@ -157,11 +157,12 @@ e AS (SELECT 'RN' || n_nationkey AS edge_id, 'R' || n_regionkey AS src, 'N' || n
  UNION ALL SELECT DISTINCT 'OS' || l_orderkey || '.' || l_suppkey, 'O' || l_orderkey, 'S' || l_suppkey FROM lineitem)"""
 
 
-def _edges(t: Tables):
+def _edges(t: Tables, repeated: bool = False):
     def e(df, tag, ident, a, ac, b, bc):
         return df.select(F.concat(F.lit(tag), *ident).alias("edge_id"), F.concat(F.lit(a), ac).alias("src"), F.concat(F.lit(b), bc).alias("dst"))
 
-    lines = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
+    lines = t.lineitem.select("l_orderkey", "l_suppkey")
+    lines = lines if repeated else lines.distinct()
     return (
         e(t.nation, "RN", ["n_nationkey"], "R", "n_regionkey", "N", "n_nationkey")
         .unionByName(e(t.customer, "NC", ["c_custkey"], "N", "c_nationkey", "C", "c_custkey"))
@@ -228,7 +229,7 @@ UNION ALL SELECT 'C' || c_custkey, 2 FROM customer UNION ALL SELECT 'S' || s_sup
 UNION ALL SELECT 'O' || o_orderkey, 3 FROM orders""")
 def dependency_levels(t: Tables):
     # a supplier depends on the orders it ships, an order on its customer, that on its nation, and so on
-    refs = _edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    refs = _edges(t, repeated=True).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return gr.dependency_levels(_vertices(t), refs)
 
 
