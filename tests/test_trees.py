@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml import regression as R
 
-from tidemark.operators import ml, trees
+from tidemark.operators import automl, ml, trees
 from tidemark.session import materialize
 
 
@@ -72,3 +72,31 @@ def test_saved_and_odd_inputs(spark, tmp_path):
     for bad in (data.limit(0), data.selectExpr("features", "if(label > 100, null, label) label")):
         with pytest.raises(ValueError):
             trees.Forest(numTrees=2).fit(bad)
+
+
+def test_models_fitted_together_are_those_fitted_alone(spark, monkeypatch):
+    """Rows are binned once, and no round, tree or level is grown twice."""
+    monkeypatch.setattr(trees, "CUT_ROUNDS", 2)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(trees, "GROUP_TREES", 3)
+    data = table(spark)
+    every = [trees.BoostedTrees(maxIter=n, maxDepth=3, minInstancesPerNode=5, stepSize=s) for n, s in ((2, 0.1), (5, 0.3), (4, 0.1))]
+    every += [trees.Forest(numTrees=n, maxDepth=d) for n, d in ((2, 6), (5, 2), (5, 4), (1, 3))]
+    alone = [ml.train(data, e) for e in every]
+    binned, levels, thresholds, grown = [], [], trees.thresholds, trees._grown
+    monkeypatch.setattr(trees, "thresholds", lambda *a: binned.append(1) or thresholds(*a))
+    monkeypatch.setattr(trees, "_grown", lambda state, depths, *a: levels.append(sum(depths.values())) or grown(state, depths, *a))
+    together = ml.train_together(data, every)
+    # a first round for both steps, then five of one and four of the other; two trees of six levels and three of four; one tree by itself
+    assert len(binned) == 1 and sum(levels) == 3 * (1 + 4 + 3) + 2 * 6 + 3 * 4 + 3
+    for e, a, b in zip(every, alone, together, strict=True):
+        one, other = ([r["prediction"] for r in m.transform(data).collect()] for m in (a, b))
+        assert np.allclose(one, other, rtol=1e-9) and len(b.stages[0].trees()) == len(a.stages[0].trees()), e
+
+
+def test_a_rung_bins_its_rows_once(spark, monkeypatch):
+    data, binned, thresholds = automl.deal(table(spark, 600), "label", 10), [], trees.thresholds
+    monkeypatch.setattr(trees, "thresholds", lambda *a: binned.append(1) or thresholds(*a))
+    choices = {"linear": {"regParam": (0.01,)}, "forest": {"numTrees": (2, 3)}, "gbt": {"maxIter": (2, 3)}}
+    report = automl.halving(materialize(data, "dealt"), automl.grid({k: ml.regressors(3)[k] for k in choices}, choices), "regression")[0].collect()
+    assert len(report) == 6 and len(binned) <= 3

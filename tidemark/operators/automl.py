@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ml
+from tidemark.operators.trees import TreeEstimator
 
 BEST = {"binary": "accuracy", "multiclass": "micro_accuracy", "regression": "r2"}
 
@@ -76,7 +77,8 @@ def halving(
     The report has a row per candidate (scope ``validation``: metrics of its last rung,
     rung, status ``won``, ``dropped`` or ``not reached``, and the rows it was trained
     and measured on) and the winner's row of scope ``test``.  Equal metrics go by the
-    order of the candidates.  Nothing is decided by the clock unless ``budget_seconds``
+    order of the candidates.  Trees of a rung are fitted together, unless the clock may
+    end it between them.  Nothing is decided by the clock unless ``budget_seconds``
     is given: candidates that are not begun by then in the first rung are ``not
     reached``, later rungs end with what is measured."""
     spark, better, started = dealt.sparkSession, BEST[kind], time.monotonic()
@@ -84,19 +86,24 @@ def halving(
     held, last = dealt.where(F.col("fold") == validation), {}
     left, models = list(range(len(candidates))), {}
 
-    def tried(i: int, folds: int) -> tuple[int, Model, dict] | None:
+    def fitted(own: list[int], folds: int) -> list[tuple[int, Model]]:
         if budget_seconds is not None and time.monotonic() - started > budget_seconds:
-            return None
-        model = ml.train(dealt.where(F.col("fold") < folds), candidates[i].estimator, label)
-        return i, model, measured(model, held, kind, label)
+            return []
+        rows, estimators = dealt.where(F.col("fold") < folds), [candidates[i].estimator for i in own]
+        if len(own) > 1:
+            return list(zip(own, ml.train_together(rows, estimators, label), strict=True))
+        return [(own[0], ml.train(rows, estimators[0], label))]
 
     def rank(i: int) -> tuple:
         value = last[i][1].get(better)
         return (value is None or value != value, -(value or 0.0), i)
 
     for r, folds in enumerate(rungs):
+        alike = [i for i in left if budget_seconds is None and isinstance(candidates[i].estimator, TreeEstimator)]
+        groups = ([alike] if alike else []) + [[i] for i in left if i not in alike]
         with ThreadPool(max(1, min(parallelism, len(left)))) as pool:
-            found = [x for x in pool.map(inheritable_thread_target(spark)(lambda i, n=folds: tried(i, n)), left, chunksize=1) if x]
+            new = [x for own in pool.map(inheritable_thread_target(spark)(lambda own, n=folds: fitted(own, n)), groups, chunksize=1) for x in own]
+            found = pool.map(inheritable_thread_target(spark)(lambda x: (*x, measured(x[1], held, kind, label))), new, chunksize=1)
         for i, model, metrics in found:
             models[i], last[i] = model, (r, metrics)
         done = sorted((i for i, *_ in found), key=rank)

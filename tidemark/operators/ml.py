@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import cosine_similarity
 from tidemark.operators.ordered import running, top_per_group
-from tidemark.operators.trees import BoostedTrees, Forest
+from tidemark.operators.trees import BoostedTrees, Forest, TreeEstimator, fit_together
 from tidemark.session import materialize
 
 SEED = 42
@@ -64,11 +64,25 @@ def train(df: DataFrame, estimator: Estimator, label: str = "label") -> Pipeline
     return Pipeline(stages=[estimator]).fit(df)
 
 
+def train_together(df: DataFrame, estimators: Sequence[TreeEstimator], label: str = "label") -> list[PipelineModel]:
+    """Models as ``train`` makes them, of rows that are binned once."""
+    return [PipelineModel([m]) for m in fit_together(df, [e.copy({e.labelCol: label}) for e in estimators])]
+
+
 def train_all(df: DataFrame, trainers: Mapping[str, Estimator], label: str = "label") -> dict[str, PipelineModel]:
     """All trainers fitted at the same time: each runs many short jobs, one after another."""
-    with ThreadPool(max(len(trainers), 1)) as pool:
-        fit = inheritable_thread_target(df.sparkSession)(lambda est: train(df, est, label))
-        return dict(zip(trainers, pool.map(fit, trainers.values(), chunksize=1), strict=True))
+    alike = [n for n, e in trainers.items() if isinstance(e, TreeEstimator)]
+    groups = ([alike] if alike else []) + [[n] for n in trainers if n not in alike]
+
+    def fit(names: list[str]) -> list[PipelineModel]:
+        if names is alike:
+            return train_together(df, [trainers[n] for n in names], label)
+        return [train(df, trainers[n], label) for n in names]
+
+    with ThreadPool(max(len(groups), 1)) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(fit), groups, chunksize=1)
+    models = {n: m for names, each in zip(groups, found, strict=True) for n, m in zip(names, each, strict=True)}
+    return {n: models[n] for n in trainers}
 
 
 # --- metrics from a prediction table -------------------------------------------------

@@ -6,17 +6,22 @@ sums decide the splits.  Boosting, bootstrap, gain and stopping are those of Spa
 GBTRegressor and RandomForestRegressor (squared loss, the first tree with weight 1,
 later ones fitted to twice the residual); bins are cut at all values of a feature, or
 at quantiles of all rows where it has more than ``BINS``.  Features count as continuous.
+
+Models of the same rows are fitted together (``fit_together``): rows are binned once, a
+level of all of them that grow in step is one job, and a model whose trees are the first
+rounds, first trees or upper levels of another's takes them from there.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel, keyword_only
+from pyspark import RDD, StorageLevel, inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -32,6 +37,7 @@ BLOCK_ROWS = 16_384
 TASK_ROWS, LEAST_ROWS = 4_000_000, 250_000  # rows of a task, and that are worth one
 CUT_ROUNDS = 25  # rounds after which the residuals are stored and their lineage cut
 GROUP_BYTES, DRIVER_BYTES = 8 << 20, 16 << 20  # histograms of one task, and of all tasks that the driver may sum
+GROUP_TREES = 25  # trees of a forest whose bootstrap, one byte a row, is kept at the same time
 _QUANTILE_ERROR = 1e-3
 _BLOCK = "number long, codes binary, y binary"
 
@@ -94,7 +100,13 @@ def _blocks(rows: DataFrame, cuts: list[np.ndarray], mean: float, n: int) -> RDD
 
 
 def _arrays(blocks: DataFrame, features: int) -> RDD:
-    return blocks.rdd.map(lambda r: (r["number"], np.frombuffer(r["codes"], np.uint8).reshape(-1, features), np.frombuffer(r["y"])))
+    """(number, codes, labels by series and row, no weights) of each block."""
+
+    def run(r) -> tuple:
+        codes = np.frombuffer(r["codes"], np.uint8).reshape(-1, features)
+        return r["number"], codes, np.frombuffer(r["y"]).reshape(-1, codes.shape[0]), None
+
+    return blocks.rdd.map(run)
 
 
 def _places(codes: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -137,29 +149,31 @@ def _best(sums: np.ndarray, least: int, allowed: np.ndarray | None) -> tuple[np.
     return feature, cut, np.where(split, means[0], own), np.where(split, means[1], own), split
 
 
-def _grown(state: RDD, numbers: list[int], depth: int, least: int, features: int, weigh: Callable | None = None, subset: Callable | None = None) -> list[Tree]:
-    """Trees of ``numbers``, level by level.  ``weigh(tree, block, rows)`` is the bootstrap,
-    ``subset(tree, level)`` the features allowed by place."""
-    levels: dict[int, list] = {t: [] for t in numbers}
-    value = {t: np.zeros(1) for t in numbers}
-    live = {t: np.ones(1, bool) for t in numbers}
-    parts = state.getNumPartitions()
-    for level in range(depth):
-        grow = [t for t in numbers if live[t].any()]
+def _grown(state: RDD, depths: Mapping[int, int], least: int, features: int, subset: Callable | None = None) -> dict[int, tuple[list, list[np.ndarray]]]:
+    """Levels of each tree of ``depths``, and the values of its places above, between and
+    below them; a level of all trees is one job.
+
+    A tree reads the labels of its number, or the only ones, and with weights those of its
+    number.  ``subset(tree, level)`` are the features allowed by place."""
+    levels: dict[int, list] = {t: [] for t in depths}
+    values = {t: [np.zeros(1)] for t in depths}
+    live = {t: np.ones(1, bool) for t in depths}
+    parts, base = state.getNumPartitions(), min(depths)
+    for level in range(max(depths.values())):
+        grow = [t for t in depths if level < depths[t] and live[t].any()]
         if not grow:
             break
         width, known = 2**level, {t: levels[t] for t in grow}
 
         def sums(blocks: Iterator[tuple], grow=grow, width=width, known=known) -> Iterator[tuple[int, np.ndarray]]:
             out = {}
-            for number, codes, y in blocks:
+            for _, codes, labels, weights in blocks:
                 for t in grow:
-                    rows, label, weight = codes, y, None
-                    if weigh is not None:
-                        weight = weigh(t, number, y.size)
-                        used = np.flatnonzero(weight)
-                        rows, weight = codes[used], weight[used].astype(float)
-                        label = y[used] * weight
+                    rows, label, weight = codes, labels[t if labels.shape[0] > 1 else 0], None
+                    if weights is not None:
+                        used = np.flatnonzero(weights[t - base])
+                        rows, weight = codes[used], weights[t - base][used].astype(float)
+                        label = label[used] * weight
                     h = _histogram(_places(rows, known[t]), rows, width, label, weight)
                     out[t] = out[t] + h if t in out else h
             yield from out.items()
@@ -177,11 +191,11 @@ def _grown(state: RDD, numbers: list[int], depth: int, least: int, features: int
             found = per.reduceByKey(np.add, min(parts, len(grow))).map(lambda x: (x[0], best(*x))).collect()  # splits only
         for t, (feature, cut, left, right, split) in found:
             split &= live[t]
-            before = value[t]
+            before = values[t][-1]
             levels[t] = [*levels[t], (np.where(split, feature, 0), np.where(split, cut, BINS))]
-            value[t] = np.stack([np.where(split, left, before), np.where(split, right, before)], 1).ravel()
+            values[t].append(np.stack([np.where(split, left, before), np.where(split, right, before)], 1).ravel())
             live[t] = np.repeat(split, 2)
-    return [(levels[t], value[t]) for t in numbers]
+    return {t: (levels[t], values[t]) for t in depths}
 
 
 class _TreeParams(HasLabelCol, HasFeaturesCol, HasPredictionCol, HasSeed):
@@ -189,28 +203,55 @@ class _TreeParams(HasLabelCol, HasFeaturesCol, HasPredictionCol, HasSeed):
     minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "rows on each side of a split", TypeConverters.toInt)
 
 
-class _TreeEstimator(Estimator, _TreeParams, DefaultParamsReadable, DefaultParamsWritable):
+class TreeEstimator(Estimator, _TreeParams, DefaultParamsReadable, DefaultParamsWritable):
     def _fit(self, dataset: DataFrame) -> TreesModel:
-        x, y = vector_to_array(self.getFeaturesCol()), F.col(self.getLabelCol()).cast("double")
-        rows = dataset.select(x.alias("x"), y.alias("y"))
-        n, mean, bad, features = rows.agg(F.count(F.lit(1)), F.avg("y"), F.count_if(F.col("y").isNull() | F.isnan("y")), F.max(F.size("x"))).first()
-        if not n or bad:
-            raise ValueError("no rows to train on" if not n else "labels must not be null or NaN")
-        cuts = thresholds(rows, features)
-        blocks = _blocks(rows, cuts, mean, n).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            trees = self._trees(blocks, features)
-        finally:
-            blocks.unpersist()
-        ends = [np.r_[c, np.full(BINS + 1 - c.size, np.inf)] for c in cuts]
-        flat = [(f, ends[f][c]) for levels, _ in trees for feature, cut in levels for f, c in zip(feature.tolist(), cut.tolist(), strict=True)]
-        model = TreesModel(uid=self.uid)
-        model._set(depths=[len(levels) for levels, _ in trees], feature=[f for f, _ in flat], threshold=[float(c) for _, c in flat],
-                   value=[float(v) for _, value in trees for v in value], start=float(mean))
-        return self._copyValues(model)
-
-
-class BoostedTrees(_TreeEstimator, HasMaxIter, HasStepSize):
+        return fit_together(dataset, [self])[0]
+
+    def _kin(self) -> tuple:
+        """What estimators must share to be fitted in the same jobs."""
+        raise NotImplementedError
+
+    @classmethod
+    def _trees(cls, blocks: RDD, features: int, kin: Sequence[TreeEstimator]) -> list[list[Tree]]:
+        """Trees of each of ``kin``."""
+        raise NotImplementedError
+
+
+def fit_together(dataset: DataFrame, estimators: Sequence[TreeEstimator]) -> list[TreesModel]:
+    """A model of each estimator, the same as if it were fitted alone; features and label are those of the first."""
+    first = estimators[0]
+    x, y = vector_to_array(first.getFeaturesCol()), F.col(first.getLabelCol()).cast("double")
+    if any((e.getFeaturesCol(), e.getLabelCol()) != (first.getFeaturesCol(), first.getLabelCol()) for e in estimators):
+        raise ValueError("estimators fitted together must have the same features and label")
+    rows = dataset.select(x.alias("x"), y.alias("y"))
+    n, mean, bad, features = rows.agg(F.count(F.lit(1)), F.avg("y"), F.count_if(F.col("y").isNull() | F.isnan("y")), F.max(F.size("x"))).first()
+    if not n or bad:
+        raise ValueError("no rows to train on" if not n else "labels must not be null or NaN")
+    cuts = thresholds(rows, features)
+    families: dict[tuple, list[int]] = {}
+    for i, e in enumerate(estimators):
+        families.setdefault((type(e), *e._kin()), []).append(i)
+    blocks = _blocks(rows, cuts, mean, n).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPool(len(families)) as pool:
+            grow = inheritable_thread_target(dataset.sparkSession)(lambda own: type(estimators[own[0]])._trees(blocks, features, [estimators[i] for i in own]))
+            found = pool.map(grow, families.values(), chunksize=1)
+    finally:
+        blocks.unpersist()
+    trees = {i: t for own, each in zip(families.values(), found, strict=True) for i, t in zip(own, each, strict=True)}
+    return [_model(e, trees[i], cuts, mean) for i, e in enumerate(estimators)]
+
+
+def _model(estimator: TreeEstimator, trees: list[Tree], cuts: list[np.ndarray], mean: float) -> TreesModel:
+    ends = [np.r_[c, np.full(BINS + 1 - c.size, np.inf)] for c in cuts]
+    flat = [(f, ends[f][c]) for levels, _ in trees for feature, cut in levels for f, c in zip(feature.tolist(), cut.tolist(), strict=True)]
+    model = TreesModel(uid=estimator.uid)
+    model._set(depths=[len(levels) for levels, _ in trees], feature=[f for f, _ in flat], threshold=[float(c) for _, c in flat],
+               value=[float(v) for _, value in trees for v in value], start=float(mean))
+    return estimator._copyValues(model)
+
+
+class BoostedTrees(TreeEstimator, HasMaxIter, HasStepSize):
     """Gradient boosting with squared loss."""
 
     @keyword_only
@@ -219,29 +260,40 @@ class BoostedTrees(_TreeEstimator, HasMaxIter, HasStepSize):
         self._setDefault(maxIter=20, maxDepth=5, minInstancesPerNode=1, stepSize=0.1, seed=42)
         self._set(**self._input_kwargs)
 
-    def _trees(self, blocks: RDD, features: int) -> list[Tree]:
-        state, out = blocks, []
-        rounds, depth, least = self.getMaxIter(), self.getOrDefault("maxDepth"), self.getOrDefault("minInstancesPerNode")
-        old = None
-        for k in range(rounds):
-            (levels, value), = _grown(state, [k], depth, least, features)
+    def _kin(self) -> tuple:
+        return self.getOrDefault("maxDepth"), self.getOrDefault("minInstancesPerNode")
+
+    @classmethod
+    def _trees(cls, blocks: RDD, features: int, kin: Sequence[BoostedTrees]) -> list[list[Tree]]:
+        depth, least = kin[0]._kin()
+        rounds = {step: max(e.getMaxIter() for e in kin if e.getStepSize() == step) for step in sorted({e.getStepSize() for e in kin})}
+        out: dict[float, list[Tree]] = {step: [] for step in rounds}
+        state, old, live = blocks, None, [step for step in rounds if rounds[step]]
+        k = 0
+        while live:
+            # the first tree is the same for every step
+            grown = _grown(state, dict.fromkeys(range(len(live) if k else 1), depth), least, features)
             if old is not None:
                 old.unpersist()
-            value = value if k == 0 else 2 * self.getStepSize() * value
-            out.append((levels, value))
-            if k + 1 < rounds:
-                old = state if state is not blocks else None
-                state = _reduced(state, levels, value)
+            for i, step in enumerate(live):
+                levels, values = grown[i if k else 0]
+                out[step].append((levels, 2 * step * values[-1] if k else values[-1]))
+            going = [i for i, step in enumerate(live) if k + 1 < rounds[step]]
+            old = state if state is not blocks else None
+            if going:
+                state = _reduced(state, [(i if k else 0, *out[live[i]][-1]) for i in going])
                 if (k + 1) % CUT_ROUNDS == 0:
                     state = _kept(state, features)
                 state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        if state is not blocks:
-            state.unpersist()
-        return out
+            live, k = [live[i] for i in going], k + 1
+        if old is not None:
+            old.unpersist()
+        return [out[e.getStepSize()][: e.getMaxIter()] for e in kin]
 
 
-def _reduced(state: RDD, levels: list, value: np.ndarray) -> RDD:
-    return state.map(lambda b: (b[0], b[1], b[2] - value[_places(b[1], levels)]))
+def _reduced(state: RDD, trees: list[tuple[int, list, np.ndarray]]) -> RDD:
+    """Labels of each (series before, levels, values) less its tree's predictions."""
+    return state.map(lambda b: (b[0], b[1], np.stack([b[2][i] - value[_places(b[1], levels)] for i, levels, value in trees]), None))
 
 
 def _kept(state: RDD, features: int) -> RDD:
@@ -249,7 +301,7 @@ def _kept(state: RDD, features: int) -> RDD:
     return _arrays(materialize(frame, "residuals").repartition(state.getNumPartitions()), features)
 
 
-class Forest(_TreeEstimator):
+class Forest(TreeEstimator):
     """Random forest: Poisson bootstrap, a third of the features at each node."""
 
     numTrees = Param(Params._dummy(), "numTrees", "trees", TypeConverters.toInt)
@@ -260,20 +312,34 @@ class Forest(_TreeEstimator):
         self._setDefault(numTrees=20, maxDepth=5, minInstancesPerNode=1, seed=42)
         self._set(**self._input_kwargs)
 
-    def _trees(self, blocks: RDD, features: int) -> list[Tree]:
-        n, depth, least, seed = self.getOrDefault("numTrees"), self.getOrDefault("maxDepth"), self.getOrDefault("minInstancesPerNode"), self.getSeed()
-        picked = max(math.ceil(features / 3), 1) if n > 1 else features
+    def _kin(self) -> tuple:
+        return self.getOrDefault("minInstancesPerNode"), self.getSeed(), self.getOrDefault("numTrees") > 1
+
+    @classmethod
+    def _trees(cls, blocks: RDD, features: int, kin: Sequence[Forest]) -> list[list[Tree]]:
+        least, seed, many = kin[0]._kin()
+        picked = max(math.ceil(features / 3), 1) if many else features
+        sizes = [(e.getOrDefault("numTrees"), e.getOrDefault("maxDepth")) for e in kin]
+        depths = {t: max(d for n, d in sizes if t < n) for t in range(max(n for n, _ in sizes))}
 
-        def weigh(tree: int, block: int, rows: int) -> np.ndarray:
-            return np.random.default_rng([seed, tree, block]).poisson(1.0, rows)
+        def weighed(block: tuple, own: list[int]) -> tuple:
+            number, codes, y, _ = block
+            return number, codes, y, np.stack([np.random.default_rng([seed, t, number]).poisson(1.0, y.shape[1]).astype(np.uint8) for t in own])
 
         def subset(tree: int, level: int) -> np.ndarray:
             order = np.random.default_rng([seed, tree, level, 1]).random((2**level, features)).argsort(1)
             return order < picked
 
-        group = max(1, GROUP_BYTES // (2 ** max(depth - 1, 0) * features * BINS * 16))
-        trees = [t for lo in range(0, n, group) for t in _grown(blocks, list(range(lo, min(lo + group, n))), depth, least, features, weigh if n > 1 else None, subset)]
-        return [(levels, value / n) for levels, value in trees]
+        group = min(GROUP_TREES, max(1, GROUP_BYTES // (2 ** max(max(depths.values()) - 1, 0) * features * BINS * 16)))
+        grown: dict[int, tuple] = {}
+        for lo in range(0, len(depths), group):
+            own = {t: depths[t] for t in range(lo, min(lo + group, len(depths)))}
+            state = blocks.map(lambda b, own=list(own): weighed(b, own)).persist(StorageLevel.MEMORY_AND_DISK) if many else blocks
+            grown |= _grown(state, own, least, features, subset)
+            if many:
+                state.unpersist()
+        # a tree of fewer levels is the upper part of the deeper one
+        return [[(levels[:depth], values[min(depth, len(levels))] / n) for levels, values in (grown[t] for t in range(n))] for n, depth in sizes]
 
 
 class TreesModel(Model, _TreeParams, DefaultParamsReadable, DefaultParamsWritable):
