@@ -43,3 +43,17 @@ def test_short_items_are_not_met(spark, monkeypatch):
     model = SimpleNamespace(userFactors=users, itemFactors=items, getUserCol=lambda: "u", getItemCol=lambda: "i")
     assert ml.recommend(model, users.select(F.col("id").alias("u")), 5).count() == 100
     assert dict(kept)["asked"].isEmpty()
+
+
+def test_distinct_keys_are_found_once(spark, root, monkeypatch):
+    """Numbering looks at its rows several times: they are stored, not grouped anew each time."""
+    from tidemark.plans import learning
+    from tidemark.session import Tables
+
+    plans, running = [], learning.running
+    monkeypatch.setattr(learning, "running", lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or running(df, *a, **k))
+    rows = learning._ratings(Tables(spark, root))
+    assert len(plans) == 2 and not any("Aggregate" in p for p in plans)
+    for side in ("user", "item"):
+        pairs = sorted(tuple(r) for r in rows.select(f"{side}_key", side).distinct().collect())
+        assert [n for _, n in pairs] == list(range(1, len(pairs) + 1))

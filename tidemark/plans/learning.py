@@ -167,7 +167,7 @@ def _ratings(t: Tables):
     d = materialize(d.agg(F.avg("l_quantity").cast("float").alias("rating")), "ratings")
     # the factorisation takes 32-bit ids: number both sides densely
     for side in ("user", "item"):
-        numbers = running(d.select(f"{side}_key").distinct(), [], [f"{side}_key"], position=side)
+        numbers = running(materialize(d.select(f"{side}_key").distinct(), side), [], [f"{side}_key"], position=side)
         d = d.join(numbers.withColumn(side, F.col(side).cast("int")), f"{side}_key")
     return materialize(d, "ratings")
 
