@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import arrays, langid, licenses, quality, suffix_tree, toxicity
 from tidemark.llm.queries import ORACLES, QUERIES
-from tidemark.session import Tables
+from tidemark.session import Tables, path_exists
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -333,6 +333,21 @@ def test_long_contexts_while_they_diverge(spark, monkeypatch, largest):
     assert sorted(got) == pytest.approx(sorted(want), abs=2e-5)
 
 
+def test_few_scans_and_none_left_on_disk(spark, monkeypatch):
+    """Once few places are left a scan takes many lengths, and its rows go when they are judged."""
+    written, materialize = [], suffix_tree.materialize
+    monkeypatch.setattr(suffix_tree, "materialize", lambda df, label: written.append((label, materialize(df, label))) or written[-1][1])
+    chain = [f"c{i}" for i in range(40)]
+    train = [" ".join([f"z{k}", *chain[-k:], f"s{k}"]) for k in range(1, 31) for _ in range(40)]
+    train += [" ".join(f"u{i}v{j}" for j in range(200)) for i in range(600)]
+    tree, _ = suffix_tree.learn(docs(spark, train), longest=None)
+    assert len(tree.levels) > 20
+    scans = [t for label, t in written if label == "scan"]  # lengths 2, 3, 4, 5 to 19 or so, and the rest; doubling alone takes 7
+    assert len(scans) <= 5
+    assert not any(path_exists(spark, f) for t in scans for f in t.inputFiles())
+    assert tree.scores.count() > 0
+
+
 def test_probabilities_add_up(spark):
     tree, _ = suffix_tree.learn(docs(spark, [prose(i, 70) for i in range(25)]))
     for depth, back in enumerate(tree.back):
