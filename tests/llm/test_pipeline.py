@@ -37,6 +37,18 @@ def test_run(spark, root):
     assert out.count() > 100 and out.columns[0] == "doc_id"
 
 
+def test_found_language_reaches_the_pieces(spark, root):
+    """The language stage's finding is what comes out, not what stood in ``lang``."""
+    german = "der die das und nicht ein eine schnelle braune fuchs springt über den faulen hund während sieben zauberer heimlich mischen".split()
+    spoken = {i: " ".join(german[(i * 7 + 3 * k + k * k) % len(german)] for k in range(50)) if i % 2 else prose(i, 50) for i in range(40)}
+    named = {i: None if i < 4 else ("en" if i % 2 else "de") if i < 6 else ("de" if i % 2 else "en") for i in spoken}
+    frame = materialize(spark.createDataFrame([(i, t, named[i], "s", len(t)) for i, t in spoken.items()], "doc_id long, text string, lang string, source string, n_chars long"), "fixture")
+    found = materialize(corpus_pipeline.language_id(spark, frame, root), "stage")
+    assert found.schema["lang"].dataType == frame.schema["lang"].dataType and found.columns == frame.columns
+    assert {r["doc_id"]: tuple(r) for r in found.collect()} == {i: (i, t, "de" if i % 2 else "en", "s", len(t)) for i, t in spoken.items()}
+    assert {(r["doc_id"], r["lang"]) for r in corpus_pipeline.pack(spark, found, root).collect()} == {(i, "de" if i % 2 else "en") for i in spoken}
+
+
 def test_empty_table(spark, root):
     frame = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:

@@ -173,15 +173,23 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     return source.mapInArrow(run, arrays.output_schema(source, ["_row"], "lang_pred string, score double")).select("_row.*", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least_score: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, with a known language and at least this cosine."""
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least_score: float, text: str = "text", language: str = "lang") -> DataFrame:
+    """The rows of ``docs`` with a known language and at least this cosine.
+
+    ``language`` holds the language found in the text, whatever stood there, null
+    included; the other columns are unchanged.  Null texts, texts without letters
+    and, if nothing was learned, all rows go; repeated rows are judged each; of equal
+    cosines the first name wins; an empty table gives no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in arrays.text_slices(batch, "_text"):
                 predicted, score = closest(data, offsets, model)
                 good = pa.array((np.array(predicted, object) != UNKNOWN) & (score >= least_score))
-                yield pa.RecordBatch.from_arrays([rows.column("_row").filter(good)], ["_row"])
+                row = rows.column("_row").filter(good)
+                parts, at = row.flatten(), row.type.get_field_index(language)
+                parts[at] = pa.array(predicted, pa.string()).filter(good).cast(row.type.field(at).type)
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(parts, fields=list(row.type))], ["_row"])
 
     source = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     return source.mapInArrow(run, arrays.output_schema(source, ["_row"])).select("_row.*")

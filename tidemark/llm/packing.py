@@ -21,7 +21,7 @@ next run, so memory is bounded and only the last window of a partition is short.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -139,33 +139,36 @@ class _Stream:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, sentence_cost: int = 2, hard_cost: int = 16, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, sentence_cost: int = 2, hard_cost: int = 16, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
     """One row per piece of a document: key, start (its ids before the piece),
     length, ids_crc32, doc_tokens, sequence_id, offset (ids before it in the
-    window).  Order within a partition is kept; no shuffle.
+    window), then the ``carry`` columns of its document.  Order within a partition
+    is kept; no shuffle.
 
     A null or empty text is a document of the end id alone; rows that repeat are
     packed each; an empty table gives no row; other columns are left behind.
     Window numbers hold the partition and a counter: equal scans of a stored
     table, retried tasks among them, give equal rows."""
-    kind = docs.schema[key].dataType.simpleString()
+    own = [key, *carry]
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         stream = _Stream(enc, size, end_id, sentence_cost, hard_cost)
-        key_type = None
+        types = None
 
         def batch_of(columns: tuple | None) -> Iterator[pa.RecordBatch]:
             if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), *(pa.array(np.asarray(c, np.int64)) for c in columns[1:])], names)
+                first, *rest = (pa.array(c, t) for c, t in zip(zip(*columns[0], strict=True), types, strict=True))
+                yield pa.RecordBatch.from_arrays([first, *(pa.array(np.asarray(c, np.int64)) for c in columns[1:]), *rest], [*names, *carry])
 
         for batch in batches:
-            key_type = batch.schema.field(key).type
+            types = [batch.schema.field(c).type for c in own]
             for rows, ids, ptr in encoded_slices(enc, batch, text):
-                stream.add(rows.column(key).to_pylist(), ids, ptr)
+                stream.add(list(zip(*(rows.column(c).to_pylist() for c in own), strict=True)), ids, ptr)
                 if stream.ids.size >= arrays.SLICE_BYTES // 4:
                     yield from batch_of(stream.windows(last=False))
         yield from batch_of(stream.windows(last=True))
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+    kinds = {c: f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own}
+    return docs.select(*own, text).mapInArrow(run, ", ".join([kinds[key], *(f"{n} long" for n in names[1:]), *(kinds[c] for c in carry)]))
