@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators import automl, ml
@@ -67,3 +68,14 @@ def test_candidates_beyond_the_budget_are_reported(spark, monkeypatch):
     assert {r["trainer"]: r["status"] for r in rows} == {"a": "won", "b": "dropped", "c": "not reached"}
     with pytest.raises(ValueError):
         automl.halving(data, [], "regression")
+
+
+@pytest.mark.parametrize("trainer", ["logistic", "forest", "gbt"])
+def test_binary_models_predict_after_an_observation(spark, trainer):
+    """A session that has used an observation cannot be sent to executors; models must not hold it."""
+    session, seen = spark.newSession(), Observation()
+    data = table(session)
+    data.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n": 400}
+    model = ml.train(data, ml.classifiers(2)[trainer])
+    assert automl.measured(model, data, "binary")["accuracy"] > 0.5

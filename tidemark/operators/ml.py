@@ -58,10 +58,18 @@ def regressors(iterations: int = 100) -> dict[str, Estimator]:
 
 
 def train(df: DataFrame, estimator: Estimator, label: str = "label") -> PipelineModel:
+    """A fitted model without Spark ML's training summary.
+
+    Predictions send the model to the executors, and the summary of a binary classifier
+    holds the session, which cannot be sent once a query of it used an ``Observation``."""
     for param in ("labelCol",):
         if estimator.hasParam(param):
             estimator = estimator.copy({estimator.getParam(param): label})
-    return Pipeline(stages=[estimator]).fit(df)
+    model = Pipeline(stages=[estimator]).fit(df)
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(df.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def train_together(df: DataFrame, estimators: Sequence[TreeEstimator], label: str = "label") -> list[PipelineModel]:
