@@ -79,3 +79,5 @@ def test_binary_models_predict_after_an_observation(spark, trainer):
     assert seen.get == {"n": 400}
     model = ml.train(data, ml.classifiers(2)[trainer])
     assert automl.measured(model, data, "binary")["accuracy"] > 0.5
+    report, _ = ml.compare(data, None, {trainer: ml.classifiers(2)[trainer]}, "binary")
+    assert [r["trainer"] for r in report.collect()] == [trainer]
