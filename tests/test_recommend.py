@@ -57,3 +57,19 @@ def test_distinct_keys_are_found_once(spark, root, monkeypatch):
     for side in ("user", "item"):
         pairs = sorted(tuple(r) for r in rows.select(f"{side}_key", side).distinct().collect())
         assert [n for _, n in pairs] == list(range(1, len(pairs) + 1))
+
+
+def test_blocks_follow_the_ratings(spark, monkeypatch):
+    """A task of the factorisation holds a block, so blocks are of bounded size; few ratings have Spark's ten."""
+    rows = [(u, i, float((u * 7 + i * i) % 5)) for u in range(60) for i in range(u % 3, 40, 3)]
+    data = spark.createDataFrame(rows, "u int, i int, r float")
+    plain = ml.ALS(rank=8, maxIter=5, regParam=0.01, userCol="u", itemCol="i", ratingCol="r", seed=ml.SEED).fit(data)
+    factors = lambda m: sorted(map(tuple, m.userFactors.collect() + m.itemFactors.collect()))
+    few = ml.factorize(data, "u", "i", "r", iterations=5)
+    assert few.userFactors.rdd.getNumPartitions() == few.itemFactors.rdd.getNumPartitions() == 10
+    assert factors(few) == factors(plain)
+    monkeypatch.setattr(ml, "BLOCK_RATINGS", 25, raising=False)
+    many = ml.factorize(data, "u", "i", "r", iterations=5)
+    assert many.userFactors.rdd.getNumPartitions() == many.itemFactors.rdd.getNumPartitions() == len(rows) // 25 + (len(rows) % 25 > 0) > 10
+    error = [ml.regression_metrics(m.transform(data), "r").first()["rmse"] for m in (few, many)]
+    assert many.transform(data).count() == len(rows) and abs(error[0] - error[1]) < 0.1

@@ -228,8 +228,18 @@ def cluster_profile(df: DataFrame, cluster: str, features: Mapping[str, Column])
 # --- recommendation ------------------------------------------------------------------
 
 
+LEAST_BLOCKS, BLOCK_RATINGS = 10, 2_000_000  # of a factorisation: Spark's own number of blocks, and ratings of a block beyond it
+
+
 def factorize(df: DataFrame, user: str, item: str, rating: str, rank: int = 8, iterations: int = 20) -> Model:
-    als = ALS(rank=rank, maxIter=iterations, regParam=0.01, userCol=user, itemCol=item, ratingCol=rating, seed=SEED, coldStartStrategy="drop")
+    """Alternating least squares.  ``df`` is counted first: a task holds all ratings of a block
+    of users or items and the factors they meet, so blocks are as many as the ratings need.
+    The factors to start from are drawn block by block, so they depend on that number.  More blocks
+    send a factor to more of them, so shuffles are freed (by checkpoints, if ``spark.checkpoint.dir``
+    is set) after three iterations then, not after Spark's ten."""
+    blocks = max(LEAST_BLOCKS, math.ceil(df.count() / BLOCK_RATINGS))
+    als = ALS(rank=rank, maxIter=iterations, regParam=0.01, userCol=user, itemCol=item, ratingCol=rating, seed=SEED, coldStartStrategy="drop",
+              numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=10 if blocks == LEAST_BLOCKS else 3)
     return als.fit(df)
 
 
