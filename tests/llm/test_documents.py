@@ -365,3 +365,15 @@ def test_untrained_tree(spark):
 def test_tree_beats_its_root_on_held_out_texts(spark, root):
     r = QUERIES["op3_suffix_tree"](spark, root).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
     assert r["s"] > r["b"]
+
+
+def test_shuffle_files_of_the_tree_go_with_their_jobs(spark, monkeypatch):
+    """Files of finished jobs must not pile up until the driver happens to collect its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen, plain = spark.conf.get(setting), [], suffix_tree.materialize
+    monkeypatch.setattr(suffix_tree, "materialize", lambda df, label: seen.append(spark.conf.get(setting)) or plain(df, label))
+    chain = "a b c d e f g".split()
+    tree, _ = suffix_tree.learn(docs(spark, [" ".join([f"z{k}", *chain[-k:], f"s{k}"]) for k in range(1, 8) for _ in range(40)]), longest=None)
+    assert seen and set(seen) == {"true"} and spark.conf.get(setting) == before
+    # of the long contexts only states are stored
+    assert len(tree.levels) > 3 and all(runs.where("back is null").isEmpty() for runs, _ in tree.levels[3:])
