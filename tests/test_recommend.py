@@ -73,3 +73,15 @@ def test_blocks_follow_the_ratings(spark, monkeypatch):
     assert many.userFactors.rdd.getNumPartitions() == many.itemFactors.rdd.getNumPartitions() == len(rows) // 25 + (len(rows) % 25 > 0) > 10
     error = [ml.regression_metrics(m.transform(data), "r").first()["rmse"] for m in (few, many)]
     assert many.transform(data).count() == len(rows) and abs(error[0] - error[1]) < 0.1
+
+
+def test_recommendations_come_from_bounded_blocks(spark, root, monkeypatch):
+    from tidemark.plans import learning
+
+    models, plain = [], ml.recommend
+    monkeypatch.setattr(ml, "BLOCK_RATINGS", 400, raising=False)
+    monkeypatch.setattr(ml, "recommend", lambda model, *a: models.append(model) or plain(model, *a))
+    rows = learning.recommend_items(learning.Tables(spark, root))
+    ratings = learning._ratings(learning.Tables(spark, root)).count()
+    assert models[0].userFactors.rdd.getNumPartitions() == -(-ratings // 400) > 10
+    assert {n for (n,) in rows.groupBy("user").count().select("count").distinct().collect()} == {5}
